@@ -1,0 +1,36 @@
+"""Connected components by alternating large-star and small-star contractions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidewater.llm.lineage import keep
+
+
+def _fingerprint(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of edges(u, v); the component is its smallest node.
+
+    Edges with a null end and loops are ignored, repeated edges count once, no edges give no rows.
+    Every round halves the longest path or better and moves only pairs of longs.
+    """
+    edges = edges.where("u is not null and v is not null and u <> v")
+    edges = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = _fingerprint(edges)
+    while before[0]:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
+        large = both.select("u", "v", least.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
+        hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = keep(hung.union(small.select("u", F.col("m").alias("v"))).distinct())
+        after = _fingerprint(edges)
+        if after == before:
+            break
+        before = after
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -1,0 +1,21 @@
+"""Where intermediate results are kept so that a lost executor costs one task, not the job."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def keep(df: DataFrame, eager: bool = True) -> DataFrame:
+    """A checkpoint of df in the shared folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one only where the session names none, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewater-")
