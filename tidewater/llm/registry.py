@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import ngram_join
+from tidewater.llm import bpe, langid, ngram_join, perplexity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +15,23 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op10_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.perplexity_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op8_language_id": op8_language_id,
+    "op10_perplexity_rules": op10_perplexity_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
