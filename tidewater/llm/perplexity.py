@@ -94,7 +94,7 @@ def perplexity_rules(docs: DataFrame, deviations: float = DEVIATIONS, least_spre
     limits = bands(scored, least_spread)
     rows = [(k, *limits[k], float(m.variance[0])) for k, m in models.items() if k in limits]
     table = F.broadcast(spark.createDataFrame(rows, "lang string, middle double, spread double, variance double"))  # a row a language
-    width = F.lit(deviations) * F.sqrt(F.col("spread") * F.col("spread") + F.col("variance") / F.col("symbols"))
+    width = F.lit(deviations) * F.sqrt(F.col("spread") * F.col("spread") + F.col("variance") / F.greatest("symbols", F.lit(1)))
     return scored.join(table, "lang", "left").select(
         "doc_id", "lang", "symbols", F.exp("nats").alias("perplexity"), F.exp(F.col("middle") - width).alias("lower"), F.exp(F.col("middle") + width).alias("upper"),
         F.coalesce((F.abs(F.col("nats") - F.col("middle")) <= width) & (F.col("symbols") > 0), F.lit(False)).alias("keep"),

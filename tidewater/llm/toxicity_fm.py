@@ -60,7 +60,7 @@ class Model:
             flat, _ = terms(texts.slice(low, high - low))
             flat = flat[self.active[flat & ((1 << BITS) - 1)]]
             ids, row = flat & ((1 << BITS) - 1), flat >> BITS
-            own = np.bincount(row, self.linear[ids], minlength=high - low)
+            own = np.bincount(row, self.linear[ids], minlength=high - low).astype(np.float64)
             v = self.factors[ids].astype(np.float64)
             for k in range(v.shape[1]):
                 own += 0.5 * (np.bincount(row, v[:, k], minlength=high - low) ** 2 - np.bincount(row, v[:, k] ** 2, minlength=high - low))
