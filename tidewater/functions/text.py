@@ -44,9 +44,11 @@ def truncate_at_sentence(text: Column, limit: int) -> Column:
 def shingles(text: Column, k: int = 5) -> Column:
     """Distinct k-grams of characters of the lower-cased, stripped text; a shorter text is its own."""
     text = strip(F.lower(text))
-    size = F.length(text)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - k + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(k))))
-    return F.when(size < k, F.array(text)).otherwise(grams)
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    grams = chars
+    for k_ in range(1, k):  # each step appends the next character; positions past the end become NULL
+        grams = F.zip_with(grams, F.slice(chars, F.lit(k_ + 1), F.greatest(F.size(chars) - k_, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.when(F.length(text) < k, F.array(text)).otherwise(F.array_distinct(F.filter(grams, lambda g: g.isNotNull())))
 
 
 def phrases_in(text: Column, phrases: tuple[str, ...]) -> Column:
