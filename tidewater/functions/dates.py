@@ -43,7 +43,7 @@ def period_number(date: Column, anchor: dt.date) -> Column:
 
 
 def period_id(number: Column) -> Column:
-    return F.format_string("BW%04d", number)
+    return F.when(number.isNotNull(), F.format_string("BW%04d", number))
 
 
 def period_start(number: Column, anchor: dt.date) -> Column:

@@ -65,8 +65,13 @@ def monthly(rows: DataFrame, date: str, low: int) -> DataFrame:
     return month_spine(rows, date).join(per, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) < low).alias("is_low"))
 
 
-def missing_months(rows: DataFrame, date: str) -> DataFrame:
-    return month_spine(rows, date).join(rows.select(dates.month_of(F.col(date)).alias("month")), "month", "left_anti")
+def missing_months(rows: DataFrame, date: str, by: str | None = None) -> DataFrame:
+    """Months without a row between the first and the last; with `by`, (by, month) for each of its values."""
+    months = rows.where(F.col(date).isNotNull()).select(*([by] if by else []), F.trunc(date, "month").alias("first")).distinct()
+    ends = months.groupBy(*([by] if by else [])).agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a is not null")
+    spine = ends.select(*([by] if by else []), F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("first"))
+    gaps = spine.join(months, [*([by] if by else []), "first"], "left_anti")
+    return gaps.select(*([by] if by else []), dates.month_of(F.col("first")).alias("month"))
 
 
 def monthly_relevance(rows: DataFrame, date: str, low: int = 2) -> DataFrame:

@@ -363,13 +363,13 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 16)
+    """WITH k AS (SELECT arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label)
 SELECT vec_id, round(max(list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(e::DOUBLE[], e::DOUBLE[]))), 5) AS best FROM embeddings, k GROUP BY vec_id HAVING max(list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(e::DOUBLE[], e::DOUBLE[]))) >= 0.3"""
 )
 def semantic_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors against 16 that stand for the keywords; the keyword list is the limit, not the table."""
+    """All vectors against the first of each label, which stand for the keywords."""
     e = v.table(spark, sf_dir, "embeddings")
-    keywords = e.orderBy("vec_id").limit(16).select(F.col("vec_id").cast("string").alias("keyword"), "embedding")
+    keywords = e.groupBy(F.col("label").cast("string").alias("keyword")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
     return collect.semantic_matches(e, keywords, 0.3).select("vec_id", F.round("best", 5).alias("best"))
 
 
@@ -488,10 +488,14 @@ def monthly_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.monthly(v.articles(spark, sf_dir), "published_date", CONFIG.low_coverage)
 
 
-@query("WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, min(o_orderdate) OVER () AS a, max(o_orderdate) OVER () AS b, o_orderkey FROM orders WHERE o_orderkey % 97 = 0) SELECT strftime(d, '%Y-%m') AS month FROM (SELECT unnest(generate_series(date_trunc('month', min(a)), date_trunc('month', max(b)), INTERVAL 1 MONTH)) AS d FROM o) EXCEPT SELECT month FROM o")
+@query(
+    """WITH m AS (SELECT DISTINCT o_custkey, date_trunc('month', o_orderdate) AS d FROM orders),
+spine AS (SELECT o_custkey, unnest(generate_series(min(d), max(d), INTERVAL 1 MONTH)) AS d FROM m GROUP BY 1)
+SELECT o_custkey, strftime(d, '%Y-%m') AS month FROM (SELECT o_custkey, CAST(d AS DATE) AS d FROM spine EXCEPT SELECT o_custkey, CAST(d AS DATE) FROM m)"""
+)
 def month_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months without an order among the orders of one campaign, numbered by 97."""
-    return explore.missing_months(v.table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0"), "o_orderdate")
+    """Of every customer, the months without an order between the first and the last."""
+    return explore.missing_months(v.table(spark, sf_dir, "orders"), "o_orderdate", "o_custkey")
 
 
 @query(f"WITH {v.EXPLORED} SELECT strftime(published_date, '%Y-%m') AS month, count(*) AS total, count(*) FILTER ({RELEVANT}) AS relevant, count(*) FILTER (label = 'IRRELEVANT') AS irrelevant, round(count(*) FILTER ({RELEVANT}) * 100.0 / count(*), 6)::DOUBLE AS pct_relevant, count(*) FILTER ({RELEVANT}) < 2 AS is_low FROM explored GROUP BY 1")
@@ -589,11 +593,11 @@ def anti_join_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect.not_done(v.articles(spark, sf_dir), v.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("article_id")), "article_id").select("article_id")
 
 
-@query("SELECT n_name || '::' || r_name AS task FROM nation, region WHERE n_nationkey % 3 <> 0 AND NOT (n_nationkey % 5 = r_regionkey)")
+@query("SELECT n_name || '::' || r_name AS task FROM nation, region WHERE n_regionkey <> 2 AND n_regionkey <> r_regionkey")
 def task_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = v.table(spark, sf_dir, "nation"), v.table(spark, sf_dir, "region")
-    sources = n.select(F.col("n_name").alias("source_key"), F.expr("n_nationkey % 3 <> 0").alias("enabled"), F.col("n_regionkey").alias("priority"))
-    done = n.join(r, F.expr("n_nationkey % 5 = r_regionkey")).select(F.concat_ws("::", "n_name", "r_name").alias("task"))
+    sources = n.select(F.col("n_name").alias("source_key"), F.expr("n_regionkey <> 2").alias("enabled"), F.col("n_regionkey").alias("priority"))
+    done = n.join(r, F.expr("n_regionkey = r_regionkey")).select(F.concat_ws("::", "n_name", "r_name").alias("task"))
     return collect.tasks(sources, r.select(F.col("r_name").alias("keyword")), done).select("task")
 
 

@@ -34,7 +34,7 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, own = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").select("doc_id")
     names = F.array(*[F.lit(x) for x in (*LABELS, "OTHER")])
     goods = F.array(*[F.lit(x) for x in COMMODITIES])
-    pick = lambda e: F.element_at(goods, F.expr(f"cast({e} % 10 as int) + 1"))
+    pick = lambda e: F.element_at(goods, F.expr(f"cast(({e}) % 10 as int) + 1"))
     return d.join(own, "doc_id").select(
         F.col("doc_id").alias("article_id"), F.element_at(names, F.expr("cast(doc_id % 5 as int) + 1")).alias("label"), F.expr("cast(doc_id * 7919 % 2201 - 1100 as double) / 1000d").alias("sentiment_score"),
         F.expr("case when doc_id % 31 <> 0 then cast(doc_id * 104729 % 1001 as double) / 1000d end").alias("confidence"), F.array(pick("doc_id"), F.concat(F.upper(pick("doc_id * 3 + 1")), F.lit(" "))).alias("commodities"),
@@ -73,12 +73,14 @@ explored AS (SELECT a.*, CASE WHEN e.article_id IS NULL THEN 'NO_EXTRACTION' ELS
 )
 
 
+_COMMON = "abs(o_totalprice - 250000) < case when year(o_orderdate) < 1998 then 243000 when year(o_orderdate) < 2000 then 230000 else 0 end"
+
+
 def period_obs(spark: SparkSession, sf_dir: str, sparse: bool = True) -> DataFrame:
-    """Orders as labelled articles; sparse keeps fewer of the early years, as a corpus does."""
+    """All orders as labelled articles; sparse: of the early years only those of extreme prices are relevant."""
     orders = table(spark, sf_dir, "orders")
-    if sparse:
-        orders = orders.where("o_orderkey % (case when year(o_orderdate) < 1998 then 40 when year(o_orderdate) < 2000 then 12 else 1 end) = 0")
-    label = F.expr("case left(o_orderpriority, 1) when '1' then 'SUPPLYSHOCK' when '2' then 'DEMANDSHOCK' when '3' then 'PRICEREPORT' else 'IRRELEVANT' end")
+    common = _COMMON if sparse else "false"
+    label = F.expr(f"case when {common} then 'IRRELEVANT' else case left(o_orderpriority, 1) when '1' then 'SUPPLYSHOCK' when '2' then 'DEMANDSHOCK' when '3' then 'PRICEREPORT' else 'IRRELEVANT' end end")
     return orders.select(
         F.col("o_orderkey").alias("article_id"), F.col("o_orderdate").cast("date").alias("published_date"), label.alias("label"),
         F.expr("greatest(-1d, least(1d, (o_totalprice - 250000d) / 250000d))").alias("sentiment_score"), F.expr("0.5d + cast(o_orderkey % 51 as double) / 100d").alias("confidence"),
@@ -87,14 +89,14 @@ def period_obs(spark: SparkSession, sf_dir: str, sparse: bool = True) -> DataFra
 
 
 def period_obs_sql(sparse: bool = True) -> str:
-    where = "WHERE o_orderkey % (CASE WHEN year(o_orderdate) < 1998 THEN 40 WHEN year(o_orderdate) < 2000 THEN 12 ELSE 1 END) = 0" if sparse else ""
+    common = _COMMON if sparse else "false"
     return f"""period_obs AS (
   SELECT article_id, published_date, label, sentiment_score, confidence,
     CASE WHEN label IN ('SUPPLYSHOCK', 'DEMANDSHOCK') THEN CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'B' END ELSE 'N/A' END AS type_ab
   FROM (SELECT o_orderkey AS article_id, o_custkey, CAST(o_orderdate AS DATE) AS published_date,
-    CASE left(o_orderpriority, 1) WHEN '1' THEN 'SUPPLYSHOCK' WHEN '2' THEN 'DEMANDSHOCK' WHEN '3' THEN 'PRICEREPORT' ELSE 'IRRELEVANT' END AS label,
+    CASE WHEN {common} THEN 'IRRELEVANT' ELSE CASE left(o_orderpriority, 1) WHEN '1' THEN 'SUPPLYSHOCK' WHEN '2' THEN 'DEMANDSHOCK' WHEN '3' THEN 'PRICEREPORT' ELSE 'IRRELEVANT' END END AS label,
     greatest(-1.0, least(1.0, (o_totalprice - 250000) / 250000)) AS sentiment_score, 0.5 + CAST(o_orderkey % 51 AS DOUBLE) / 100 AS confidence
-    FROM orders {where}))"""
+    FROM orders))"""
 
 
 def target(spark: SparkSession, sf_dir: str) -> DataFrame:
