@@ -53,9 +53,9 @@ def cross_correlation(series: DataFrame, y: str, x: str, order: str, max_lag: in
     shifted = {k: (F.lag(x, k) if k >= 0 else F.lead(x, -k)).over(window) for k in range(-max_lag, max_lag + 1)}
     wide = series.select(F.col(y).alias("y"), F.count("*").over(Window.partitionBy()).alias("size"), *[c.alias(f"x{k + max_lag}") for k, c in shifted.items()])
     long = wide.select("y", "size", F.posexplode(F.array(*[f"x{i}" for i in range(2 * max_lag + 1)])).alias("at", "x")).where("y is not null")
-    n = F.count("x")
-    good = (n > 2) & (F.coalesce(F.stddev_pop(F.when(F.col("x").isNotNull(), F.col("y"))), F.lit(0.0)) > 0) & (F.coalesce(F.stddev_pop("x"), F.lit(0.0)) > 0)
-    corr = F.when(good, F.corr(F.when(F.col("x").isNotNull(), F.col("y")), F.col("x"))).otherwise(0.0)
+    n, paired = F.count("x"), F.when(F.col("x").isNotNull(), F.col("y"))
+    spread = F.nullif(F.stddev_pop(paired) * F.stddev_pop("x"), F.lit(0.0))
+    corr = F.when(n > 2, F.coalesce(F.covar_pop(paired, "x") / spread, F.lit(0.0))).otherwise(0.0)
     return long.groupBy((F.col("at") - max_lag).cast("int").alias("lag")).agg(n.alias("n"), F.round(corr, 6).alias("correlation"), F.round(1.96 / F.sqrt(F.max("size")), 6).alias("band"))
 
 

@@ -27,8 +27,8 @@ def stratified_sample(rows: DataFrame, n: int, floor: int, key: str = "article_i
     base = sum(min(floor, s) for s in sizes.values())
     left, pool = n - base, total - base
     quota = {k: min(floor, s) + (round((s - min(floor, s)) * left / pool) if pool else 0) for k, s in sizes.items()}
-    plan = rows.sparkSession.createDataFrame([(k, q) for k, q in quota.items()], "label string, _quota long")
-    ranked = ranked.join(F.broadcast(plan), F.col("label").eqNullSafe(plan["label"])).drop(plan["label"])
+    plan = rows.sparkSession.createDataFrame([(k, q) for k, q in quota.items()], "_stratum string, _quota long")
+    ranked = ranked.join(F.broadcast(plan), F.col("label").eqNullSafe(F.col("_stratum"))).drop("_stratum")
     first = (F.col("_rank") > floor).cast("int") + (F.col("_rank") > F.col("_quota")).cast("int")
     return ranked.withColumn("_turn", first).orderBy("_turn", "_lot", key).limit(n).orderBy("_lot", key).drop("_lot", "_rank", "_quota", "_turn")
 

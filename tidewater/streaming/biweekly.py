@@ -13,6 +13,6 @@ def biweekly_counts(events: DataFrame, config: Config, time: str = "ts", value:
     offset = (config.anchor - config.anchor.__class__(1970, 1, 1)).days % 14
     window = F.window(time, "14 days", "14 days", f"{offset} days")
     if events.isStreaming:
-        events = events.withWatermark(time, lateness)
+        events = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
     rows = events.groupBy(window.alias("w")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
     return rows.select(F.col("w.start").cast("date").alias("date_start"), F.date_sub(F.col("w.end").cast("date"), 1).alias("date_end"), "n", "mean")
