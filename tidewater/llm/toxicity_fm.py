@@ -1,8 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are runs of letters and digits of the lower-cased text, hashed to 2**18 indicators. The machine
-adds to the linear weights of the terms a low-rank weight for each pair, so that two terms harmless
-by themselves can be toxic together. It is fitted by AdaGrad on the logistic loss, on at most
+Terms are runs of letters and digits of the lower-cased text, and the first `STEM` bytes of longer
+ones, so that inflected and compound words share a term; they are hashed to 2**18 indicators. The
+machine adds to the linear weights of the terms a low-rank weight for each pair, so that two terms
+harmless by themselves can be toxic together. It is fitted by AdaGrad on the logistic loss, on at most
 `per_class` labelled documents of each class (see labelled_sample). Only terms of at least
 `least_documents` of these whose share differs between the classes, alone or beside another such
 term, take part; this keeps the noise of rare words out of long texts. The odds are corrected to the
@@ -25,17 +26,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.labelled import labelled_sample
-from tidewater.llm.textscan import NOT_ALNUM, Joined, Words, as_column, list_array, pieces
+from tidewater.llm.textscan import NOT_ALNUM, Joined, Words, as_column, list_array, mix64, pieces
 
 BITS, PER_CLASS, FACTORS, EPOCHS, RATE, L2 = 18, 6000, 8, 12, 0.1, 1e-4
-LEAST_DOCUMENTS, LEAST_Z = 3, 3.0
+LEAST_DOCUMENTS, LEAST_Z, STEM = 3, 5.0, 5
 THRESHOLD = 0.2
 
 
 def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row << BITS | term, ascending and distinct; number of terms of each row)."""
-    words = Words(Joined(pc.utf8_lower(texts)), NOT_ALNUM)
-    flat = np.sort((words.doc.astype(np.int64) << BITS) | (words.hash >> np.uint64(64 - BITS)).astype(np.int64))
+    joined = Joined(pc.utf8_lower(texts))
+    words = Words(joined, NOT_ALNUM)
+    long = words.end - words.start > STEM
+    start, stem = words.start[long], np.full(int(long.sum()), 1, dtype=np.uint64)
+    for k in range(STEM):
+        stem = stem << np.uint64(8) | joined.data[start + k].astype(np.uint64)
+    doc, value = np.concatenate((words.doc, words.doc[long])), np.concatenate((words.hash, mix64(stem)))
+    flat = np.sort((doc.astype(np.int64) << BITS) | (value >> np.uint64(64 - BITS)).astype(np.int64))
     if len(flat):
         flat = flat[np.concatenate(([True], flat[1:] != flat[:-1]))]
     return flat, np.bincount(flat >> BITS, minlength=len(texts)).astype(np.int64)
