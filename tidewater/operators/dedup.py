@@ -40,10 +40,17 @@ def signature(text: str, seed: int = 42) -> np.ndarray:
     value = np.unique(value * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33))
     a, b = _constants(seed)
     out = np.full(PERMUTATIONS, PRIME, dtype=np.uint64)
-    for low in range(0, len(value), 1 << 14):
-        part = value[low : low + (1 << 14)]
-        for k in range(PERMUTATIONS):
-            out[k] = min(out[k], (((a[k] * part) + b[k]) % np.uint64(PRIME)).min())
+    half, rest, one = np.uint64(32), np.uint64(PRIME), np.uint64(1)
+    for low in range(0, len(value), 512):  # pieces that stay in cache; modulo 2**32 - 1 by folding
+        x = a[:, None] * value[low : low + 512]
+        x += b[:, None]
+        for shift in (0, 0, 1):  # the last fold turns 2**32 - 1 into 0
+            x += one * np.uint64(shift)
+            over = x >> half
+            x &= rest
+            x += over
+        x -= one
+        np.minimum(out, x.min(axis=1), out=out)
     return out.astype(np.int64)
 
 
