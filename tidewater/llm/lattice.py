@@ -31,7 +31,7 @@ from tidewater.llm.lineage import keep
 from tidewater.llm.textscan import as_column, mix64
 
 THRESHOLD, TABLES, PROBES, WIDTH, BLOCKS, TILE, SEED = 0.9, 4, 4, 0.6, 1, 20_000, 23
-STEP = 1024
+STEP, PAIRS = 1024, 1 << 16
 
 
 def _neighbours() -> np.ndarray:
@@ -96,7 +96,7 @@ def cells(unit: np.ndarray, tables: int, probes: int, width: float, blocks: int,
     return own, probed
 
 
-def _hash(dims: int, tables: int, probes: int, width: float, blocks: int, seed: int):
+def _hash(dims: int, real: type, tables: int, probes: int, width: float, blocks: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = as_column(batch, "embedding")
@@ -106,41 +106,52 @@ def _hash(dims: int, tables: int, probes: int, width: float, blocks: int, seed:
             x = np.stack([np.asarray(lists[i].as_py(), dtype=np.float64) for i in rows])
             length = np.sqrt((x * x).sum(axis=1))
             good = np.isfinite(length) & (length > 0)
-            x, rows = x[good] / length[good, None], np.array(rows)[good]
+            x, rows = x[good], np.array(rows)[good]
             if not len(rows):
                 continue
-            own, probed = cells(x, tables, probes, width, blocks, seed)
+            own, probed = cells(x / length[good, None], tables, probes, width, blocks, seed)
             blob = lambda a: pa.array([r.tobytes() for r in a], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [as_column(batch, "vec_id").take(pa.array(rows)), blob(x.astype(np.float32)), blob(own), pa.array(own.tolist(), pa.list_(pa.int64())), pa.array(probed.tolist(), pa.list_(pa.list_(pa.int64())))],
+                [as_column(batch, "vec_id").take(pa.array(rows)), blob(x.astype(real)), blob(own), pa.array(own.tolist(), pa.list_(pa.int64())), pa.array(probed.tolist(), pa.list_(pa.list_(pa.int64())))],
                 names=["id", "vector", "signature", "own", "probed"],
             )
 
     return run
 
 
-def _verify(threshold: float, dims: int):
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row in doubles, so that the value depends on the pair alone."""
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    return (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+
+
+def _verify(threshold: float, dims: int, real: type):
     """Batches sorted by (cell, block, prober): members come before the probers of their cell."""
 
-    def pairs(members: tuple, probers: tuple, table: int, same: bool) -> pa.RecordBatch | None:
+    def pairs(members: tuple, probers: tuple, table: int, same: bool) -> Iterator[pa.RecordBatch]:
         (ids, x, sign), (ids2, x2, sign2) = members, probers
-        out = []
+        unit = _unit(x)
+        unit2 = unit if same else _unit(x2)
         for low in range(0, len(ids2), STEP):
-            cosine = x2[low : low + STEP] @ x.T
-            near = cosine >= threshold
+            near = unit2[low : low + STEP] @ unit.T >= threshold - 1e-6
             if same:
                 near &= ids2[low : low + STEP, None] > ids[None, :]
             a, b = np.nonzero(near)
-            # a pair that shares a cell in an earlier table is reported there
-            fresh = ~(sign2[low + a, :table] == sign[b, :table]).any(axis=1) & (ids2[low + a] != ids[b])
-            a, b = a[fresh], b[fresh]
-            if len(a):
-                u, v = ids2[low + a], ids[b]
-                out.append((np.minimum(u, v), np.maximum(u, v)))
-        if not out:
-            return None
-        u, v = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+            for at in range(0, len(a), PAIRS):
+                u, v = low + a[at : at + PAIRS], b[at : at + PAIRS]
+                # a pair that shares a cell in an earlier table is reported there
+                fresh = ~(sign2[u, :table] == sign[v, :table]).any(axis=1) & (ids2[u] != ids[v])
+                u, v = u[fresh], v[fresh]
+                cosine = _cosines(x2[u], x[v])
+                sure = cosine >= threshold
+                u, v = ids2[u[sure]], ids[v[sure]]
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(cosine[sure])], names=["a", "b", "cosine"])
 
     def stack(parts: list) -> tuple:
         return tuple(np.concatenate(z) for z in zip(*parts, strict=True))
@@ -149,8 +160,7 @@ def _verify(threshold: float, dims: int):
         if members:
             own = stack(members)
             for others, same in ((own, True), *([(stack(probers), False)] if probers else [])):
-                if (out := pairs(own, others, table, same)) is not None:
-                    yield out
+                yield from pairs(own, others, table, same)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, table = None, ([], []), 0
@@ -160,7 +170,7 @@ def _verify(threshold: float, dims: int):
                 continue
             tables, cell, block, kind = (as_column(batch, c).to_numpy(zero_copy_only=False) for c in ("table", "cell", "block", "kind"))
             ids = as_column(batch, "id").to_numpy(zero_copy_only=False)
-            x = np.frombuffer(b"".join(as_column(batch, "vector").to_pylist()), dtype=np.float32).reshape(n, dims)
+            x = np.frombuffer(b"".join(as_column(batch, "vector").to_pylist()), dtype=real).reshape(n, dims)
             sign = np.frombuffer(b"".join(as_column(batch, "signature").to_pylist()), dtype=np.int64).reshape(n, -1)
             new = np.zeros(n, dtype=bool)
             for c in (tables, cell, block, kind):
@@ -189,7 +199,8 @@ def near_duplicate_pairs(
     if dims is None:
         first = base.where("size(embedding) > 0").selectExpr("size(embedding) as n").first()
         dims = first[0] if first else 1
-    hashed = base.mapInArrow(_hash(dims, tables, probes, width, blocks, seed), "id long, vector binary, signature binary, own array<long>, probed array<array<long>>")
+    real = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
+    hashed = base.mapInArrow(_hash(dims, real, tables, probes, width, blocks, seed), "id long, vector binary, signature binary, own array<long>, probed array<array<long>>")
     hashed = keep(hashed)
     members = hashed.select("id", "vector", "signature", F.posexplode("own").alias("table", "cell"))
     crowded = members.groupBy("table", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")).where("parts > 1").toArrow()
@@ -204,10 +215,5 @@ def near_duplicate_pairs(
     else:
         rows = rows.withColumn("block", F.lit(0))
     rows = rows.select("table", "cell", "block", "kind", "id", "vector", "signature").repartition("table", "cell", "block").sortWithinPartitions("table", "cell", "block", "kind")
-    found = rows.mapInArrow(_verify(threshold - 1e-6, dims), "a long, b long").distinct()
-    # the cosine itself is taken from the original doubles, so that it depends on the pair alone
-    vector = base.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).where(F.size("embedding") == dims)
-    pairs = found.join(vector.select(F.col("vec_id").alias("a"), F.col("e").alias("x")), "a").join(vector.select(F.col("vec_id").alias("b"), F.col("e").alias("y")), "b")
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda acc, s: acc + s)
-    pairs = pairs.withColumn("cosine", dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))).where(F.col("cosine") >= threshold)
-    return pairs.groupBy(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b")).agg(F.max("cosine").alias("cosine"))
+    found = rows.mapInArrow(_verify(threshold, dims, real), "a long, b long, cosine double")
+    return found.groupBy(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b")).agg(F.max("cosine").alias("cosine"))
