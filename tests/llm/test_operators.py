@@ -95,6 +95,27 @@ def test_tiles_find_all_pairs(spark, documents):
     assert whole == tiled and len(whole) == 70 * 69 // 2
 
 
+def test_chained_components_split_without_loss(spark):
+    draw = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for family in range(12):  # families of near copies, chained by one passage that all share
+        own = [f"f{family}w{i}" for i in range(90)]
+        for _ in range(draw.choice([1, 2, 5, 30])):
+            words = passage + own
+            for _ in range(draw.randrange(12)):
+                words[draw.randrange(len(words))] = f"x{draw.randrange(10**6)}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(w, w[1:], w[2:], strict=False)) for w in (t.split() for t in texts)]
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+    want = {k: v for k, v in want.items() if v >= 0.5}
+    for tile, whole in ((256, 16), (7, 1), (2, 0)):
+        got = {(r[0], r[1]): r[2] for r in ngram_join.ngram_jaccard_join(docs, tile=tile, whole=whole).collect()}
+        assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
+        assert all(abs(want[k] - v) < 1e-12 for k, v in got.items())
+
+
 def test_bands():
     for t in (0.5, 0.7, 0.9):
         b = ngram_join.bands_for(t, 0.95, 4)

@@ -10,6 +10,13 @@ connected components of those links are the work units. Inside a component every
 on the full sets, in tiles of `tile` x `tile` classes, so that a family of any size is spread over
 many tasks and no bucket is cut.
 
+Chance links can chain unrelated families into one component, the more so the larger the corpus.
+A component of more than `whole` tiles' classes is therefore split by its buckets: each class gets as
+home the smallest class of its buckets that it meets most often, homes are cut into blocks of about
+`tile` classes, and a tile of two blocks holds only classes that share a bucket with the other block.
+Every pair that meets in a bucket lies in exactly one tile, so nothing is lost, and the work follows
+the number of candidates instead of the component's square.
+
 Defined results: null or empty texts have no n-grams and match nothing; rows without an id can't be
 named and match nothing; repeated rows of one id are one document in pairs; several texts under one
 id are compared each by itself and never with each other; an empty table gives no pairs; other
@@ -31,7 +38,7 @@ from tidewater.llm.components import connected_components
 from tidewater.llm.lineage import keep
 from tidewater.llm.textscan import WHITE, Joined, Words, as_column, gram_hashes, list_array, mix64, pieces
 
-N, THRESHOLD, RECALL, ROWS, TILE = 3, 0.5, 0.99, 3, 256
+N, THRESHOLD, RECALL, ROWS, TILE, WHOLE = 3, 0.5, 0.99, 3, 256, 16
 CELLS = 1 << 21
 
 
@@ -199,7 +206,22 @@ def signed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: fl
     return keep(base.mapInArrow(_sign(n, bands_for(threshold, recall, rows), rows, seed), "doc_id long, h long, class long, bands array<long>"))
 
 
-def class_edges(docs: DataFrame, signs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+def _bucket_tiles(keyed: DataFrame, classes: DataFrame, tile: int) -> DataFrame:
+    """(low, high, class, block): the tiles of keyed(class, band, key) for those of classes(class) that share a bucket."""
+    bucket = Window.partitionBy("band", "key")
+    met = keyed.join(classes, "class", "left_semi").select("class", "band", "key", F.min("class").over(bucket).alias("least"), F.count("*").over(bucket).alias("m"))
+    met = keep(met.where("m > 1").drop("m"))
+    often = met.groupBy("class", "least").agg(F.count(F.when(F.col("least") != F.col("class"), 1)).alias("n"))
+    home = often.groupBy("class").agg(F.max_by("least", F.struct("n", F.bitwise_not("least"))).alias("home"))
+    parts = home.groupBy("home").agg(F.ceil(F.count("*") / tile).alias("parts"))
+    blocks = keep(home.join(parts, "home").select("class", F.xxhash64("home", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("block")))
+    placed = met.join(blocks, "class").select("band", "key", "class", "block")
+    others = placed.select("band", "key", F.col("block").alias("other")).distinct()
+    tiles = placed.join(others, ["band", "key"])
+    return tiles.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "block").distinct()
+
+
+def class_edges(docs: DataFrame, signs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE, whole: int = WHOLE) -> DataFrame:
     """(u, v, jaccard): verified pairs of distinct classes."""
     classes = signs.groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.first("bands").alias("bands"))
     keyed = classes.select("class", F.posexplode("bands").alias("band", "key"))
@@ -210,24 +232,31 @@ def class_edges(docs: DataFrame, signs: DataFrame, n: int = N, threshold: float
     units = members.join(sized, "component").join(classes.select(F.col("class").alias("node"), "row"), "node")
     units = units.select(
         F.col("row.doc_id").alias("doc_id"), F.col("row.h").alias("h"), F.col("node").alias("class"), "component", "blocks",
-        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
+        F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"),
     )
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    sets = texts.join(units, ["doc_id", "h"]).select("class", "component", "blocks", "block", "text").mapInArrow(_sets(n), "class long, component long, blocks int, block int, grams binary")
-    tiles = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    crowded = bool(sized.where(F.col("blocks") > whole).limit(1).count())
+    own = units.where(F.col("blocks") <= whole) if crowded else units
+    sets = texts.join(own, ["doc_id", "h"]).select("class", "component", "blocks", "block", "text").mapInArrow(_sets(n), "class long, component long, blocks int, block long, grams binary")
+    tiles = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     tiles = tiles.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "block", "grams")
+    if crowded:
+        wide = keep(units.where(F.col("blocks") > whole).select("class", "doc_id", "h"))
+        sets = texts.join(wide, ["doc_id", "h"]).select("class", "text").mapInArrow(_sets(n), "class long, grams binary")
+        placed = _bucket_tiles(keyed, wide.select("class"), tile).join(sets, "class")
+        tiles = tiles.union(placed.select(F.lit(0).cast("long").alias("component"), "low", "high", "class", "block", "grams"))
     tiles = tiles.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
     return tiles.mapInArrow(_verify(threshold), "u long, v long, jaccard double")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, tile: int = TILE) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, tile: int = TILE, whole: int = WHOLE) -> DataFrame:
     """All pairs of ids a < b whose n-gram sets have a Jaccard similarity of at least the threshold.
 
     One row (doc_id_a, doc_id_b, jaccard) for each pair of ids; if an id has several texts, the most
     similar pair of texts counts.
     """
     signs = signed(docs, n, threshold, recall, rows)
-    edges = class_edges(docs, signs, n, threshold, tile)
+    edges = class_edges(docs, signs, n, threshold, tile, whole)
     ids = signs.select("class", "doc_id").distinct()
     members = ids.groupBy("class").agg(F.collect_list("doc_id").alias("ids"))
     same = members.where("size(ids) > 1").select(F.col("ids").alias("a"), F.col("ids").alias("b"), F.lit(1.0).alias("jaccard"))
@@ -240,14 +269,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     return pairs.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def keep_one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, tile: int = TILE) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, tile: int = TILE, whole: int = WHOLE) -> DataFrame:
     """docs without the copies: of each group of documents linked by such pairs the smallest id stays.
 
     Of identical rows one stays. Rows without an id, and texts without words, all stay. The columns
     are those of docs.
     """
     signs = signed(docs, n, threshold, recall, rows)
-    edges = class_edges(docs, signs, n, threshold, tile)
+    edges = class_edges(docs, signs, n, threshold, tile, whole)
     groups = connected_components(edges.select("u", "v"))
     placed = signs.select("doc_id", "h", "class").join(groups, F.col("class") == F.col("node"), "left")
     group = Window.partitionBy(F.coalesce("component", "class"))
