@@ -28,12 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.textscan import as_column, list_array, pieces, ragged, runs
+from tidewater.llm.textscan import as_column, give_back, list_array, pieces, ragged, runs
 
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-ENCODE_BYTES = 1 << 23
-TABLE_CHUNKS = 1 << 20
+ENCODE_BYTES = 1 << 22
+TABLE_CHUNKS = 1 << 18
 NONE = np.int32(2**31 - 1)
 
 
@@ -254,6 +254,8 @@ def _encode(path: str, pattern: str):
                 if part.null_count:
                     lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=null)
                 yield pa.RecordBatch.from_arrays([as_column(batch, "doc_id").slice(low, high - low), lists, pa.array(counts.astype(np.int32), mask=null.to_numpy(zero_copy_only=False))], names=["doc_id", "tokens", "n_tokens"])
+        del encoder
+        give_back()
 
     return run
 

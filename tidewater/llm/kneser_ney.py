@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.textscan import as_column, mix64, pieces, runs
+from tidewater.llm.textscan import as_column, give_back, mix64, pieces, runs
 
 BITS = 12
 ORDER = 5
-COUNT_BYTES = 1 << 22
-MERGE_AT = 1 << 22
+COUNT_BYTES = 1 << 20
+MERGE_AT = 1 << 20
 
 
 def _table(of: Callable[[str], int | None]) -> np.ndarray:
@@ -101,14 +101,17 @@ def _count(kind: str, order: int):
                         continue
                     held.setdefault(lang, []).append(runs(np.sort(code)))
                     pending[lang] = pending.get(lang, 0) + len(held[lang][-1][0])
-                    if pending[lang] > MERGE_AT:
-                        held[lang] = [_merge(held[lang])]
-                        pending[lang] = len(held[lang][0][0])
-                        if pending[lang] > MERGE_AT // 2:  # partial counts; Spark adds them up
-                            yield rows(lang, *held.pop(lang)[0])
-                            pending[lang] = 0
-        for lang, parts in held.items():
-            yield rows(lang, *_merge(parts))
+                    if sum(pending.values()) > MERGE_AT:
+                        for k in list(held):
+                            held[k] = [_merge(held[k])]
+                            pending[k] = len(held[k][0][0])
+                        if sum(pending.values()) > MERGE_AT // 2:  # partial counts; Spark adds them up
+                            for k in list(held):
+                                yield rows(k, *held.pop(k)[0])
+                            pending.clear()
+        for lang in list(held):
+            yield rows(lang, *_merge(held.pop(lang)))
+        give_back()
 
     return run
 

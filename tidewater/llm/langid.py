@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.kneser_ney import ORDER, KneserNey, count_grams
+from tidewater.llm.textscan import give_back
 
 DEVIATIONS, SPREAD = 4.0, 0.12
 MODEL_BYTES = 1 << 30
@@ -67,6 +68,7 @@ def classify(spark: SparkSession, model: KneserNey | None, deviations: float = D
             accepted = (sizes > 0) & (value <= model.mean[best] + deviations * error)
             none = sizes == 0
             yield pa.StructArray.from_arrays([pa.array(np.array(model.langs, dtype=object)[best], pa.string(), mask=none), pa.array(value, mask=none), pa.array(sizes), pa.array(accepted)], fields=fields)
+        give_back()
 
     return run
 

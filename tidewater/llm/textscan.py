@@ -6,6 +6,7 @@ the temporaries of one piece stay within a few dozen MB whatever the batch holds
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ def powers(base: int, n: int) -> np.ndarray:
     known = _POWERS.get(base)
     if known is None or len(known) < n:
         known = _powers(base, n)
-        if n <= 8 * PIECE_BYTES:
+        if n <= 2 * PIECE_BYTES:
             _POWERS[base] = known
     return known[:n]
 
@@ -55,6 +56,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
+def give_back() -> None:
+    """Memory that a finished partition no longer needs goes back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `limit` bytes of text each; a longer single text is its own range."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
