@@ -227,6 +227,16 @@ def test_language_accuracy(spark, documents):
     assert kept == {1: False, 2: True}
 
 
+def test_language_rejects_noise_in_the_fitted_table(spark):
+    draw = random.Random(5)
+    word = lambda letters: "".join(draw.choice(letters) for _ in range(800))
+    noise = [(-1 - i, word("abcdefghijklmnopqrstuvwxyz"), "en") for i in range(200)] + [(-1001 - i, word("абвгдежзийклмнопрстуфхцчшщъыьэюя"), "en") for i in range(20)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    kept = langid.keep_identified(docs.unionAll(spark.createDataFrame(noise, docs.schema))).toPandas()
+    assert not (kept.doc_id < 0).any()
+    assert len(kept) >= 0.995 * docs.where("text rlike '[a-z]'").count()
+
+
 def test_perplexity_keeps_clean_documents(spark):
     out = perplexity.perplexity_rules(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
     labels = pq.read_table(f"{SF}/labels.parquet").to_pandas()

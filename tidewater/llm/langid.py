@@ -1,11 +1,14 @@
 """Language identification with one Kneser-Ney character model for each language.
 
 Interpolated Kneser-Ney models of order 5 over lower-cased letters are counted over all documents
-that name their language. A text gets the language with the lowest cross-entropy a symbol. Rejection
-is calibrated on the corpus: under its own model a language has a known mean and variance of nats a
-symbol; a text of n symbols is rejected if its cross-entropy lies more than `deviations` standard
-errors above the mean, where the error allows for `spread` (as a share of the mean) between
-documents besides variance / n.
+that name their language. A text gets the language with the lowest cross-entropy a symbol. Documents
+of the table itself are scored by models of the folds they are not in, so none is known by its own
+letters. Rejection is calibrated on those scores, over all documents that name the language they get:
+a text of n symbols is rejected if its cross-entropy lies more than `deviations` standard errors above
+their median, where the error allows for the spread between documents (1.4826 x median absolute
+deviation, at least the share `spread` of the median) besides variance / n. A language with too few
+texts to split (`heldout.scarce`) is counted over all folds, and mean and `spread` of its model stand
+in for the calibration, as they do for texts outside the table; its rejection is lenient.
 
 Defined results: null, empty and letterless texts get no language and are rejected; documents with a
 null language are classified but not learned from; of equal cross-entropies the language first in
@@ -19,10 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.heldout import folds, scarce
 from tidewater.llm.kneser_ney import ORDER, KneserNey, count_grams
+from tidewater.llm.perplexity import bands
 from tidewater.llm.textscan import give_back
 
 DEVIATIONS, SPREAD = 4.0, 0.12
@@ -47,15 +53,21 @@ def fit(docs: DataFrame, order: int = ORDER) -> KneserNey | None:
     return model
 
 
-def classify(spark: SparkSession, model: KneserNey | None, deviations: float = DEVIATIONS, spread: float = SPREAD):
-    """A function of a text column: struct(lang, cross_entropy, symbols, accepted)."""
+def classify(spark: SparkSession, model: KneserNey | Broadcast | None, deviations: float = DEVIATIONS, spread: float = SPREAD, limits: dict[str, tuple[float, float]] | None = None):
+    """A function of a text column: struct(lang, cross_entropy, symbols, accepted).
+
+    `limits`: (middle, spread) of nats a symbol for languages where they are not those of the model.
+    """
     kind = "struct<lang:string,cross_entropy:double,symbols:long,accepted:boolean>"
     fields = [pa.field("lang", pa.string()), pa.field("cross_entropy", pa.float64()), pa.field("symbols", pa.int64()), pa.field("accepted", pa.bool_())]
-    shared = spark.sparkContext.broadcast(model)
+    shared = model if isinstance(model, Broadcast) else spark.sparkContext.broadcast(model)
+    limits = limits or {}
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
+        if model is not None:
+            middle, wide = np.array([limits.get(k, (m, spread * m)) for k, m in zip(model.langs, model.mean.tolist(), strict=True)]).T
         for texts in batches:
             if model is None:
                 n = len(texts)
@@ -64,8 +76,8 @@ def classify(spark: SparkSession, model: KneserNey | None, deviations: float = D
             entropy, sizes = model.cross_entropy(texts, "letters", SCORE_BYTES)
             best = entropy.argmin(axis=1)
             value = entropy[np.arange(len(best)), best]
-            error = np.sqrt(model.variance[best] / np.maximum(sizes, 1) + (spread * model.mean[best]) ** 2)
-            accepted = (sizes > 0) & (value <= model.mean[best] + deviations * error)
+            error = np.sqrt(model.variance[best] / np.maximum(sizes, 1) + wide[best] ** 2)
+            accepted = (sizes > 0) & (value <= middle[best] + deviations * error)
             none = sizes == 0
             yield pa.StructArray.from_arrays([pa.array(np.array(model.langs, dtype=object)[best], pa.string(), mask=none), pa.array(value, mask=none), pa.array(sizes), pa.array(accepted)], fields=fields)
         give_back()
@@ -73,13 +85,25 @@ def classify(spark: SparkSession, model: KneserNey | None, deviations: float = D
     return run
 
 
-def _scored(docs: DataFrame, text: Column, deviations: float, spread: float) -> Column:
-    return classify(docs.sparkSession, fit(docs.select("lang", "text")), deviations, spread)(text)
+def _scored(docs: DataFrame, name: str, deviations: float, spread: float) -> DataFrame:
+    """docs with a struct(lang, cross_entropy, symbols, accepted) of every row, each by models that never saw its text."""
+    spark = docs.sparkSession
+    few = scarce(docs.select("lang", "text"))
+    parts = [(spark.sparkContext.broadcast(fit(learn.select("lang", "text"))), rows) for learn, rows in folds(docs, few)]
+
+    def marked(limits: dict[str, tuple[float, float]]) -> DataFrame:
+        first, *rest = [rows.withColumn(name, classify(spark, model, deviations, spread, limits)("text")) for model, rows in parts]
+        for part in rest:
+            first = first.unionAll(part)
+        return first
+
+    own = marked({}).where(F.col("lang") == F.col(f"{name}.lang")).where(~F.col("lang").isin(few))
+    return marked(bands(own.select("lang", F.col(f"{name}.cross_entropy").alias("nats"), F.col(f"{name}.symbols").alias("symbols")), spread))
 
 
 def identify(docs: DataFrame, deviations: float = DEVIATIONS, spread: float = SPREAD) -> DataFrame:
     """(doc_id, lang, cross_entropy, symbols, accepted) of every document."""
-    scored = docs.select("doc_id", _scored(docs, F.col("text"), deviations, spread).alias("s"))
+    scored = _scored(docs.select("doc_id", "lang", "text"), "s", deviations, spread)
     return scored.select("doc_id", "s.lang", "s.cross_entropy", "s.symbols", "s.accepted")
 
 
@@ -88,5 +112,4 @@ def keep_identified(docs: DataFrame, deviations: float = DEVIATIONS, spread: flo
     name = "_identified"
     while name in docs.columns:
         name += "_"
-    marked = docs.withColumn(name, _scored(docs, F.col("text"), deviations, spread))
-    return marked.where(F.col(f"{name}.accepted")).drop(name)
+    return _scored(docs, name, deviations, spread).where(F.col(f"{name}.accepted")).drop(name)
