@@ -245,6 +245,20 @@ def test_perplexity_keeps_clean_documents(spark):
     assert ((both.lower < both.upper) & (~both.keep | (both.perplexity <= both.upper))).all()
 
 
+def test_perplexity_rejects_junk_on_both_sides(spark):
+    draw = random.Random(5)
+    noise = [(-1 - i, "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(800)), "en") for i in range(50)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    out = perplexity.perplexity_rules(docs.unionAll(spark.createDataFrame(noise, docs.schema))).toPandas()
+    assert len(out) == docs.count() + len(noise)
+    made = out[out.doc_id < 0]
+    assert not made.keep.any() and (made.perplexity > made.upper).all()
+    both = out.merge(pq.read_table(f"{SF}/labels.parquet").to_pandas(), on="doc_id")
+    junk, clean = both[both.quality == 0], both[both.quality == 1]
+    assert 1 - junk.keep.mean() > 0.4 and (junk.seen_perplexity < junk.seen_lower).mean() > 0.4
+    assert clean.keep.mean() >= 0.99
+
+
 def held_out(documents, label, features, bits, module):
     both = documents.merge(pq.read_table(f"{SF}/labels.parquet").to_pandas(), on="doc_id")
     rows = []

@@ -1,11 +1,15 @@
 """Quality rules: bands of character n-gram perplexity, set for each language.
 
 Spark counts the 5-grams of all texts of a language; a modified Kneser-Ney model of them, kept in
-sorted hash arrays, gives each text its nats a symbol and its perplexity. The band of a language is
-centred on the median of all its documents; its half-width is `deviations` times the error, which
-joins the spread between documents (1.4826 x median absolute deviation, from a histogram of steps of
-1e-4 nats over all documents) with the model's variance a symbol divided by the text's length. Below
-the lower edge lie repetitive and templated texts, above the upper edge noise and other languages.
+sorted hash arrays, gives each text its nats a symbol and its perplexity. Each text is scored twice:
+by a model of the folds it is not in (`perplexity`), which tells noise and other languages, and by a
+model of all texts (`seen_perplexity`), its own among them, under which repetitive and templated texts
+stand out as too well known. Each score has a band for each language: it is centred on the median of
+all its documents; its half-width is `deviations` times the error, which joins the spread between
+documents (1.4826 x median absolute deviation, from a histogram of steps of 1e-4 nats over all
+documents) with the model's variance a symbol divided by the text's length. The spread of the first score is
+taken as HELD_SPREAD of the median at least. A document must lie in both bands. A language with too few texts to split (`heldout.scarce`) is scored by all its texts both
+times.
 
 Defined results: documents with a null language form a language of their own; null and empty texts
 have no perplexity and are rejected; repeated rows are each scored; an empty table gives no rows;
@@ -22,10 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.heldout import folds, scarce
 from tidewater.llm.kneser_ney import ORDER, KneserNey, count_grams
 from tidewater.llm.lineage import keep
 
 DEVIATIONS, LEAST_SPREAD, STEP = 6.0, 0.01, 1e-4
+#: Least spread, as a share of the median, of what held-out models say: whole documents may have a passage in another language.
+HELD_SPREAD = 0.12
 MODEL_BYTES = 1 << 30
 SCORE_BYTES = 1 << 19
 UNKNOWN = "und"
@@ -84,18 +91,35 @@ def bands(scored: DataFrame, least_spread: float = LEAST_SPREAD) -> dict[str, tu
     return out
 
 
-def perplexity_rules(docs: DataFrame, deviations: float = DEVIATIONS, least_spread: float = LEAST_SPREAD) -> DataFrame:
-    """(doc_id, lang, symbols, perplexity, lower, upper, keep) of every document."""
-    spark = docs.sparkSession
-    models = fit(docs.select("lang", "text"))
-    lang = F.coalesce("lang", F.lit(UNKNOWN))
-    scored = docs.select("doc_id", lang.alias("lang"), entropy(spark, models)(lang, F.col("text")).alias("s"))
-    scored = keep(scored.select("doc_id", "lang", "s.nats", "s.symbols"))
+def _banded(spark: SparkSession, models: Iterator[tuple[dict[str, KneserNey], DataFrame]], deviations: float, least_spread: float) -> DataFrame:
+    """(doc_id, lang, text_key, symbols, nats, lower, upper): the rows of each part under its models, in the band of them all."""
+    parts, variance = [], {}
+    for own, rows in models:
+        scored = rows.select("doc_id", "lang", F.xxhash64("text").alias("text_key"), entropy(spark, own)("lang", "text").alias("s"))
+        parts.append(keep(scored.select("doc_id", "lang", "text_key", "s.nats", "s.symbols")))
+        for lang, model in own.items():
+            variance[lang] = max(variance.get(lang, 0.0), float(model.variance[0]))
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionAll(part)
     limits = bands(scored, least_spread)
-    rows = [(k, *limits[k], float(m.variance[0])) for k, m in models.items() if k in limits]
+    rows = [(k, *limits[k], v) for k, v in variance.items() if k in limits]
     table = F.broadcast(spark.createDataFrame(rows, "lang string, middle double, spread double, variance double"))  # a row a language
     width = F.lit(deviations) * F.sqrt(F.col("spread") * F.col("spread") + F.col("variance") / F.greatest("symbols", F.lit(1)))
-    return scored.join(table, "lang", "left").select(
-        "doc_id", "lang", "symbols", F.exp("nats").alias("perplexity"), F.exp(F.col("middle") - width).alias("lower"), F.exp(F.col("middle") + width).alias("upper"),
-        F.coalesce((F.abs(F.col("nats") - F.col("middle")) <= width) & (F.col("symbols") > 0), F.lit(False)).alias("keep"),
+    return scored.join(table, "lang", "left").select("doc_id", "lang", "text_key", "symbols", "nats", (F.col("middle") - width).alias("lower"), (F.col("middle") + width).alias("upper"))
+
+
+def perplexity_rules(docs: DataFrame, deviations: float = DEVIATIONS, least_spread: float = LEAST_SPREAD) -> DataFrame:
+    """(doc_id, lang, symbols, perplexity, lower, upper, seen_perplexity, seen_lower, seen_upper, keep) of every document."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
+    held = _banded(spark, ((fit(learn), rows) for learn, rows in folds(docs, scarce(docs))), deviations, max(least_spread, HELD_SPREAD))
+    seen = _banded(spark, iter([(fit(docs), docs)]), deviations, least_spread)
+    # a score follows from language and text, so one of equal texts stands for all
+    seen = seen.groupBy("lang", "text_key").agg(*[F.first(c).alias(f"seen_{c}") for c in ("nats", "lower", "upper")])
+    inside = F.col("nats").between(F.col("lower"), F.col("upper")) & F.col("seen_nats").between(F.col("seen_lower"), F.col("seen_upper"))
+    return held.join(seen, ["lang", "text_key"], "left").select(
+        "doc_id", "lang", "symbols", F.exp("nats").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"),
+        F.exp("seen_nats").alias("seen_perplexity"), F.exp("seen_lower").alias("seen_lower"), F.exp("seen_upper").alias("seen_upper"),
+        F.coalesce(inside & (F.col("symbols") > 0), F.lit(False)).alias("keep"),
     )
