@@ -178,6 +178,21 @@ def test_secret_queries_are_sound():
     assert secret_scan.redact("xx ab yy", [secret_scan.Hit(0, "r", 1, 3, 5, "ab"), secret_scan.Hit(0, "s", 1, 4, 5, "b")]) == "xx <r> yy"
 
 
+def test_redaction_takes_secrets_whole(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA" + c * 48 for c in "abcdefgh")
+    key = lambda kind: f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+    cases = [(f"from {key(k)} to", "from <private_key> to") for k in ("", "RSA ", "ENCRYPTED ")]
+    cases += [(f"{key('')} and {key('RSA ')} end", "<private_key> and <private_key> end"), ("cut -----BEGIN RSA PRIVATE KEY-----\n" + body, "cut <private_key>")]
+    for sizes in ((20, 900, 43), (20, 901, 43), (900, 5000, 900)):
+        a, b, c = ("x" * n for n in sizes)
+        cases.append((f"jwt eyJ{a}.eyJ{b}.{c} end", "jwt <json_web_token> end"))
+    cases += [(f"at redis://{user}:{'p' * n}@host", "at <url_credentials>host") for user in ("", "bob") for n in (64, 65, 300)]
+    cases += [(f'token = "{"q" * n}" end', "<assigned_secret> end") for n in (200, 201, 2000)]
+    cases += [(f"{start}{'a' * 900} end", f"<{rule}> end") for start, rule in (("github_pat_", "github_fine_grained"), ("xoxb-", "slack_token"), ("sk_live_", "stripe_key"), ("sk-", "model_api_key"))]
+    got = secret_scan.redact_secrets(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == dict(enumerate(w for _, w in cases))
+
+
 def test_kneser_ney_sums_to_one_and_matches_definition():
     draw = random.Random(3)
     texts = ["".join(draw.choice("abcab ") for _ in range(50)) for _ in range(40)]

@@ -5,8 +5,10 @@ contain. Of every piece of a batch, postings are made for the trigrams that some
 (ASCII letters in lower case); the queries combine postings into candidate texts, and only those are
 verified with the expression itself. A rule without mandatory trigrams scans all texts.
 
-Defined results: null and empty texts have no secrets; secrets of any length and place are found, as
-texts are scanned whole; matches of one rule don't overlap, those of several may; repeated rows are
+Defined results: null and empty texts have no secrets; secrets at any place are found, as texts
+are scanned whole; matches of one rule don't overlap, those of several may; the scan reports what RULES match, of a key
+its BEGIN line and of tokens what their bounds allow, while redaction takes WHOLE ones, a private key
+without an END up to the end of the text; repeated rows are
 each reported; rows with a null id are reported under null; an empty table gives no rows; other
 columns are ignored by the scan and kept by redaction.
 """
@@ -43,6 +45,19 @@ RULES: dict[str, str] = {
     "bare_hex_key": r"\b(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40})\b",
 }
 
+#: What redaction removes: the same rules, with secrets in whole. The SQL of the scan reports what RULES match.
+WHOLE: dict[str, str] = RULES | {
+    "github_fine_grained": r"\bgithub_pat_[0-9A-Za-z_]{22,}",
+    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
+    "stripe_key": r"\b[sr]k_live_[0-9A-Za-z]{24,}",
+    "model_api_key": r"\bsk-[0-9A-Za-z_-]{32,}",
+    # to its END, or to the end of the text, but not into another key
+    "private_key": r"-----BEGIN (?:[0-9A-Z]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:(?!-----(?:BEGIN|END) )[\s\S])*+(?:-----END (?:[0-9A-Z]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----)?",
+    "json_web_token": r"\beyJ[0-9A-Za-z_-]{8,}+\.eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}",
+    "url_credentials": r"\b[a-z][a-z0-9+.-]{1,15}://[0-9A-Za-z._~%-]*+:[0-9A-Za-z._~%!$&*+=-]{3,}+@",
+    "assigned_secret": RULES["assigned_secret"].replace("{16,200}", "{16,}+"),
+}
+
 SET_LIMIT = 64
 ANY: tuple = ("any",)
 
@@ -243,7 +258,7 @@ def redact(text: str, hits: list[Hit]) -> str:
 
 def redact_secrets(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     """docs with every secret in text replaced by <rule>; n_chars, if there, follows. All rows stay."""
-    rules = rules or RULES
+    rules = rules or WHOLE
 
     @F.arrow_udf("string")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
