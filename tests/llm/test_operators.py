@@ -148,6 +148,12 @@ def test_lattice_recall(spark, tile):
     assert len(got & want) >= 0.9 * len(want) > 100 and len(got - want) <= len(want - sure)
 
 
+def test_lattice_takes_the_usual_length(spark):
+    v = [1.0] + [0.0] * 63
+    frame = spark.createDataFrame([(1, v[:3]), (2, v), (3, v), (4, [1.0, 0.01] + v[2:]), (5, v[:3])], "vec_id long, embedding array<float>").coalesce(1)
+    assert {(r[0], r[1]) for r in lattice.near_duplicate_pairs(frame).collect()} == {(2, 3), (2, 4), (3, 4)}
+
+
 def test_bpe_equals_library(documents):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.VOCABULARY, "rb"))}
     library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})

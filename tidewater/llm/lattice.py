@@ -192,13 +192,13 @@ def near_duplicate_pairs(
 ) -> DataFrame:
     """(vec_id_a, vec_id_b, cosine): pairs of ids a < b of vectors(vec_id, embedding) with a cosine of at least the threshold.
 
-    `dims` is the vectors' length, that of the first vector if not given.
+    `dims` is the vectors' length, the most frequent one (of equals the longest) if not given.
     """
     spark = vectors.sparkSession
     base = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     if dims is None:
-        first = base.where("size(embedding) > 0").selectExpr("size(embedding) as n").first()
-        dims = first[0] if first else 1
+        usual = base.where("size(embedding) > 0").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        dims = usual[0] if usual else 1
     real = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
     hashed = base.mapInArrow(_hash(dims, real, tables, probes, width, blocks, seed), "id long, vector binary, signature binary, own array<long>, probed array<array<long>>")
     hashed = keep(hashed)
