@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators.lineage import keep
@@ -16,18 +16,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(u, v); the component is its smallest node.
 
     Edges with a null end and loops are ignored, repeated edges count once, no edges give no rows.
-    Every round halves the longest path or better and moves only pairs of longs.
+    Every round halves the longest path or better and moves only pairs of longs. The smallest
+    neighbour of a node is an aggregate, combined before the shuffle, and joined back to its edges, so
+    that the planner can split a node with very many of them.
     """
     edges = edges.where("u is not null and v is not null and u <> v")
     edges = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _fingerprint(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        large = both.select("u", "v", least.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
-        hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = keep(hung.union(small.select("u", F.col("m").alias("v"))).distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = keep(hung.union(least).distinct())
         after = _fingerprint(edges)
         if after == before:
             break

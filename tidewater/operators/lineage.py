@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def keep(df: DataFrame, eager: bool = True) -> DataFrame:
-    """A checkpoint of df in the shared folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """A checkpoint of df in the shared folder; spark.cleaner.referenceTracking.cleanCheckpoints says whether Spark removes it when df is gone."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -16,6 +17,19 @@ def keep(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet below the shared folder, and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewater-")
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one in local mode, as in tests, and an error on a cluster."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tidewater-")
