@@ -4,23 +4,22 @@ Words are runs of non-blank characters of the lower-cased text. The set of a tex
 word n-grams, or the one shorter gram of all its words if it has fewer than n. Sets are compared as
 sets of 64-bit hashes.
 
-Flow: texts with equal sets fold into one class; each class sends its band keys (band number and
-hash) through one shuffle; classes that meet in a band are linked to the smallest of that bucket;
-connected components of those links are the work units. Inside a component every pair is verified
-on the full sets, in tiles of `tile` x `tile` classes, so that a family of any size is spread over
-many tasks and no bucket is cut.
-
-Chance links can chain unrelated families into one component, the more so the larger the corpus.
-A component of more than `whole` tiles' classes is therefore split by its buckets: each class gets as
-home the smallest class of its buckets that it meets most often, homes are cut into blocks of about
-`tile` classes, and a tile of two blocks holds only classes that share a bucket with the other block.
-Every pair that meets in a bucket lies in exactly one tile, so nothing is lost, and the work follows
-the number of candidates instead of the component's square.
-
-Defined results: null or empty texts have no n-grams and match nothing; rows without an id can't be
-named and match nothing; repeated rows of one id are one document in pairs; several texts under one
-id are compared each by itself and never with each other; an empty table gives no pairs; other
-columns are ignored, whatever their names.
+Flow: texts with equal sets fold into one class; each class sends its band keys through one shuffle.
+Each class gets as home the smallest class of its buckets that it meets most often, homes are cut
+into blocks of about `tile` classes, and two blocks that share a bucket make a tile of those of their
+classes that share one with the other block. Every pair that meets in a bucket lies in exactly one
+tile, whatever the sizes of families, buckets and corpus, and is verified there on the full sets; the
+work follows the number of candidates. A tile reports how many documents each class is linked to and
+which classes hang together, so that what leaves it is in proportion to its classes, not to its pairs.
+Each text crosses the network once, its set once for each tile it is in.
+
+Rows a band and bands are chosen (`shape`): as many bands as find a pair at the threshold with the
+probability `recall`, and as few rows as keep pairs of a quarter of the threshold from meeting often.
+
+Defined results: a document is a distinct pair of id and n-gram set, so repeated rows of one id are
+one document and several texts under one id are documents of their own; null or empty texts have no
+n-grams and match nothing; rows without an id can't be named and are left out; ids may have any type
+that Spark can order; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,14 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.components import connected_components
-from tidewater.llm.lineage import keep
+from tidewater.llm.naming import fresh
 from tidewater.llm.textscan import WHITE, Joined, Words, as_column, gram_hashes, list_array, mix64, pieces
+from tidewater.operators.components import connected_components
+from tidewater.operators.lineage import keep
 
-N, THRESHOLD, RECALL, ROWS, TILE, WHOLE = 3, 0.5, 0.99, 3, 256, 16
+N, THRESHOLD, RECALL, TILE = 3, 0.5, 0.999, 256
+#: Similarity, as a share of the threshold, at which pairs should meet with at most the probability CHANCE.
+BACKGROUND, CHANCE = 0.25, 0.1
 CELLS = 1 << 21
 
 
@@ -49,6 +51,15 @@ def bands_for(threshold: float, recall: float, rows: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
 
 
+def shape(threshold: float, recall: float) -> tuple[int, int]:
+    """(rows a band, bands)."""
+    for rows in range(1, 33):
+        bands = bands_for(threshold, recall, rows)
+        if 1 - (1 - (BACKGROUND * threshold) ** rows) ** bands <= CHANCE:
+            break
+    return rows, bands
+
+
 def gram_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, hashes of all sets in a row, size of each set) for pieces of the texts; sets are sorted."""
     for low, high in pieces(texts):
@@ -97,20 +108,17 @@ def _class_keys(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _sign(n: int, bands: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_column(batch, "text")
-            for low, grams, sizes in gram_sets(texts, n):
+            ids, hashes = as_column(batch, "doc_id"), as_column(batch, "h")
+            for low, grams, sizes in gram_sets(as_column(batch, "text"), n):
                 own = np.flatnonzero(sizes)
-                if not len(own):
-                    continue
-                keys = signatures(grams, sizes[own], bands, rows, seed)
-                rows_at = pa.array(own + low)
+                key, counts = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+                flat = np.zeros(0, np.int64)
+                if len(own):
+                    key[own] = _class_keys(grams, sizes[own]).view(np.int64)
+                    counts[own] = bands
+                    flat = signatures(grams, sizes[own], bands, rows, seed).ravel().view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        as_column(batch, "doc_id").take(rows_at),
-                        as_column(batch, "h").take(rows_at),
-                        pa.array(_class_keys(grams, sizes[own]).view(np.int64)),
-                        list_array(keys.ravel().view(np.int64), np.full(len(own), bands), pa.int64()),
-                    ],
+                    [ids.slice(low, len(sizes)), hashes.slice(low, len(sizes)), pa.array(key, mask=sizes == 0), list_array(flat, counts, pa.int64())],
                     names=["doc_id", "h", "class", "bands"],
                 )
 
@@ -118,14 +126,25 @@ def _sign(n: int, bands: int, rows: int, seed: int):
 
 
 def _sets(n: int):
+    """grams for the text of each row; rows of one class lie one after the other, so each text is cut once a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not len(batch):
+                continue
             others = [c for c in batch.schema.names if c != "text"]
-            for low, grams, sizes in gram_sets(as_column(batch, "text"), n):
-                part = batch.slice(low, len(sizes))
+            node = as_column(batch, "class").to_numpy()
+            new = np.concatenate(([True], node[1:] != node[:-1]))
+            run_of, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            texts = as_column(batch, "text").take(pa.array(first))
+            for low, grams, sizes in gram_sets(texts, n):
                 offsets = np.concatenate(([0], np.cumsum(sizes * 8))).astype(np.int32)
                 blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(grams)])
-                yield pa.RecordBatch.from_arrays([*(as_column(part, c) for c in others), blobs], names=[*others, "grams"])
+                start, end = np.searchsorted(run_of, [low, low + len(sizes)])
+                for at in range(start, end, 256):
+                    part = batch.slice(at, min(256, end - at))
+                    mine = blobs.take(pa.array(run_of[at : at + len(part)] - low))
+                    yield pa.RecordBatch.from_arrays([*(as_column(part, c) for c in others), mine], names=[*others, "grams"])
 
     return run
 
@@ -158,41 +177,64 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _tile_pairs(sets: list[np.ndarray], blocks: np.ndarray, across: bool, threshold: float):
+def _tile_links(sets: list[np.ndarray], blocks: np.ndarray, across: bool, threshold: float) -> np.ndarray:
+    """Which pairs of the tile are linked; symmetric."""
     shared = overlaps(sets)
     sizes = np.array([len(s) for s in sets])
-    jaccard = shared / (sizes[:, None] + sizes[None, :] - shared)
-    near = np.triu(jaccard >= threshold, 1)
+    near = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared)
+    np.fill_diagonal(near, False)
     if across:
         near &= blocks[:, None] != blocks[None, :]
+    return near
+
+
+def roots(near: np.ndarray) -> np.ndarray:
+    """Of each row of a symmetric matrix the first row that it is connected with."""
+    label = np.arange(len(near))
     a, b = np.nonzero(near)
-    return a, b, jaccard[a, b]
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
 
 
 def _verify(threshold: float):
-    """Batches are sorted by (component, low, high); a tile may go on in the next batch."""
+    """Of each tile: (u, null, documents it is linked to) and (u, v, null), the smallest class it hangs together with.
+
+    Batches are sorted by (low, high); a tile may go on in the next batch.
+    """
 
     def flush(rows: list[tuple]) -> pa.RecordBatch | None:
-        seen: dict[int, tuple] = {r[3]: r for r in rows}
-        rows = list(seen.values())
+        rows = list({r[2]: r for r in rows}.values())
         if len(rows) < 2:
             return None
         sets = [np.frombuffer(r[5], dtype=np.uint64) for r in rows]
-        a, b, jaccard = _tile_pairs(sets, np.array([r[4] for r in rows]), rows[0][1] != rows[0][2], threshold)
-        if not len(a):
+        near = _tile_links(sets, np.array([r[3] for r in rows]), rows[0][0] != rows[0][1], threshold)
+        own = np.flatnonzero(near.any(axis=1))
+        if not len(own):
             return None
-        node = np.array([r[3] for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(jaccard)], names=["u", "v", "jaccard"])
+        near = near[np.ix_(own, own)]
+        node, size = np.array([rows[i][2] for i in own]), np.array([rows[i][4] for i in own])
+        label = roots(near)
+        hung = np.flatnonzero(label != np.arange(len(own)))
+        links = near @ size
+        none = np.concatenate((np.ones(len(own), bool), np.zeros(len(hung), bool)))
+        u, v = np.concatenate((node, node[hung])), np.concatenate((node, node[label[hung]]))
+        n = np.concatenate((links, np.zeros(len(hung), np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v, mask=none), pa.array(n, mask=~none)], names=["u", "v", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, rows = None, []
         for batch in batches:
-            columns = [as_column(batch, c).to_pylist() for c in ("component", "low", "high", "class", "block", "grams")]
+            columns = [as_column(batch, c).to_pylist() for c in ("low", "high", "class", "block", "m", "grams")]
             for row in zip(*columns, strict=True):
-                if row[:3] != tile:
+                if row[:2] != tile:
                     if len(rows) > 1 and (out := flush(rows)) is not None:
                         yield out
-                    tile, rows = row[:3], []
+                    tile, rows = row[:2], []
                 rows.append(row)
         if len(rows) > 1 and (out := flush(rows)) is not None:
             yield out
@@ -200,113 +242,113 @@ def _verify(threshold: float):
     return run
 
 
-def signed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, seed: int = 7) -> DataFrame:
-    """(doc_id, h, class, bands) of every row with an id and at least one word; h tells texts of one id apart."""
-    base = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    return keep(base.mapInArrow(_sign(n, bands_for(threshold, recall, rows), rows, seed), "doc_id long, h long, class long, bands array<long>"))
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
+
+
+def signed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 7) -> DataFrame:
+    """(doc_id, h, class, bands) of every row with an id; h tells texts of one id apart; class is null without words."""
+    rows, bands = shape(threshold, recall)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return keep(_named(docs).mapInArrow(_sign(n, bands, rows, seed), f"doc_id {kind}, h long, class long, bands array<long>"))
+
+
+def folded(signs: DataFrame) -> DataFrame:
+    """(class, m, row, bands): documents of each class, the first of them by id, and band keys."""
+    each = signs.where("class is not null").groupBy("class", "doc_id").agg(F.min("h").alias("h"), F.first("bands").alias("bands"))
+    return each.groupBy("class").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "h")).alias("row"), F.first("bands").alias("bands"))
 
 
-def _bucket_tiles(keyed: DataFrame, classes: DataFrame, tile: int) -> DataFrame:
-    """(low, high, class, block): the tiles of keyed(class, band, key) for those of classes(class) that share a bucket."""
-    bucket = Window.partitionBy("band", "key")
-    met = keyed.join(classes, "class", "left_semi").select("class", "band", "key", F.min("class").over(bucket).alias("least"), F.count("*").over(bucket).alias("m"))
-    met = keep(met.where("m > 1").drop("m"))
-    often = met.groupBy("class", "least").agg(F.count(F.when(F.col("least") != F.col("class"), 1)).alias("n"))
-    home = often.groupBy("class").agg(F.max_by("least", F.struct("n", F.bitwise_not("least"))).alias("home"))
+def bucket_tiles(classes: DataFrame, tile: int = TILE) -> DataFrame:
+    """(low, high, class, block): the tiles of classes(class, bands)."""
+    keyed = classes.select("class", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = keep(keyed.join(buckets, "key"))
+    often = met.groupBy("class", "least").agg(F.count("*").alias("n"))
+    home = keep(often.groupBy("class").agg(F.max_by("least", F.struct("n", F.bitwise_not("least"))).alias("home")))
     parts = home.groupBy("home").agg(F.ceil(F.count("*") / tile).alias("parts"))
-    blocks = keep(home.join(parts, "home").select("class", F.xxhash64("home", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("block")))
-    placed = met.join(blocks, "class").select("band", "key", "class", "block")
-    others = placed.select("band", "key", F.col("block").alias("other")).distinct()
-    tiles = placed.join(others, ["band", "key"])
-    return tiles.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "block").distinct()
-
-
-def class_edges(docs: DataFrame, signs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE, whole: int = WHOLE) -> DataFrame:
-    """(u, v, jaccard): verified pairs of distinct classes."""
-    classes = signs.groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.first("bands").alias("bands"))
-    keyed = classes.select("class", F.posexplode("bands").alias("band", "key"))
-    bucket = Window.partitionBy("band", "key")
-    links = keyed.select(F.col("class").alias("u"), F.min("class").over(bucket).alias("v")).where("u <> v")
-    members = keep(connected_components(links))
-    sized = members.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
-    units = members.join(sized, "component").join(classes.select(F.col("class").alias("node"), "row"), "node")
-    units = units.select(
-        F.col("row.doc_id").alias("doc_id"), F.col("row.h").alias("h"), F.col("node").alias("class"), "component", "blocks",
-        F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"),
-    )
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    crowded = bool(sized.where(F.col("blocks") > whole).limit(1).count())
-    own = units.where(F.col("blocks") <= whole) if crowded else units
-    sets = texts.join(own, ["doc_id", "h"]).select("class", "component", "blocks", "block", "text").mapInArrow(_sets(n), "class long, component long, blocks int, block long, grams binary")
-    tiles = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    tiles = tiles.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "block", "grams")
-    if crowded:
-        wide = keep(units.where(F.col("blocks") > whole).select("class", "doc_id", "h"))
-        sets = texts.join(wide, ["doc_id", "h"]).select("class", "text").mapInArrow(_sets(n), "class long, grams binary")
-        placed = _bucket_tiles(keyed, wide.select("class"), tile).join(sets, "class")
-        tiles = tiles.union(placed.select(F.lit(0).cast("long").alias("component"), "low", "high", "class", "block", "grams"))
-    tiles = tiles.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
-    return tiles.mapInArrow(_verify(threshold), "u long, v long, jaccard double")
-
-
-def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, tile: int = TILE, whole: int = WHOLE) -> DataFrame:
-    """All pairs of ids a < b whose n-gram sets have a Jaccard similarity of at least the threshold.
-
-    One row (doc_id_a, doc_id_b, jaccard) for each pair of ids; if an id has several texts, the most
-    similar pair of texts counts.
+    blocks = home.join(parts, "home").select("class", F.xxhash64("home", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("block"))
+    placed = keep(met.select("key", "class").join(blocks, "class"))
+    beside = placed.select("key", F.col("block").alias("other")).distinct()
+    several = beside.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    across = placed.join(beside.join(several, "key"), "key").where("block <> other")
+    across = across.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "block").distinct()
+    within = placed.select(F.col("block").alias("low"), F.col("block").alias("high"), "class", "block").distinct()
+    return within.union(across)
+
+
+def verified(docs: DataFrame, classes: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """(u, null, documents linked) for each class in each tile and (u, v, null) for classes that hang together."""
+    work = bucket_tiles(classes, tile).join(classes.select("class", "m", "row.doc_id", "row.h"), "class")
+    sets = _named(docs).join(work, ["doc_id", "h"]).select("low", "high", "class", "block", "m", "text")
+    sets = sets.mapInArrow(_sets(n), "low long, high long, class long, block long, m long, grams binary")
+    tiles = sets.repartition("low", "high").sortWithinPartitions("low", "high")
+    return keep(tiles.mapInArrow(_verify(threshold), "u long, v long, n long"))
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
+    """(doc_id, class_id, n_copies, n_links) of every document with an id.
+
+    Documents are linked if their n-gram sets have a Jaccard similarity of at least the threshold.
+    n_links counts the other documents it is linked to, n_copies those of them with an equal set;
+    class_id is the smallest id among the documents it is connected with, be it through others.
     """
-    signs = signed(docs, n, threshold, recall, rows)
-    edges = class_edges(docs, signs, n, threshold, tile, whole)
-    ids = signs.select("class", "doc_id").distinct()
-    members = ids.groupBy("class").agg(F.collect_list("doc_id").alias("ids"))
-    same = members.where("size(ids) > 1").select(F.col("ids").alias("a"), F.col("ids").alias("b"), F.lit(1.0).alias("jaccard"))
-    left, right = (members.select(F.col("class").alias(k), F.col("ids").alias(name)) for k, name in (("u", "a"), ("v", "b")))
-    across = edges.join(left, "u").join(right, "v").select("a", "b", "jaccard")
-    near = across.select(F.explode("a").alias("x"), "b", "jaccard").select("x", F.explode("b").alias("y"), "jaccard")
-    exact = same.select(F.explode("a").alias("x"), "b", "jaccard").select("x", F.explode("b").alias("y"), "jaccard").where("x < y")
-    pairs = near.where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard")
-    pairs = pairs.union(exact.select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b"), "jaccard"))
-    return pairs.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
-
-
-def keep_one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, tile: int = TILE, whole: int = WHOLE) -> DataFrame:
+    signs = signed(docs, n, threshold, recall)
+    classes = keep(folded(signs))
+    found = verified(docs, classes, n, threshold, tile)
+    links = found.where("v is null").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("near"))
+    groups = connected_components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "class")
+    each = classes.select("class", "m", "row.doc_id").join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = each.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    each = each.join(least, "component").join(links, "class", "left").select("class", "class_id", (F.col("m") - 1).alias("n_copies"), (F.col("m") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    entries = signs.groupBy("class", "doc_id").agg(F.lit(1).alias("one")).drop("one")
+    none = entries.where("class is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    return entries.join(each, "class").select("doc_id", "class_id", "n_copies", "n_links").union(none)
+
+
+def keep_one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
     """docs without the copies: of each group of documents linked by such pairs the smallest id stays.
 
-    Of identical rows one stays. Rows without an id, and texts without words, all stay. The columns
-    are those of docs.
+    Of rows with equal ids and texts one stays. Rows without an id, and texts without words, all stay.
+    The columns are those of docs, whatever their names.
     """
-    signs = signed(docs, n, threshold, recall, rows)
-    edges = class_edges(docs, signs, n, threshold, tile, whole)
-    groups = connected_components(edges.select("u", "v"))
-    placed = signs.select("doc_id", "h", "class").join(groups, F.col("class") == F.col("node"), "left")
-    group = Window.partitionBy(F.coalesce("component", "class"))
-    placed = placed.select("doc_id", "h", F.min(F.struct("doc_id", "h")).over(group).alias("first"))
-    drop = placed.where("struct(doc_id, h) <> first").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    marked = docs.withColumn("_own_id", F.col("doc_id").cast("long")).withColumn("_own_h", F.xxhash64("text"))
-    rest = marked.join(drop, (F.col("_own_id") == F.col("_id")) & (F.col("_own_h") == F.col("_h")), "left_anti")
-    worded = "doc_id is not null and text is not null and text rlike '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'"
-    once = Window.partitionBy("_own_id", "_own_h").orderBy(F.lit(1))
-    kept = rest.withColumn("_nth", F.row_number().over(once)).where(f"_nth = 1 or not coalesce({worded}, false)")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    signs = signed(docs, n, threshold, recall)
+    classes = keep(folded(signs))
+    found = verified(docs, classes, n, threshold, tile)
+    groups = connected_components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "class")
+    first = classes.select("class", "row").join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    first = first.join(first.groupBy("component").agg(F.min("row").alias("first")), "component").select("class", "first")
+    own, digest, key, key2, fate = fresh(docs.columns, "own_id", "own_digest", "key_id", "key_digest", "fate")
+    rows = signs.where("class is not null").groupBy("class", "doc_id", "h").agg(F.count("*").alias("n"))
+    rows = rows.join(first, "class").withColumn("goes", F.struct("doc_id", "h") != F.col("first")).where("goes or n > 1")
+    fates = keep(rows.select(F.col("doc_id").alias(key), F.col("h").alias(key2), F.when(F.col("goes"), "goes").otherwise("repeated").alias(fate)))
+    worded = F.expr("coalesce(doc_id is not null and text is not null and text rlike '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]', false)")
+    marked = docs.where(worded).withColumns({own: F.col("doc_id"), digest: F.xxhash64("text")})
+    marked = marked.join(fates, (F.col(own) == F.col(key)) & (F.col(digest) == F.col(key2)), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = marked.where(F.col(fate) == "repeated").dropDuplicates([own, digest])
+    return marked.where(F.col(fate).isNull()).select(*columns).union(once.select(*columns)).union(docs.where(~worded).select(*columns))
 
 
 SQL = r"""
-WITH words AS (
-  SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(lower(text), '[^ \t\n\v\f\r]+') AS w
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^ \t\n\v\f\r]+') AS w
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 grams AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3
+  SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3
     THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
-    ELSE [array_to_string(w, ' ')] END) AS g
+    ELSE [array_to_string(w, ' ')] END)) AS g
   FROM words WHERE len(w) > 0),
-classes AS (SELECT min(doc_id) AS c, list(doc_id) AS ids, any_value(g) AS g FROM (SELECT doc_id, list_sort(g) AS g FROM grams) GROUP BY g),
-flat AS (SELECT c, unnest(g) AS gram FROM classes),
-shared AS (SELECT a.c AS u, b.c AS v, count(*) AS n FROM flat a JOIN flat b ON a.gram = b.gram AND a.c < b.c GROUP BY ALL),
-near AS (
-  SELECT x.ids AS a, y.ids AS b, n / (len(x.g) + len(y.g) - n) AS jaccard
-  FROM shared JOIN classes x ON x.c = u JOIN classes y ON y.c = v
-  WHERE n / (len(x.g) + len(y.g) - n) >= 0.5
-  UNION ALL SELECT ids, ids, 1.0 FROM classes WHERE len(ids) > 1),
-pairs AS (SELECT x, unnest(b) AS y, jaccard FROM (SELECT unnest(a) AS x, b, jaccard FROM near))
-SELECT least(x, y) AS doc_id_a, greatest(x, y) AS doc_id_b, max(jaccard) AS jaccard FROM pairs WHERE x <> y GROUP BY ALL
+classes AS (SELECT md5(array_to_string(g, chr(10))) AS c, min(doc_id) AS least, count(*) AS m, list(doc_id) AS ids, any_value(len(g)) AS size, g FROM grams GROUP BY g),
+flat AS (SELECT c, size, unnest(g) AS gram FROM classes),
+shared AS (SELECT a.c AS u, b.c AS v, count(*) AS n, any_value(a.size) AS su, any_value(b.size) AS sv FROM flat a JOIN flat b ON a.gram = b.gram AND a.c <> b.c GROUP BY a.c, b.c),
+near AS (SELECT u, v FROM shared WHERE n >= 0.5 * (su + sv - n)),
+linked AS (SELECT u AS c, sum(m) AS n FROM near JOIN classes ON v = c GROUP BY u),
+reach AS (SELECT c, c AS r FROM classes UNION SELECT reach.c, near.v FROM reach JOIN near ON reach.r = near.u),
+named AS (SELECT reach.c, min(classes.least) AS class_id FROM reach JOIN classes ON reach.r = classes.c GROUP BY reach.c)
+SELECT unnest(ids) AS doc_id, class_id, CAST(m - 1 AS BIGINT) AS n_copies, CAST(m - 1 + coalesce(linked.n, 0) AS BIGINT) AS n_links
+FROM classes JOIN named USING (c) LEFT JOIN linked USING (c)
+UNION ALL
+SELECT DISTINCT doc_id, doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM documents
+WHERE doc_id IS NOT NULL AND NOT regexp_matches(coalesce(text, ''), '[^ \t\n\v\f\r]')
 """
