@@ -28,7 +28,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.near_duplicate_pairs(_table(spark, sf_dir, "embeddings"))
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
