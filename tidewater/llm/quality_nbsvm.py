@@ -3,7 +3,8 @@
 Features are hashed n-gram indicators of a text: words, word pairs, and n-grams up to three of word
 shapes (case, digits, trailing mark, length class, and whether the word repeats one of the two before
 it). Each indicator is scaled by the log-count ratio of the classes; on the scaled and normalised
-vectors a linear model with squared hinge loss is fitted by dual coordinate descent. The fit uses at
+vectors a linear model with hinge loss is fitted by dual coordinate descent: each document has a dual
+variable between 0 and the cost of its class. The fit uses at
 most `per_class` labelled documents of each class (see labelled_sample); scoring covers every
 document.
 
@@ -95,32 +96,33 @@ def log_count_ratio(ids: list[np.ndarray], y: np.ndarray, smoothing: float = SMO
     return ratio
 
 
-def fit(ids: list[np.ndarray], y: np.ndarray, c: float = C, epochs: int = EPOCHS, seed: int = 3) -> Model:
-    """y: +1 or -1. Dual coordinate descent on the squared hinge loss, each class with the same total cost."""
+def fit(ids: list[np.ndarray], y: np.ndarray, c: float = C, epochs: int = EPOCHS, seed: int = 3, tolerance: float = 0.01) -> Model:
+    """y: +1 or -1. Dual coordinate descent on the hinge loss, each class with the same total cost."""
     ratio = log_count_ratio(ids, y)
     vectors = []
     for own in ids:
         x = ratio[own]
         vectors.append(x / max(np.sqrt(x @ x), 1e-12))
     cost = np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1))) * c
-    diagonal = 0.5 / cost
-    norm = np.array([x @ x for x in vectors]) + 1.0 + diagonal
+    norm = np.array([x @ x for x in vectors]) + 1.0
     w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(y))
     draw = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in draw.permutation(len(y)):
             own, x = ids[i], vectors[i]
-            gradient = y[i] * (w[own] @ x + bias) - 1 + diagonal[i] * alpha[i]
-            if alpha[i] == 0 and gradient >= 0:
+            gradient = y[i] * (w[own] @ x + bias) - 1
+            # of the gradient only what the box leaves room for
+            open_ = min(gradient, 0.0) if alpha[i] == 0 else max(gradient, 0.0) if alpha[i] == cost[i] else gradient
+            if open_ == 0:
                 continue
-            worst = max(worst, abs(gradient))
-            new = max(alpha[i] - gradient / norm[i], 0.0)
+            worst = max(worst, abs(open_))
+            new = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
             alpha[i] = new
             w[own] += step * x
             bias += step
-        if worst < 0.01:
+        if worst < tolerance:
             break
     return Model((w * ratio).astype(np.float32), (ratio**2).astype(np.float32), float(bias))
 
@@ -136,7 +138,8 @@ def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
     sample = labelled_sample(docs, labels, label, per_class)
-    table = sample.mapInArrow(_collect_features, "doc_id long, y int, ids array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    table = sample.mapInArrow(_collect_features, f"doc_id {kind}, y int, ids array<int>").toArrow().sort_by([("doc_id", "ascending")])
     lists = table["ids"].combine_chunks()
     y = np.where(table["y"].to_numpy() > 0, 1, -1) if table.num_rows else np.zeros(0)
     if not len(y) or abs(y.sum()) == len(y):
