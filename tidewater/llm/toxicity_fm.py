@@ -4,10 +4,15 @@ Terms are runs of letters and digits of the lower-cased text, and the first `STE
 ones, so that inflected and compound words share a term; they are hashed to 2**18 indicators. The
 machine adds to the linear weights of the terms a low-rank weight for each pair, so that two terms
 harmless by themselves can be toxic together. It is fitted by AdaGrad on the logistic loss, on at most
-`per_class` labelled documents of each class (see labelled_sample). Only terms of at least
-`least_documents` of these whose share differs between the classes, alone or beside another such
-term, take part; this keeps the noise of rare words out of long texts. The odds are corrected to the
-classes' shares among all labels.
+`per_class` labelled documents of each class (see labelled_sample).
+
+The noise of rare words in long texts is kept out by grafting: weights start at zero, and in each of at
+most `ROUNDS` rounds those terms get weights for which the loss of what is fitted so far has a
+significant slope, either in the linear weight (`LINEAR_Z` standard errors) or in the weight of a pair
+(`PAIR_Z`, as more are tested). For the latter all terms are dealt into `PROBES` groups at random, and
+each term is tested against the signed sum of each group's terms: a pair of terms is seen whether or
+not either tells anything alone, if enough documents have both. The odds are corrected to the classes'
+shares among all labels.
 
 Defined results: null and empty texts get the bias alone and are not toxic; a missing class among
 the labels makes nothing toxic; repeated rows are each scored; an empty table gives no rows; other
@@ -29,7 +34,9 @@ from tidewater.llm.labelled import labelled_sample
 from tidewater.llm.textscan import NOT_ALNUM, Joined, Words, as_column, list_array, mix64, pieces
 
 BITS, PER_CLASS, FACTORS, EPOCHS, RATE, L2 = 18, 6000, 8, 12, 0.1, 1e-4
-LEAST_DOCUMENTS, LEAST_Z, STEM = 3, 5.0, 5
+#: Rounds of grafting, groups of terms, standard errors; EXTRA is added to each variance, as a few documents tell little.
+ROUNDS, PROBES, LINEAR_Z, PAIR_Z, EXTRA = 4, 64, 5.0, 7.0, 0.15
+STEM = 5
 THRESHOLD = 0.2
 
 
@@ -75,40 +82,53 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def _telling(ids: list[np.ndarray], y: np.ndarray, least_documents: int, least_z: float) -> np.ndarray:
-    """Terms whose share differs between the classes, or which do so beside a term that does."""
-
-    def z(count: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        share = count / np.maximum(sizes[:, None], 1)
-        whole = count.sum(axis=0) / max(sizes.sum(), 1)
-        error = np.sqrt(np.maximum(whole * (1 - whole), 1e-12) * (1 / max(sizes[0], 1) + 1 / max(sizes[1], 1)))
-        return (share[1] - share[0]) / error
-
-    def count_in(rows: np.ndarray) -> np.ndarray:
-        count = np.zeros((2, 1 << BITS))
-        for i in rows:
-            count[int(y[i] > 0), ids[i]] += 1
-        return count
-
-    count = count_in(np.arange(len(y)))
-    enough = count.sum(axis=0) >= least_documents
-    alone = enough & (np.abs(z(count, np.array([(y < 0).sum(), (y > 0).sum()]))) >= least_z)
-    beside = np.array([alone[own].any() for own in ids], dtype=bool)
-    near = count_in(np.flatnonzero(beside))
-    pair = (near.sum(axis=0) >= least_documents) & (np.abs(z(near, np.array([(beside & (y < 0)).sum(), (beside & (y > 0)).sum()]))) >= least_z)
-    return alone | pair
-
-
-def fit(ids: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, l2: float = L2, seed: int = 5, least_documents: int = LEAST_DOCUMENTS, least_z: float = LEAST_Z) -> Model:
-    """y: +1 or -1."""
-    active = _telling(ids, y, least_documents, least_z)
+class _Slopes:
+    """Tests of the loss's slope in the weight of every term, and of its pairs with groups of terms."""
+
+    def __init__(self, ids: list[np.ndarray], draw: np.random.Generator):
+        self.row = np.repeat(np.arange(len(ids)), [len(own) for own in ids])
+        self.flat = np.concatenate(ids).astype(np.int64)
+        self.sign = np.where(draw.random(1 << BITS) < 0.5, -1.0, 1.0)
+        self.group = draw.integers(0, PROBES, 1 << BITS)
+        own = self.group[self.flat]
+        self.order = np.argsort(own, kind="stable")
+        self.bounds = np.searchsorted(own[self.order], np.arange(PROBES + 1))
+
+    def _by_term(self, each: np.ndarray) -> np.ndarray:
+        return np.bincount(self.flat, each[self.row], minlength=1 << BITS)
+
+    def significant(self, slope: np.ndarray, variance: np.ndarray) -> np.ndarray:
+        """slope, variance: of each document's loss in its score."""
+        alone = self._by_term(slope)
+        found = np.abs(alone) > LINEAR_Z * np.sqrt(self._by_term(variance) + EXTRA)
+        for k in range(PROBES):
+            own = self.order[self.bounds[k] : self.bounds[k + 1]]
+            beside = np.bincount(self.row[own], self.sign[self.flat[own]], minlength=len(slope))
+            paired, error = self._by_term(slope * beside), np.sqrt(self._by_term(variance * beside**2) + EXTRA)
+            mine = self.group == k  # a term is no pair with itself
+            paired[mine] -= self.sign[mine] * alone[mine]
+            found |= np.abs(paired) > PAIR_Z * error
+        return found
+
+
+def fit(ids: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, l2: float = L2, seed: int = 5) -> Model:
+    """y: +1 or -1, both of them there."""
     draw = np.random.default_rng(seed)
-    model = Model(0.0, np.zeros(1 << BITS), draw.normal(0, 0.05, (1 << BITS, FACTORS)), active)
-    model.factors[~active] = 0
-    kept = [own[active[own]] for own in ids]
+    share = (y > 0).mean()
+    model = Model(float(np.log(share / (1 - share))), np.zeros(1 << BITS), np.zeros((1 << BITS, FACTORS)), np.zeros(1 << BITS, dtype=bool))
+    slopes = _Slopes(ids, draw)
+    kept = [own[:0] for own in ids]
     past_bias, past_linear, past_factors = 1e-6, np.full(1 << BITS, 1e-6), np.full((1 << BITS, FACTORS), 1e-6)
-    for _ in range(epochs):
-        for i in draw.permutation(len(y)):
+    for _ in range(ROUNDS):
+        chance = 1 / (1 + np.exp(-np.clip([model.logit(own) for own in kept], -50, 50)))
+        variance = np.maximum(chance * (1 - chance), 1e-3)
+        new = slopes.significant(chance - (y > 0), variance) & ~model.active
+        if not new.any():
+            break
+        model.active |= new
+        model.factors[new] = draw.normal(0, 0.05, (int(new.sum()), FACTORS))
+        kept = [own[model.active[own]] for own in ids]
+        for i in np.concatenate([draw.permutation(len(y)) for _ in range(epochs)]):
             own = kept[i]
             v = model.factors[own]
             s = v.sum(axis=0)
@@ -138,7 +158,8 @@ def _collect_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
     sample = labelled_sample(docs, labels, label, per_class)
-    table = sample.mapInArrow(_collect_terms, "doc_id long, y int, ids array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    table = sample.mapInArrow(_collect_terms, f"doc_id {kind}, y int, ids array<int>").toArrow().sort_by([("doc_id", "ascending")])
     y = np.where(table["y"].to_numpy() > 0, 1, -1) if table.num_rows else np.zeros(0)
     if not len(y) or abs(y.sum()) == len(y):
         return Model(-50.0, np.zeros(1 << BITS), np.zeros((1 << BITS, 1)), np.zeros(1 << BITS, dtype=bool))
