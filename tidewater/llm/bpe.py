@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
 The vocabulary is read from a file of ranks (base64 token and rank a line); it is never trained here.
-A partition's texts are split by the vocabulary's pattern into chunks; the distinct chunks not met
-before are laid out as one array of symbols, linked to their neighbours. An index maps each pair's
+A partition's texts are taken in pieces of about ENCODE_BYTES and split by the vocabulary's pattern
+into chunks; a piece's distinct chunks that the partition has not met before are laid out as one array
+of symbols, linked to their neighbours. An index maps each pair's
 rank to all positions where that pair stands. A heap gives the active ranks in ascending order; all
 positions of a rank are merged together, the pairs that arise on either side enter the lists of their
 ranks, and positions whose pair has changed meanwhile are skipped. So each merge costs time in
@@ -11,7 +12,7 @@ of the partition.
 
 Defined results: a null text has null tokens and is null again after decoding; an empty text has no
 tokens; texts of any length are encoded whole; markers of special tokens are ordinary text; repeated
-rows are each encoded; an empty table gives no rows; other columns are ignored.
+rows are each encoded; ids may have any type; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidewater.llm.textscan import as_column, give_back, list_array, pieces, ragged, runs
 
@@ -280,13 +280,14 @@ def _decode(path: str, pattern: str):
 
 def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, tokens, n_tokens) of every document. The vocabulary file must be readable on every executor."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return base.mapInArrow(_encode(vocabulary, pattern), "doc_id long, tokens array<int>, n_tokens int")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_encode(vocabulary, pattern), f"doc_id {kind}, tokens array<int>, n_tokens int")
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, text) from (doc_id, tokens); bytes that are not UTF-8 become replacement characters."""
-    return encoded.select("doc_id", "tokens").mapInArrow(_decode(vocabulary, pattern), "doc_id long, text string")
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "tokens").mapInArrow(_decode(vocabulary, pattern), f"doc_id {kind}, text string")
 
 
 def _both(path: str, pattern: str):
@@ -314,5 +315,5 @@ def _both(path: str, pattern: str):
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, tokens, n_tokens, decoded_md5): tokens of every text, and the digest of what they decode to."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return base.mapInArrow(_both(vocabulary, pattern), "doc_id long, tokens array<int>, n_tokens int, decoded_md5 string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_both(vocabulary, pattern), f"doc_id {kind}, tokens array<int>, n_tokens int, decoded_md5 string")

@@ -9,8 +9,8 @@ Defined results: null and empty texts have no secrets; secrets at any place are
 are scanned whole; matches of one rule don't overlap, those of several may; the scan reports what RULES match, of a key
 its BEGIN line and of tokens what their bounds allow, while redaction takes WHOLE ones, a private key
 without an END up to the end of the text; repeated rows are
-each reported; rows with a null id are reported under null; an empty table gives no rows; other
-columns are ignored by the scan and kept by redaction.
+each reported; rows with a null id are reported under null, ids may have any type; an empty table gives
+no rows; other columns are ignored by the scan and kept by redaction, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.naming import fresh
 from tidewater.llm.textscan import Joined, as_column, pieces
 
 RULES: dict[str, str] = {
@@ -235,8 +236,8 @@ def _scan(rules: dict[str, str]):
 
 def secret_scan(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, rule, nth, n_chars, fingerprint): every match of every rule, its secret only as an MD5 digest."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hits = base.mapInArrow(_scan(rules or RULES), "doc_id long, rule string, nth int, secret string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    hits = docs.select("doc_id", "text").mapInArrow(_scan(rules or RULES), f"doc_id {kind}, rule string, nth int, secret string")
     return hits.select("doc_id", "rule", "nth", F.length("secret").alias("n_chars"), F.md5("secret").alias("fingerprint"))
 
 
@@ -277,9 +278,7 @@ def redact_secrets(docs: DataFrame, rules: dict[str, str] | None = None) -> Data
             yield pc.replace_with_mask(texts, pa.array(mask), new)
 
     columns = {c: F.col(f"`{c}`") for c in docs.columns}
-    name = "_clean"
-    while name in columns:
-        name += "_"
+    (name,) = fresh(docs.columns, "clean")
     marked = docs.withColumn(name, clean("text"))
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col(name) != F.col("text"), F.length(name).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
