@@ -15,7 +15,8 @@ on the digest. Tokens are estimated as a quarter of the text's bytes, rounded up
 Defined results: null or empty texts have no tokens and are never selected; a null language or
 source is the leaf `unknown`; nodes without a weight have weight 1, those of weight 0 get nothing;
 documents with the same digest (repeated rows) share one fate; a null id is digested as `null`; a
-budget beyond all capacities takes all; an empty table gives no rows; other columns are kept.
+budget beyond all capacities takes all; an empty table gives no rows; other columns are kept, whatever
+their names; ids may have any type.
 """
 
 from __future__ import annotations
@@ -23,12 +24,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.llm.naming import fresh
+from tidewater.operators.lineage import keep
+
 LEVELS = ("domain", "lang", "source")
 WEIGHTS: dict[tuple[str, ...], float] = {
     ("web",): 0.4, ("news",): 0.3, ("books",): 0.2, ("code",): 0.1,
     **{(d, g): w for d in ("web", "news", "books", "code") for g, w in (("en", 0.5), ("de", 0.2), ("fr", 0.2), ("es", 0.1))},
 }
 SEED, MAX_EPOCHS, BUDGET_SHARE, DIGITS = 17, 4, 1.0, 3
+#: What the driver holds is a row a leaf; with more than these it raises rather than fill up.
+MOST_LEAVES = 1 << 20
 
 
 def domain_of_source() -> Column:
@@ -92,7 +98,9 @@ def select_epochs(docs: DataFrame, names: dict[str, str], domain: Column | None
     keys = list(LEVELS)
     slim = _leafed(docs.select("doc_id", "text", "lang", "source"), {k: k if k not in ("lang", "source") else f"leaf_{k}" for k in (*LEVELS, "tokens")}, domain)
     slim = slim.select("doc_id", "domain", F.col("leaf_lang").alias("lang"), F.col("leaf_source").alias("source"), "tokens").where("tokens > 0")
-    leaves = slim.groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
+    leaves = keep(slim.groupBy(*keys).agg(F.sum("tokens").alias("tokens")))
+    if (found := leaves.count()) > MOST_LEAVES:
+        raise ValueError(f"{found} leaves are too many to budget at once; the most are {MOST_LEAVES}")
     budgets = leaf_budgets(leaves, weights, budget_share, max_epochs)
     whole = F.least(F.floor((F.col("given") + 1e-6) / F.col("tokens")), F.lit(max_epochs))
     budgets = budgets.select(*keys, whole.cast("int").alias("whole"), (F.floor(F.col("given") + 1e-6) - whole * F.col("tokens")).cast("long").alias("rest"))
@@ -108,13 +116,14 @@ def select_epochs(docs: DataFrame, names: dict[str, str], domain: Column | None
     inside = inside.groupBy(*keys, "rest", "before", "digest").agg(F.sum("tokens").alias("tokens"))
     so_far = F.col("before") + F.sum("tokens").over(leaf.orderBy("digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")
     cutoff = inside.select(*keys, "digest", "rest", so_far.alias("so_far")).where("so_far < rest").groupBy(*keys).agg(F.max("digest").alias("cutoff"))
-    plan = spark.createDataFrame(budgets.join(cutoff, keys, "left").select(*[F.col(k).alias(f"_leaf_{k}") for k in keys], F.col("whole").alias("_leaf_whole"), F.col("cutoff").alias("_leaf_cutoff")).toArrow())
+    *own, whole_, cutoff_, n_ = fresh([*docs.columns, *names.values()], *[f"leaf_{k}" for k in keys], "leaf_whole", "leaf_cutoff", "leaf_n")
+    plan = budgets.join(cutoff, keys, "left").select(*[F.col(k).alias(c) for k, c in zip(keys, own, strict=True)], F.col("whole").alias(whole_), F.col("cutoff").alias(cutoff_))
+    plan = spark.createDataFrame(plan.toArrow())
     marked = _leafed(docs, names, domain).where(F.col(names["tokens"]) > 0)
-    met = marked.join(plan, [marked[names[k]] == plan[f"_leaf_{k}"] for k in keys])
-    more = F.coalesce(_digest(F.col("_leaf_whole"), seed) <= F.col("_leaf_cutoff"), F.lit(False)).cast("int")
-    epochs = F.col("_leaf_whole") + more
-    drawn = met.withColumn("_leaf_n", epochs).where("_leaf_n > 0").withColumn(names["epoch"], F.explode(F.sequence(F.lit(0), F.col("_leaf_n") - 1)))
-    return drawn.drop("_leaf_n", "_leaf_whole", "_leaf_cutoff", *[f"_leaf_{k}" for k in keys])
+    met = marked.join(plan, [F.col(names[k]) == F.col(c) for k, c in zip(keys, own, strict=True)])
+    more = F.coalesce(_digest(F.col(whole_), seed) <= F.col(cutoff_), F.lit(False)).cast("int")
+    drawn = met.withColumn(n_, F.col(whole_) + more).where(F.col(n_) > 0).withColumn(names["epoch"], F.explode(F.sequence(F.lit(0), F.col(n_) - 1)))
+    return drawn.drop(n_, whole_, cutoff_, *own)
 
 
 def mix(docs: DataFrame, domain: Column | None = None, weights: dict[tuple[str, ...], float] = WEIGHTS, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -126,11 +135,8 @@ def mix(docs: DataFrame, domain: Column | None = None, weights: dict[tuple[str,
 
 def mixed(docs: DataFrame, domain: Column | None = None, weights: dict[tuple[str, ...], float] = WEIGHTS, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of docs to train on, as often as they are drawn; the columns are those of docs."""
-    names = {}
-    for k in ("domain", "lang", "source", "tokens", "epoch"):
-        names[k] = f"_mix_{k}"
-        while names[k] in docs.columns:
-            names[k] += "_"
+    wanted = (*LEVELS, "tokens", "epoch")
+    names = dict(zip(wanted, fresh(docs.columns, *[f"mix_{k}" for k in wanted]), strict=True))
     drawn = select_epochs(docs, names, domain, weights, budget_share, max_epochs, seed)
     return drawn.select(*[F.col(f"`{c}`") for c in docs.columns])
 
