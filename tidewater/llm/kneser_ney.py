@@ -1,7 +1,8 @@
 """Interpolated Kneser-Ney character models, counted by Spark and stored in sorted hash arrays.
 
 A symbol takes 12 bits, so the n-grams of an order up to 5 fit a 64-bit code whose low bits hold the
-last symbol; `mix64` of the code is its hash, without collisions. One array of sorted hashes for each
+last symbol; `mix64` of the code is its hash, without collisions. Characters below U+0BB8 are a symbol
+each, those above two, their leading and their last ten bits, so that no two are taken for one. One array of sorted hashes for each
 order serves all languages of a model; next to it lies a matrix with the log-probability of that
 n-gram in each language, already interpolated with all lower orders, also where a language never saw
 it. A position costs one lookup; only n-grams that no text of the training corpus had walk down to
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.textscan import as_column, give_back, mix64, pieces, runs
+from tidewater.operators.lineage import keep
 
 BITS = 12
 ORDER = 5
@@ -26,12 +28,16 @@ COUNT_BYTES = 1 << 20
 MERGE_AT = 1 << 20
 
 
+#: Code points from WIDE on take two symbols, the first of them from HIGH on.
+WIDE, HIGH = 3000, 3002
+
+
 def _table(of: Callable[[str], int | None]) -> np.ndarray:
-    """Symbol of each code point: 0 only for NUL, 1 for what `of` gives None, else 2 .. 4094."""
+    """First symbol of each code point: 0 only for NUL, 1 for what `of` gives None, else 2 .. 4089."""
     table = np.ones(0x110000, dtype=np.uint16)
     for cp in range(0x110000):
         if (value := of(chr(cp))) is not None:
-            table[cp] = 2 + value % 4093
+            table[cp] = 2 + value if value < WIDE else HIGH + (value >> 10)
     table[0] = 0
     return table
 
@@ -60,6 +66,11 @@ def codes_of(texts: pa.Array, kind: str, order: int) -> tuple[np.ndarray, np.nda
     doc = np.repeat(np.arange(len(strings), dtype=np.int32), np.fromiter(map(len, strings), np.int64, len(strings)) + (order - 1))
     ids = symbols(kind)[points]
     doc = np.concatenate((np.zeros(order - 1, np.int32), doc))
+    wide = ids >= HIGH
+    if wide.any():
+        size = 1 + wide.astype(np.int64)
+        ids, doc = np.repeat(ids, size), np.repeat(doc, size)
+        ids[(np.cumsum(size) - 1)[wide]] = 2 + (points[wide] & 1023)
     if kind == "letters":  # runs of blanks count once; so do blanks at the edges of a text, as none
         blank = ids == 1
         drop = np.zeros(len(ids), dtype=bool)
@@ -122,6 +133,15 @@ def count_grams(docs: DataFrame, kind: str, order: int = ORDER) -> DataFrame:
     return partial.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+def bounded(counts: DataFrame, langs: int, limit: int) -> pa.Table:
+    """The counts, once it is known from their number that a model of them for so many languages stays within `limit` bytes."""
+    counts = keep(counts)
+    need = counts.count() * (14 + 4 * langs) * 3 // 2  # hashes, directory, logarithms; half as much for lower orders
+    if need > limit:
+        raise ValueError(f"models of about {need >> 20} MB are too large to broadcast; use a lower order")
+    return counts.toArrow()
+
+
 class SortedHash:
     """Positions of hashes in a sorted array, by a directory over their leading bits."""
 

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.heldout import folds, scarce
-from tidewater.llm.kneser_ney import ORDER, KneserNey, count_grams
+from tidewater.llm.kneser_ney import ORDER, KneserNey, bounded, count_grams
+from tidewater.llm.naming import fresh
 from tidewater.llm.perplexity import bands
 from tidewater.llm.textscan import give_back
 
@@ -40,17 +41,16 @@ def fit(docs: DataFrame, order: int = ORDER) -> KneserNey | None:
     """The models of all languages in docs(lang, text); None if there is none.
 
     What the driver gets is the table of distinct 5-grams of letters, which the languages bound, not
-    the number of documents; the size of what is then broadcast is checked.
+    the number of documents; their number is checked before any of them is fetched.
     """
-    table = count_grams(docs, "letters", order).toArrow()
+    langs = sorted(r[0] for r in docs.where("lang is not null").select("lang").distinct().collect())  # a row a language
+    table = bounded(count_grams(docs, "letters", order), len(langs), MODEL_BYTES)
     if not table.num_rows:
         return None
-    langs = sorted(table["lang"].unique().to_pylist())
-    index = np.searchsorted(langs, np.asarray(table["lang"].to_pylist())) if len(langs) > 1 else np.zeros(table.num_rows, dtype=np.int64)
-    model = KneserNey(langs, index, table["code"].to_numpy().view(np.uint64), table["n"].to_numpy(), order)
-    if model.nbytes() > MODEL_BYTES:
-        raise ValueError(f"models of {model.nbytes() >> 20} MB are too large to broadcast; use a lower order")
-    return model
+    names = table["lang"].combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    index = np.searchsorted(langs, names.dictionary.to_pylist())[names.indices.to_numpy()]
+    return KneserNey(langs, index, table["code"].to_numpy().view(np.uint64), table["n"].to_numpy(), order)
 
 
 def classify(spark: SparkSession, model: KneserNey | Broadcast | None, deviations: float = DEVIATIONS, spread: float = SPREAD, limits: dict[str, tuple[float, float]] | None = None):
@@ -109,7 +109,5 @@ def identify(docs: DataFrame, deviations: float = DEVIATIONS, spread: float = SP
 
 def keep_identified(docs: DataFrame, deviations: float = DEVIATIONS, spread: float = SPREAD) -> DataFrame:
     """docs without the documents that identification rejects; columns and values as they were."""
-    name = "_identified"
-    while name in docs.columns:
-        name += "_"
+    (name,) = fresh(docs.columns, "identified")
     return _scored(docs, name, deviations, spread).where(F.col(f"{name}.accepted")).drop(name)

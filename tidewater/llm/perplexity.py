@@ -11,7 +11,8 @@ documents) with the model's variance a symbol divided by the text's length. The
 taken as HELD_SPREAD of the median at least. A document must lie in both bands. A language with too few texts to split (`heldout.scarce`) is scored by all its texts both
 times.
 
-Defined results: documents with a null language form a language of their own; null and empty texts
+Defined results: documents with a null language form a language of their own, `und`, together with any
+that name it; the edges of a band belong to it; null and empty texts
 have no perplexity and are rejected; repeated rows are each scored; an empty table gives no rows;
 other columns are ignored.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.heldout import folds, scarce
-from tidewater.llm.kneser_ney import ORDER, KneserNey, count_grams
+from tidewater.llm.kneser_ney import ORDER, KneserNey, bounded, count_grams
 from tidewater.operators.lineage import keep
 
 DEVIATIONS, LEAST_SPREAD, STEP = 6.0, 0.01, 1e-4
@@ -42,15 +43,13 @@ def fit(docs: DataFrame, order: int = ORDER) -> dict[str, KneserNey]:
     """A model for each language of docs(lang, text).
 
     The driver gets the distinct 5-grams of each language, bounded by its script and not by the number
-    of documents; the size of what is then broadcast is checked.
+    of documents; their number is checked before any of them is fetched.
     """
-    table = count_grams(docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text"), "raw", order).toArrow()
+    table = bounded(count_grams(docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text"), "raw", order), 1, MODEL_BYTES)
     models = {}
     for lang in sorted(table["lang"].unique().to_pylist()):
         own = table.filter(pc.equal(table["lang"], lang))
         models[lang] = KneserNey([lang], np.zeros(own.num_rows, np.int64), own["code"].to_numpy().view(np.uint64), own["n"].to_numpy(), order, modified=True)
-    if (size := sum(m.nbytes() for m in models.values())) > MODEL_BYTES:
-        raise ValueError(f"models of {size >> 20} MB are too large to broadcast; use a lower order")
     return models
 
 
