@@ -49,8 +49,9 @@ def test_toxicity(docs, labels):
 
 
 def test_ngram_join(docs, spark):
-    pairs = {(r[0], r[1]) for r in ngram_join.ngram_jaccard_join(docs).collect()}
-    assert pairs == {(0, 20), (0, 21), (0, 22), (20, 21), (20, 22), (21, 22)}
+    rows = sorted(tuple(r) for r in ngram_join.ngram_jaccard_join(docs).collect())
+    linked = {(i, 0, 3, 3) for i in (0, 20, 21, 22)}
+    assert set(rows) == linked | {(i, i if i else 0, 0, 0) for i in range(9)} and len(rows) == 13
     assert ngram_join.ngram_jaccard_join(docs.limit(0)).count() == 0
     kept = ngram_join.keep_one_of_each_group(docs)
     assert kept.columns == docs.columns
@@ -72,10 +73,12 @@ def test_lattice(spark):
     v = [1.0] + [0.0] * 63
     near = [1.0, 0.01] + [0.0] * 62
     data = [(1, v), (2, near), (3, None), (4, []), (5, [0.0] * 64), (6, [float("nan")] * 64), (7, [1.0] * 3), (None, v), (8, v), (8, v), (9, [None] + v[1:]), (10, [-x for x in v])]
-    frame = spark.createDataFrame([(i, e, 0, 1) for i, e in data], "vec_id long, embedding array<float>, cell int, kind int")
-    found = {(r[0], r[1]) for r in lattice.near_duplicate_pairs(frame, dims=64).collect()}
-    assert found == {(1, 2), (1, 8), (2, 8)}
-    assert lattice.near_duplicate_pairs(frame.limit(0)).count() == 0
+    frame = spark.createDataFrame([(i, e, 0, 1, 2) for i, e in data], "vec_id long, embedding array<float>, cell int, kind int, class int")
+    found = sorted(tuple(r) for r in lattice.near_duplicates(frame).collect())
+    assert found == sorted([(1, 1, 1, 2), (2, 1, 0, 2), (8, 1, 1, 2), *((i, i, 0, 0) for i in (3, 4, 5, 6, 7, 9, 10))])
+    named = frame.selectExpr("concat('v', lpad(vec_id, 2, '0')) as vec_id", "embedding")
+    assert sorted(r[:2] for r in map(tuple, lattice.near_duplicates(named).collect()))[:2] == [("v01", "v01"), ("v02", "v01")]
+    assert lattice.near_duplicates(frame.limit(0)).count() == 0
 
 
 def test_bpe(docs):
@@ -114,6 +117,8 @@ def test_sharding(docs):
     assert sharding.shard_records(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         sharding.shard_records(docs, column="shard_id")
+    with pytest.raises(ValueError):
+        sharding.shard_records(docs, column="Shard_ID")
 
 
 def test_perplexity(docs):
@@ -130,4 +135,35 @@ def test_stages(docs, spark):
         now = stage(spark, now, "")
         if i < len(corpus_pipeline.STAGES) - 1:
             assert now.columns == docs.columns
-    assert now.count() > 0 and set(now.columns) == {"doc_id", "tokens", "n_tokens"}
+    assert now.count() > 0 and set(now.columns) == {"doc_id", "tokens", "n_tokens", "decoded_md5"}
+
+
+CLASHES = ["_id", "_h", "_own_id", "_nth", "own_id", "Own_Digest", "key_id", "fate", "_leaf_n", "leaf_n", "leaf_lang", "Leaf_Whole", "mix_domain", "MIX_tokens", "identified", "Clean", "Shard2", "class", "h", "u", "v", "n", "m"]
+
+
+def test_clashing_names_and_string_ids(docs, spark):
+    """Helper columns never meet those of the table, in whatever case; ids may be strings."""
+    own = [c for c in docs.columns if c.lower() not in {x.lower() for x in CLASHES}]
+    wide = docs.select(F.concat(F.lit("id"), F.lpad("doc_id", 3, "0")).alias("doc_id"), *[c for c in own if c != "doc_id"], *[F.lit(f"KEEP{i}").alias(c) for i, c in enumerate(CLASHES)])
+    now = wide
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, wide, "")
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == wide.columns
+            assert out.count() > 0 and all(r[c] == f"KEEP{k}" for r in out.collect() for k, c in enumerate(CLASHES))
+            now = stage(spark, now, "")
+        else:
+            assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in wide.collect()}
+    assert now.count() > 0
+    sharded = sharding.shard_records(wide, target_bytes=60)
+    assert sharded.columns == [*wide.columns, "shard"] and sharded.count() == len(rows())
+    assert {r["doc_id"] for r in secret_scan.secret_scan(wide).collect()} == {"id006"}
+    assert ("id020", "id000", 3, 3) in {tuple(r) for r in ngram_join.ngram_jaccard_join(wide).collect()}
+    for out in (langid.identify(wide), perplexity.perplexity_rules(wide)):
+        assert out.count() == len(rows())
+
+
+def test_classifiers_take_string_ids(docs, labels):
+    key = F.concat(F.lit("id"), F.lpad("doc_id", 3, "0"))
+    docs, labels = docs.withColumn("doc_id", key), labels.withColumn("doc_id", key)
+    assert quality_nbsvm.classify(docs, labels).count() == toxicity_fm.score_toxicity(docs, labels).count() == len(rows())

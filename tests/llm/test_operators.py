@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 import random
 import re
@@ -16,7 +17,8 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from tidewater.llm import bpe, components, kneser_ney, langid, lattice, ngram_join, perplexity, quality_nbsvm, registry, secret_scan, sharding, toxicity_fm
+from tidewater.llm import bpe, heldout, kneser_ney, langid, lattice, mixing, ngram_join, perplexity, quality_nbsvm, registry, secret_scan, sharding, toxicity_fm
+from tidewater.operators.components import connected_components
 
 SF = "/root/testdata/sf0.01"
 
@@ -57,7 +59,7 @@ def test_components(spark):
         if u != v:
             a, b = sorted((find(u), find(v)))
             parent[b] = a
-    got = {r[0]: r[1] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in parent}
 
 
@@ -88,14 +90,41 @@ def test_near_duplicates_stage(spark, documents):
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == want
 
 
-def test_tiles_find_all_pairs(spark, documents):
-    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(60) if j != i % 50) + f" x{i}") for i in range(70)], "doc_id long, text string")
-    whole = {(r[0], r[1], round(r[2], 9)) for r in ngram_join.ngram_jaccard_join(docs).collect()}
-    tiled = {(r[0], r[1], round(r[2], 9)) for r in ngram_join.ngram_jaccard_join(docs, tile=9).collect()}
-    assert whole == tiled and len(whole) == 70 * 69 // 2
+def by_definition(ids, near):
+    """(class_id, n_links) of each id, from all pairs."""
+    links = {i: [j for j in ids if j != i and near(i, j)] for i in ids}
+    out = {}
+    for i in ids:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        out[i] = (min(seen), len(links[i]))
+    return out
 
 
-def test_chained_components_split_without_loss(spark):
+def word_sets(texts):
+    return [frozenset(zip(w, w[1:], w[2:], strict=False)) for w in (t.split() for t in texts)]
+
+
+def jaccard(sets, threshold=0.5):
+    return lambda i, j: len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])
+
+
+def joined(docs, **how):
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_jaccard_join(docs, **how).collect()}
+
+
+@pytest.mark.parametrize("tile", [256, 9, 1])
+def test_a_family_in_tiles(spark, tile):
+    texts = [" ".join(f"w{j}" for j in range(60) if j != i % 50) + f" x{i}" for i in range(70)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert joined(docs, tile=tile) == by_definition(range(70), jaccard(word_sets(texts)))
+
+
+def test_chained_families_lose_no_link(spark):
     draw = random.Random(8)
     passage = [f"p{i}" for i in range(60)]
     texts = []
@@ -106,20 +135,20 @@ def test_chained_components_split_without_loss(spark):
             for _ in range(draw.randrange(12)):
                 words[draw.randrange(len(words))] = f"x{draw.randrange(10**6)}"
             texts.append(" ".join(words))
+    texts += texts[:7]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [set(zip(w, w[1:], w[2:], strict=False)) for w in (t.split() for t in texts)]
-    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets))}
-    want = {k: v for k, v in want.items() if v >= 0.5}
-    for tile, whole in ((256, 16), (7, 1), (2, 0)):
-        got = {(r[0], r[1]): r[2] for r in ngram_join.ngram_jaccard_join(docs, tile=tile, whole=whole).collect()}
-        assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
-        assert all(abs(want[k] - v) < 1e-12 for k, v in got.items())
+    want = by_definition(range(len(texts)), jaccard(word_sets(texts)))
+    for tile in (256, 7, 2):
+        assert joined(docs, tile=tile) == want
+    named = docs.selectExpr("concat('d', lpad(doc_id, 4, '0')) as doc_id", "text")
+    assert joined(named) == {f"d{i:04}": (f"d{c:04}", n) for i, (c, n) in want.items()}
 
 
-def test_bands():
+def test_shape_of_bands():
     for t in (0.5, 0.7, 0.9):
-        b = ngram_join.bands_for(t, 0.95, 4)
-        assert 1 - (1 - t**4) ** b >= 0.95 > 1 - (1 - t**4) ** (b - 1)
+        rows, bands = ngram_join.shape(t, 0.95)
+        assert 1 - (1 - t**rows) ** bands >= 0.95 > 1 - (1 - t**rows) ** (bands - 1)
+        assert 1 - (1 - (t / 4) ** rows) ** bands <= ngram_join.CHANCE
 
 
 def test_lattice_points():
@@ -134,24 +163,42 @@ def test_lattice_points():
     assert (np.abs((lattice.SHORTEST**2).sum(axis=1) - 2) < 1e-12).all()
 
 
-@pytest.mark.parametrize("tile", [20_000, 7])
-def test_lattice_recall(spark, tile):
+def cosine(unit, threshold=0.9):
+    return lambda i, j: unit[i] @ unit[j] >= threshold
+
+
+@pytest.mark.parametrize("how", [{}, {"tile": 7}, {"tables": 8, "blocks": 2, "width": 1.0, "tile": 3}])
+def test_lattice_finds_planted_pairs(spark, how):
     draw = np.random.default_rng(2)
-    base = draw.normal(size=(400, 64))
-    near = np.concatenate([base, base[:200] + 0.055 * draw.normal(size=(200, 64)) * np.sqrt(64) / 1.3, np.repeat(base[:5], 20, axis=0) + 0.02 * draw.normal(size=(100, 64))])
-    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(near)], "vec_id long, embedding array<float>")
-    unit = near / np.linalg.norm(near, axis=1, keepdims=True)
-    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.9, 1))
-    want = set(zip(a.tolist(), b.tolist(), strict=True))
-    got = {(r[0], r[1]) for r in lattice.near_duplicate_pairs(frame, tile=tile).collect()}
-    sure = set(zip(*(z.tolist() for z in np.nonzero(np.triu(unit @ unit.T >= 0.9001, 1))), strict=True))
-    assert len(got & want) >= 0.9 * len(want) > 100 and len(got - want) <= len(want - sure)
+    base = draw.normal(size=(200, 64))
+    rows = np.concatenate([base, base[:90] + 0.3 * draw.normal(size=(90, 64)), np.repeat(base[:3], 25, axis=0) + 0.1 * draw.normal(size=(75, 64)), base[:3], base[:3]]).astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    unit = rows.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = by_definition(range(len(rows)), cosine(unit))
+    got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in lattice.near_duplicates(frame, **how).collect()}
+    assert sum(n for _, n in want.values()) > 1000
+    assert got == want
+
+
+def test_lattice_reaches_its_recall_at_the_threshold(spark):
+    draw = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x, y = unit(draw.normal(size=(600, 64))), unit(draw.normal(size=(600, 64)))
+    y = 0.9001 * x + math.sqrt(1 - 0.9001**2) * unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+    frame = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["class_id"] for r in lattice.near_duplicates(frame).collect()}
+    assert sum(got[600 + i] == i for i in range(600)) >= 0.975 * 600
+    for count in (10**3, 10**6, 10**9):
+        tables, blocks, width = lattice.shape(64, 0.9, 0.99, count)
+        hit, _ = lattice._rates(64, 0.9, lattice.PROBES, width, blocks, lattice.SEED)
+        assert 1 - (1 - hit) ** tables >= 0.99
 
 
 def test_lattice_takes_the_usual_length(spark):
     v = [1.0] + [0.0] * 63
     frame = spark.createDataFrame([(1, v[:3]), (2, v), (3, v), (4, [1.0, 0.01] + v[2:]), (5, v[:3])], "vec_id long, embedding array<float>").coalesce(1)
-    assert {(r[0], r[1]) for r in lattice.near_duplicate_pairs(frame).collect()} == {(2, 3), (2, 4), (3, 4)}
+    assert sorted(tuple(r) for r in lattice.near_duplicates(frame).collect()) == [(1, 1, 0, 0), (2, 2, 1, 2), (3, 2, 1, 2), (4, 2, 0, 2), (5, 5, 0, 0)]
 
 
 def test_bpe_equals_library(documents):
@@ -199,6 +246,21 @@ def test_redaction_takes_secrets_whole(spark):
     assert {r["doc_id"]: r["text"] for r in got} == dict(enumerate(w for _, w in cases))
 
 
+def test_redaction_of_a_whole_table(spark, documents):
+    def clean(text):
+        spans = sorted((m.start(), -m.end(), n) for n, p in secret_scan.WHOLE.items() for m in re.finditer(p, text, re.ASCII))
+        out, done = "", 0
+        for start, end, name in spans:
+            if start >= done:
+                out += text[done:start] + f"<{name}>"
+            done = max(done, -end)
+        return out + text[done:]
+
+    got = secret_scan.redact_secrets(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
+    assert dict(zip(got.doc_id, got.text, strict=True)) == {i: clean(t) for i, t in zip(documents.doc_id, documents.text, strict=True)}
+    assert (got.text != documents.set_index("doc_id").text.loc[got.doc_id].to_numpy()).any()
+
+
 def test_kneser_ney_sums_to_one_and_matches_definition():
     draw = random.Random(3)
     texts = ["".join(draw.choice("abcab ") for _ in range(50)) for _ in range(40)]
@@ -236,6 +298,156 @@ def test_kneser_ney_sums_to_one_and_matches_definition():
     assert np.allclose(got, [math.log(p(g, 3, table)) for g in probe], atol=1e-4)
 
 
+def test_characters_are_told_apart():
+    text = "".join(map(chr, [*range(97, 123), *range(0x4E00, 0x5A00), 0x1F600, 0xAC00]))
+    for kind in ("letters", "raw"):
+        code, doc = kneser_ney.codes_of(pa.array([text]), kind, 2)
+        last = code & np.uint64((1 << 24) - 1)
+        assert len(np.unique(last)) == len(last) and (doc == 0).all()
+    one, two = (kneser_ney.codes_of(pa.array([chr(c)]), "letters", 2)[0].tolist() for c in (0x4E00, 0x4E00 + 4093))
+    assert one != two
+
+
+class Reference:
+    """Kneser-Ney as it is defined, with dictionaries, for some languages with one set of symbols."""
+
+    def __init__(self, texts, kind, order, modified):
+        self.kind, self.order, self.modified = kind, order, modified
+        self.tables = {}
+        for lang, own in texts.items():
+            code, _ = kneser_ney.codes_of(pa.array(own), kind, order)
+            table = {order: Counter(code.tolist())}
+            for n in range(order - 1, 0, -1):
+                table[n] = Counter(g & ((1 << 12 * n) - 1) for g in table[n + 1])
+            self.tables[lang] = table
+        self.size = len(set().union(*(t[1] for t in self.tables.values())))
+        self.known = {lang: self._prepared(t) for lang, t in self.tables.items()}
+        self.p = {lang: {} for lang in self.tables}
+        self.moments = {}
+        for lang, t in self.tables.items():
+            total = sum(t[order].values())
+            bits = {g: -math.log(self.chance(lang, g, order)) for g in t[order]}
+            mean = sum(c * bits[g] for g, c in t[order].items()) / total
+            self.moments[lang] = mean, sum(c * bits[g] ** 2 for g, c in t[order].items()) / total - mean**2
+
+    def _prepared(self, table):
+        out = {}
+        for n, own in table.items():
+            often = Counter(own.values())
+            n1, n2, n3, n4 = (often[k] for k in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            d = [0, y, y, y]
+            if self.modified:
+                inside = lambda x, low, high: min(max(x, low), high)
+                d = [0, inside(1 - 2 * y * n2 / n1 if n1 else 0.5, 0.05, 0.95), inside(2 - 3 * y * n3 / n2 if n2 else 1.0, 0.05, 1.95), inside(3 - 4 * y * n4 / n3 if n3 else 1.5, 0.05, 2.95)]
+            total, free = Counter(), Counter()
+            for g, c in own.items():
+                total[g >> 12] += c
+                free[g >> 12] += d[min(c, 3)]
+            out[n] = d, total, free
+        return out
+
+    def chance(self, lang, gram, n):
+        if n == 0:
+            return 1 / (self.size + 1)
+        if (gram, n) not in self.p[lang]:
+            d, total, free = self.known[lang][n]
+            lower = self.chance(lang, gram & ((1 << 12 * (n - 1)) - 1), n - 1)
+            h, c = gram >> 12, self.tables[lang][n][gram]
+            self.p[lang][gram, n] = (c - d[min(c, 3)]) / total[h] + free[h] / total[h] * lower if total[h] else lower
+        return self.p[lang][gram, n]
+
+    def nats(self, lang, text):
+        code, _ = kneser_ney.codes_of(pa.array([text]), self.kind, self.order)
+        return (sum(-math.log(self.chance(lang, int(g), self.order)) for g in code) / len(code) if len(code) else 0.0), len(code)
+
+
+def median(values):
+    values = sorted(values)
+    return values[math.ceil(len(values) / 2) - 1]
+
+
+def band(nats, least):
+    """Middle and spread of what is rounded to steps."""
+    steps = [round(x / perplexity.STEP) * perplexity.STEP for x in nats]
+    middle = median(steps)
+    return middle, max(1.4826 * median([abs(x - middle) for x in steps]), least * middle)
+
+
+def small_corpus(spark):
+    draw = random.Random(9)
+    words = {k: ["".join(draw.choice(letters) for _ in range(draw.randrange(2, 7))) for _ in range(40)] for k, letters in (("aa", "abcdeilnorst"), ("bb", "fgkmopuvwxyz"), ("cc", "äöüßnrthé"))}
+    rows = []
+    for lang in words:
+        for _ in range(30 if lang != "cc" else 6):  # too few of cc to split
+            rows.append((len(rows), " ".join(draw.choice(words[lang]) for _ in range(draw.randrange(5, 25))), lang))
+    rows += [(900, "".join(draw.choice("qjxzkw") for _ in range(300)), "aa"), (901, "漢字" * 30, "bb"), (902, rows[0][1], None), (903, "", "aa"), (904, None, "aa"), (905, rows[3][1], "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fold = {r[0]: r[1] for r in docs.select("doc_id", heldout.fold_of()).collect()}
+    return docs, rows, fold
+
+
+def test_language_by_definition(spark):
+    docs, rows, fold = small_corpus(spark)
+    few = heldout.scarce(docs)
+    assert few == ["cc"]
+    models = {}
+    for k in range(heldout.FOLDS):
+        texts = {lang: [t for i, t, g in rows if g == lang and t and (fold[i] != k or lang in few)] for lang in ("aa", "bb", "cc")}
+        models[k] = Reference(texts, "letters", kneser_ney.ORDER, False)
+    best = {}
+    for i, t, _ in rows:
+        if t:
+            scores = [(models[fold[i]].nats(lang, t)[0], lang) for lang in ("aa", "bb", "cc")]
+            best[i] = (*min(scores), models[fold[i]].nats("aa", t)[1])
+    limits = {lang: band([best[i][0] for i, t, g in rows if t and g == lang and best[i][1] == lang], langid.SPREAD) for lang in ("aa", "bb")}
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        if not t:
+            assert got[i]["lang"] is None and not got[i]["accepted"]
+            continue
+        nats, lang, n = best[i]
+        mean, variance = models[fold[i]].moments[lang]
+        middle, spread = limits.get(lang, (mean, langid.SPREAD * mean))
+        assert got[i]["lang"] == lang and got[i]["symbols"] == n and abs(got[i]["cross_entropy"] - nats) < 1e-4
+        assert got[i]["accepted"] == (nats <= middle + langid.DEVIATIONS * math.sqrt(variance / n + spread**2)), i
+    assert not got[900]["accepted"] and not got[901]["accepted"] and got[902]["accepted"]
+
+
+def test_equal_cross_entropies_go_to_the_first_language(spark):
+    texts = ["the same words in both of them", "and some more of the same words"]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate((t, lang) for lang in ("zz", "mm") for t in texts)], "doc_id long, text string, lang string")
+    assert {r["lang"] for r in langid.identify(docs).collect()} == {"mm"}
+
+
+def test_perplexity_by_definition(spark):
+    docs, rows, fold = small_corpus(spark)
+    rows = [(i, t, g or perplexity.UNKNOWN) for i, t, g in rows]
+    few = heldout.scarce(docs.fillna(perplexity.UNKNOWN, "lang"))
+    langs = sorted({g for _, _, g in rows})
+    parts = {k: {g: Reference({g: own}, "raw", kneser_ney.ORDER, True) for g in langs if (own := [t for i, t, h in rows if h == g and t and (fold[i] != k or g in few)])} for k in range(heldout.FOLDS)}
+    whole = {g: Reference({g: [t for _, t, h in rows if h == g and t]}, "raw", kneser_ney.ORDER, True) for g in langs}
+    got = {r["doc_id"]: r for r in perplexity.perplexity_rules(docs).collect()}
+    assert len(got) == len(rows)
+    inside = {i: bool(t) for i, t, _ in rows}
+    for name, model, variance, least in (
+        ("", lambda i, g: parts[fold[i]][g], lambda g: max(parts[k][g].moments[g][1] for k in parts if g in parts[k]), perplexity.HELD_SPREAD),
+        ("seen_", lambda i, g: whole[g], lambda g: whole[g].moments[g][1], perplexity.LEAST_SPREAD),
+    ):
+        nats = {i: model(i, g).nats(g, t) for i, t, g in rows if t}
+        for g in langs:
+            middle, spread = band([nats[i][0] for i, t, h in rows if t and h == g], least)
+            for i, t, h in rows:
+                if h == g and t:
+                    width = perplexity.DEVIATIONS * math.sqrt(spread**2 + variance(g) / nats[i][1])
+                    assert abs(math.log(got[i][f"{name}perplexity"]) - nats[i][0]) < 1e-4
+                    assert abs(math.log(got[i][f"{name}lower"]) - middle + width) < 1e-3 and abs(math.log(got[i][f"{name}upper"]) - middle - width) < 1e-3
+                    inside[i] &= middle - width <= nats[i][0] <= middle + width
+    assert {i: r["keep"] for i, r in got.items()} == inside
+    assert not all(inside[i] for i, t, _ in rows if t)
+
+
 def test_language_accuracy(spark, documents):
     half = spark.createDataFrame(documents[["doc_id", "text", "lang"]].iloc[::2])
     model = langid.fit(half)
@@ -309,16 +521,94 @@ def test_toxicity_held_out(spark):
     assert toxic[y < 0].mean() < 0.01 and toxic[y > 0].mean() > 0.7
 
 
-def test_machine_learns_a_pair():
-    draw = np.random.default_rng(1)
+def paired(draw, n, toxic):
     ids, y = [], []
-    for i in range(600):
-        a, b = i % 2, i // 2 % 2
-        ids.append(np.array(sorted({*([1] if a else []), *([2] if b else []), *draw.integers(10, 4000, 3).tolist()})))
-        y.append(1 if a and b else -1)
-    model = toxicity_fm.fit(ids, np.array(y), epochs=40)
-    alone, pair = (model.logit(np.array(x)) for x in ([1], [1, 2]))
-    assert pair > 0 > alone
+    for _ in range(n):
+        a, b = draw.integers(0, 2, 2)
+        ids.append(np.array(sorted({*([1] if a else []), *([2] if b else []), *draw.integers(10, 4000, 12).tolist()})))
+        y.append(1 if toxic(a, b) else -1)
+    return ids, np.array(y)
+
+
+@pytest.mark.parametrize("toxic", [lambda a, b: a and b, lambda a, b: a == b])
+def test_machine_learns_a_pair(toxic):
+    """Also where neither term alone tells anything."""
+    draw = np.random.default_rng(1)
+    model = toxicity_fm.fit(*paired(draw, 800, toxic))
+    ids, y = paired(draw, 400, toxic)
+    assert (np.sign([model.logit(own) for own in ids]) == y).mean() > 0.97
+
+
+def test_machine_adds_all_pairs(documents):
+    draw = np.random.default_rng(2)
+    n = 1 << toxicity_fm.BITS
+    model = toxicity_fm.Model(-0.3, draw.normal(0, 0.01, n), draw.normal(0, 0.02, (n, toxicity_fm.FACTORS)), np.ones(n, dtype=bool))
+    texts = [t[:400] for t in documents.text[:20]]
+    for text, score in zip(texts, model.score(pa.array(texts)), strict=True):
+        own = toxicity_fm.terms(pa.array([text]))[0] & (n - 1)
+        logit = model.bias + sum(model.linear[i] for i in own) + sum(model.factors[i] @ model.factors[j] for a, i in enumerate(own) for j in own[a + 1 :])
+        assert abs(logit - model.logit(own)) < 1e-9 and abs(score - 1 / (1 + math.exp(-logit))) < 1e-6
+
+
+def test_hinge_loss_is_at_its_least(documents):
+    both = documents.merge(pq.read_table(f"{SF}/labels.parquet").to_pandas(), on="doc_id")
+    ids = [quality_nbsvm.features(pa.array([t]))[0] & ((1 << quality_nbsvm.BITS) - 1) for t in both.text]
+    y = np.where(both.quality > 0, 1, -1)
+    model = quality_nbsvm.fit(ids, y, epochs=2000, tolerance=1e-4)
+    ratio = quality_nbsvm.log_count_ratio(ids, y)
+    counts = [Counter(j for own, label in zip(ids, y, strict=True) if label == sign for j in own.tolist()) for sign in (1, -1)]
+    width = 1 << quality_nbsvm.BITS
+    totals = [sum(c.values()) + width * quality_nbsvm.SMOOTHING for c in counts]
+    for j in list(counts[0])[:50] + list(counts[1])[:50]:
+        assert abs(ratio[j] - math.log((counts[0][j] + 1) / totals[0] / ((counts[1][j] + 1) / totals[1]))) < 1e-9
+    x = np.zeros((len(y), width), dtype=np.float32)
+    for i, own in enumerate(ids):
+        x[i, own] = ratio[own] / np.linalg.norm(ratio[own])
+    used = np.flatnonzero(np.abs(x).sum(axis=0))
+    x = np.hstack([x[:, used], np.ones((len(y), 1), dtype=np.float32)]).astype(np.float64)
+    w = np.append(model.weight[used] / ratio[used], model.bias)
+    cost = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())) * quality_nbsvm.C
+
+    def loss(v):
+        return 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+
+    # no step along a subgradient or towards any single document lowers it
+    least = loss(w)
+    slope = w - x.T @ (cost * y * (y * (x @ w) < 1))
+    for step in (1e-2, 1e-3, -1e-3):
+        assert loss(w - step * slope) >= least - 1e-3 * abs(least)
+    for i in range(0, len(y), 7):
+        assert loss(w + 1e-2 * y[i] * x[i]) >= least - 1e-4 * abs(least)
+
+
+def test_budgets_by_water_filling(spark):
+    draw = random.Random(6)
+    leaves = [(d, g, f"{d}{g}{i}", draw.choice([1, 5, 40, 300, 2000])) for d in ("web", "news", "books", "code", "unknown") for g in ("en", "de", "xx") for i in range(draw.randrange(1, 4))]
+    for share, epochs in ((1.0, 4), (2.5, 4), (9.0, 2), (0.2, 1)):
+        frame = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+        got = {r["source"]: r["given"] for r in mixing.leaf_budgets(frame, budget_share=share, max_epochs=epochs).collect()}
+
+        def capacity(path):
+            return sum(n * epochs for *own, n in leaves if own[: len(path)] == path)
+
+        def fill(path, budget, epochs=epochs):
+            """Pours in small steps: what a full child can't take goes to its siblings."""
+            if len(path) == 3:
+                return {path[2]: min(budget, capacity(path))}
+            names = sorted({own[len(path)] for *own, _ in leaves if own[: len(path)] == path})
+            weight = {k: mixing.WEIGHTS.get((*path, k), 1.0) for k in names}
+            given, left = dict.fromkeys(names, 0.0), min(budget, capacity(path))
+            while left > 1e-9:
+                open_ = [k for k in names if given[k] < capacity([*path, k]) - 1e-12]
+                total = sum(weight[k] for k in open_)
+                step = min([left, *((capacity([*path, k]) - given[k]) * total / weight[k] for k in open_)])
+                for k in open_:
+                    given[k] += step * weight[k] / total
+                left -= step
+            return {s: v for k in names for s, v in fill([*path, k], given[k]).items()}
+
+        want = fill([], share * sum(n for *_, n in leaves))
+        assert set(got) == set(want) and all(abs(got[k] - v) < 1e-6 * max(1, v) for k, v in want.items())
 
 
 def test_shards(spark, documents):
@@ -329,7 +619,7 @@ def test_shards(spark, documents):
     docs = docs.union(extra)
     target = 60_000
     out = sharding.shard_records(docs, target_bytes=target)
-    got = out.selectExpr("shard", "source", "doc_id", "octet_length(text) b", "spark_partition_id() p").toPandas()
+    got = out.selectExpr("shard", "source", "doc_id", f"octet_length(text) + {sharding.RECORD_BYTES} b", "spark_partition_id() p").toPandas()
     assert len(got) == docs.count()
     sizes = got.groupby("shard").b.sum()
     single = got.groupby("shard").doc_id.nunique()
@@ -341,9 +631,48 @@ def test_shards(spark, documents):
     assert fat.shard.nunique() >= fat.b.sum() // (2 * target)
 
 
+def test_shards_by_definition(spark, documents):
+    """The shard of a record is the number of plan entries up to its key; the plan's keys are records."""
+    docs = spark.createDataFrame(documents)
+    splitters, ways = sharding.plan_shards(docs, target_bytes=40_000)
+    got = sharding.shard_records(docs, target_bytes=40_000).selectExpr("source", "doc_id", "xxhash64(text) h", "shard").toPandas()
+    rows = sorted(got.itertuples(index=False), key=lambda r: (r.source, r.doc_id, r.h))
+    keys = sharding.encoded_keys([pa.array([r.source for r in rows]), pa.array([r.doc_id for r in rows]), pa.array([r.h for r in rows])]).tolist()
+    assert keys == sorted(keys) and set(splitters) <= set(keys) and set(ways) == {1}
+    assert [r.shard for r in rows] == [sum(k <= key for k in splitters) for key in keys]
+
+
+def test_keys_sort_as_their_values():
+    for values in ([None, "", "a", "a\0", "a\0b", "ab", "b", "é", "漢"], [None, -(2**63), -5, -1, 0, 3, 2**63 - 1], [None, -math.inf, -1e9, -0.5, 0.0, 0.25, 7e30], [None, False, True]):
+        keys = sharding.encoded_keys([pa.array(values)]).tolist()
+        assert keys == sorted(keys) and len(set(keys)) == len(keys)
+        assert not any(a != b and b.startswith(a) for a in keys for b in keys)
+
+
+def test_cuts_are_those_of_a_walk():
+    draw = random.Random(7)
+    for _ in range(200):
+        n, target = draw.randrange(1, 30), 100
+        sizes, copies = np.array([draw.choice([0, 5, 30, 60, 99, 250]) for _ in range(n)]), np.array([draw.choice([1, 1, 4]) for _ in range(n)])
+        starts, ways, filled, alone = [], [], 0, False
+        for i in range(n):
+            share = -(-sizes[i] // target) if sizes[i] > target and copies[i] > 1 else 1
+            if share > 1 or i and (alone or filled + sizes[i] > target):
+                starts.append(i)
+                ways.append(int(share))
+                filled = 0
+            filled, alone = filled + sizes[i], share > 1
+        assert sharding.cut(sizes, copies, target) == (starts, ways)
+
+
+def test_number_of_shards_has_no_bound(spark):
+    docs = spark.range(70_000).selectExpr("id as doc_id", "'0123456789' as text", "'s' as source")
+    splitters, ways = sharding.plan_shards(docs, target_bytes=10 + sharding.RECORD_BYTES)
+    assert len(splitters) + 1 >= 70_000 > 1 << 16 and set(ways) == {1}
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).toPandas()
-    texts = {}
     now = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, SF)
@@ -352,3 +681,5 @@ def test_pipeline(spark):
     library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = Counter((i, tuple(library.encode_ordinary(t))) for i, t in zip(texts.doc_id, texts.text, strict=True))
     assert Counter((i, tuple(t)) for i, t in zip(out.doc_id, out.tokens, strict=True)) == want
+    hashes = dict(zip(out.doc_id, out.decoded_md5, strict=True))
+    assert hashes == {i: hashlib.md5(t.encode()).hexdigest() for i, t in zip(texts.doc_id, texts.text, strict=True)}
