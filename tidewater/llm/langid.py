@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.heldout import folds, scarce
@@ -31,6 +31,7 @@ from tidewater.llm.kneser_ney import ORDER, KneserNey, bounded, count_grams
 from tidewater.llm.naming import fresh
 from tidewater.llm.perplexity import bands
 from tidewater.llm.textscan import give_back
+from tidewater.operators.lineage import keep
 
 DEVIATIONS, SPREAD = 4.0, 0.12
 MODEL_BYTES = 1 << 30
@@ -53,61 +54,70 @@ def fit(docs: DataFrame, order: int = ORDER) -> KneserNey | None:
     return KneserNey(langs, index, table["code"].to_numpy().view(np.uint64), table["n"].to_numpy(), order)
 
 
-def classify(spark: SparkSession, model: KneserNey | Broadcast | None, deviations: float = DEVIATIONS, spread: float = SPREAD, limits: dict[str, tuple[float, float]] | None = None):
-    """A function of a text column: struct(lang, cross_entropy, symbols, accepted).
+def classify(spark: SparkSession, model: KneserNey | Broadcast | None, deviations: float = DEVIATIONS, spread: float = SPREAD):
+    """A function of a text column: struct(lang, cross_entropy, symbols, mean, variance, accepted).
 
-    `limits`: (middle, spread) of nats a symbol for languages where they are not those of the model.
+    mean and variance are those of a symbol under the language's model, by which `accepted` is decided.
     """
-    kind = "struct<lang:string,cross_entropy:double,symbols:long,accepted:boolean>"
-    fields = [pa.field("lang", pa.string()), pa.field("cross_entropy", pa.float64()), pa.field("symbols", pa.int64()), pa.field("accepted", pa.bool_())]
+    names = ("lang", "cross_entropy", "symbols", "mean", "variance", "accepted")
+    kinds = (pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+    fields = [pa.field(n, k) for n, k in zip(names, kinds, strict=True)]
     shared = model if isinstance(model, Broadcast) else spark.sparkContext.broadcast(model)
-    limits = limits or {}
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf("struct<lang:string,cross_entropy:double,symbols:long,mean:double,variance:double,accepted:boolean>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        if model is not None:
-            middle, wide = np.array([limits.get(k, (m, spread * m)) for k, m in zip(model.langs, model.mean.tolist(), strict=True)]).T
         for texts in batches:
             if model is None:
                 n = len(texts)
-                yield pa.StructArray.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.float64()), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, bool))], fields=fields)
+                null = pa.nulls(n, pa.float64())
+                yield pa.StructArray.from_arrays([pa.nulls(n, pa.string()), null, pa.array(np.zeros(n, np.int64)), null, null, pa.array(np.zeros(n, bool))], fields=fields)
                 continue
             entropy, sizes = model.cross_entropy(texts, "letters", SCORE_BYTES)
             best = entropy.argmin(axis=1)
             value = entropy[np.arange(len(best)), best]
-            error = np.sqrt(model.variance[best] / np.maximum(sizes, 1) + wide[best] ** 2)
-            accepted = (sizes > 0) & (value <= middle[best] + deviations * error)
+            mean, variance = model.mean[best], model.variance[best]
+            accepted = (sizes > 0) & (value <= mean + deviations * np.sqrt(variance / np.maximum(sizes, 1) + (spread * mean) ** 2))
             none = sizes == 0
-            yield pa.StructArray.from_arrays([pa.array(np.array(model.langs, dtype=object)[best], pa.string(), mask=none), pa.array(value, mask=none), pa.array(sizes), pa.array(accepted)], fields=fields)
+            lang = pa.array(np.array(model.langs, dtype=object)[best], pa.string(), mask=none)
+            yield pa.StructArray.from_arrays([lang, *(pa.array(x, mask=m) for x, m in ((value, none), (sizes, None), (mean, none), (variance, none))), pa.array(accepted)], fields=fields)
         give_back()
 
     return run
 
 
-def _scored(docs: DataFrame, name: str, deviations: float, spread: float) -> DataFrame:
-    """docs with a struct(lang, cross_entropy, symbols, accepted) of every row, each by models that never saw its text."""
+def _scored(docs: DataFrame, columns: list[Column], deviations: float, spread: float) -> tuple[DataFrame, list[str]]:
+    """(columns of docs with a struct as of classify, decided by the calibrated limits, for every row; the two names it and the language given have).
+
+    Each row is scored once, by models that never saw its text, and what is selected of it is kept.
+    """
     spark = docs.sparkSession
+    given, name = fresh(docs.columns, "language_given", "identified")
     few = scarce(docs.select("lang", "text"))
-    parts = [(spark.sparkContext.broadcast(fit(learn.select("lang", "text"))), rows) for learn, rows in folds(docs, few)]
-
-    def marked(limits: dict[str, tuple[float, float]]) -> DataFrame:
-        first, *rest = [rows.withColumn(name, classify(spark, model, deviations, spread, limits)("text")) for model, rows in parts]
-        for part in rest:
-            first = first.unionAll(part)
-        return first
-
-    own = marked({}).where(F.col("lang") == F.col(f"{name}.lang")).where(~F.col("lang").isin(few))
-    return marked(bands(own.select("lang", F.col(f"{name}.cross_entropy").alias("nats"), F.col(f"{name}.symbols").alias("symbols")), spread))
+    scored = None
+    for learn, rows in folds(docs, few):
+        model = spark.sparkContext.broadcast(fit(learn.select("lang", "text")))
+        part = rows.select(*columns, F.col("lang").alias(given), classify(spark, model, deviations, spread)("text").alias(name))
+        scored = part if scored is None else scored.unionAll(part)
+    scored = keep(scored)
+    own = scored.where(F.col(given) == F.col(f"{name}.lang")).where(~F.col(given).isin(few))
+    limits = bands(own.select(F.col(given).alias("lang"), F.col(f"{name}.cross_entropy").alias("nats"), F.col(f"{name}.symbols").alias("symbols")), spread)
+    s = F.col(name)
+    middle, wide = s.mean, F.lit(spread) * s.mean
+    for lang, (m, w) in limits.items():
+        middle, wide = F.when(s.lang == lang, F.lit(m)).otherwise(middle), F.when(s.lang == lang, F.lit(w)).otherwise(wide)
+    error = F.sqrt(s.variance / F.greatest(s.symbols, F.lit(1)) + wide * wide)
+    accepted = F.coalesce((s.symbols > 0) & (s.cross_entropy <= middle + F.lit(deviations) * error), F.lit(False))
+    return scored.withColumn(name, s.withField("accepted", accepted)), [name, given]
 
 
 def identify(docs: DataFrame, deviations: float = DEVIATIONS, spread: float = SPREAD) -> DataFrame:
     """(doc_id, lang, cross_entropy, symbols, accepted) of every document."""
-    scored = _scored(docs.select("doc_id", "lang", "text"), "s", deviations, spread)
-    return scored.select("doc_id", "s.lang", "s.cross_entropy", "s.symbols", "s.accepted")
+    scored, (name, _) = _scored(docs.select("doc_id", "lang", "text"), [F.col("doc_id")], deviations, spread)
+    return scored.select("doc_id", *[F.col(f"{name}.{c}") for c in ("lang", "cross_entropy", "symbols", "accepted")])
 
 
 def keep_identified(docs: DataFrame, deviations: float = DEVIATIONS, spread: float = SPREAD) -> DataFrame:
-    """docs without the documents that identification rejects; columns and values as they were."""
-    (name,) = fresh(docs.columns, "identified")
-    return _scored(docs, name, deviations, spread).where(F.col(f"{name}.accepted")).drop(name)
+    """docs without the documents that identification rejects; columns and values as they were, whatever their names."""
+    scored, (name, given) = _scored(docs, [F.col(f"`{c}`") for c in docs.columns], deviations, spread)
+    return scored.where(F.col(f"{name}.accepted")).drop(name, given)
