@@ -32,7 +32,7 @@ from tidewater.llm.textscan import as_column, give_back, list_array, pieces, rag
 
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-ENCODE_BYTES = 1 << 22
+ENCODE_BYTES = 1 << 21
 TABLE_CHUNKS = 1 << 18
 NONE = np.int32(2**31 - 1)
 
@@ -244,6 +244,7 @@ def decode(vocabulary: Vocabulary, tokens: np.ndarray, counts: np.ndarray) -> li
 def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary.read(path, pattern))
+        give_back()
         for batch in batches:
             texts = as_column(batch, "text")
             for low, high in pieces(texts, ENCODE_BYTES):
@@ -293,6 +294,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: str = VOCABULARY, pattern: str =
 def _both(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.read(path, pattern)
+        give_back()
         encoder = Encoder(vocabulary)
         for batch in batches:
             texts = as_column(batch, "text")
@@ -309,6 +311,8 @@ def _both(path: str, pattern: str):
                     [as_column(batch, "doc_id").slice(low, high - low), lists, pa.array(counts.astype(np.int32), mask=null.to_numpy(zero_copy_only=False)), pa.array(digests, pa.string())],
                     names=["doc_id", "tokens", "n_tokens", "decoded_md5"],
                 )
+        del encoder, vocabulary
+        give_back()
 
     return run
 

@@ -34,9 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.naming import fresh
-from tidewater.llm.textscan import WHITE, Joined, Words, as_column, gram_hashes, list_array, mix64, pieces
+from tidewater.llm.textscan import WHITE, Joined, Words, as_column, give_back, gram_hashes, list_array, mix64, pieces
 from tidewater.operators.components import connected_components
 from tidewater.operators.lineage import keep
+from tidewater.operators.tiles import bucket_tiles, roots
 
 N, THRESHOLD, RECALL, TILE = 3, 0.5, 0.999, 256
 #: Similarity, as a share of the threshold, at which pairs should meet with at most the probability CHANCE.
@@ -121,6 +122,7 @@ def _sign(n: int, bands: int, rows: int, seed: int):
                     [ids.slice(low, len(sizes)), hashes.slice(low, len(sizes)), pa.array(key, mask=sizes == 0), list_array(flat, counts, pa.int64())],
                     names=["doc_id", "h", "class", "bands"],
                 )
+        give_back()
 
     return run
 
@@ -145,6 +147,7 @@ def _sets(n: int):
                     part = batch.slice(at, min(256, end - at))
                     mine = blobs.take(pa.array(run_of[at : at + len(part)] - low))
                     yield pa.RecordBatch.from_arrays([*(as_column(part, c) for c in others), mine], names=[*others, "grams"])
+        give_back()
 
     return run
 
@@ -188,19 +191,6 @@ def _tile_links(sets: list[np.ndarray], blocks: np.ndarray, across: bool, thresh
     return near
 
 
-def roots(near: np.ndarray) -> np.ndarray:
-    """Of each row of a symmetric matrix the first row that it is connected with."""
-    label = np.arange(len(near))
-    a, b = np.nonzero(near)
-    while True:
-        least = label.copy()
-        np.minimum.at(least, a, label[b])
-        least = least[least]
-        if (least == label).all():
-            return label
-        label = least
-
-
 def _verify(threshold: float):
     """Of each tile: (u, null, documents it is linked to) and (u, v, null), the smallest class it hangs together with.
 
@@ -238,6 +228,8 @@ def _verify(threshold: float):
                 rows.append(row)
         if len(rows) > 1 and (out := flush(rows)) is not None:
             yield out
+        rows = []
+        give_back()
 
     return run
 
@@ -259,24 +251,6 @@ def folded(signs: DataFrame) -> DataFrame:
     return each.groupBy("class").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "h")).alias("row"), F.first("bands").alias("bands"))
 
 
-def bucket_tiles(classes: DataFrame, tile: int = TILE) -> DataFrame:
-    """(low, high, class, block): the tiles of classes(class, bands)."""
-    keyed = classes.select("class", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = keep(keyed.join(buckets, "key"))
-    often = met.groupBy("class", "least").agg(F.count("*").alias("n"))
-    home = keep(often.groupBy("class").agg(F.max_by("least", F.struct("n", F.bitwise_not("least"))).alias("home")))
-    parts = home.groupBy("home").agg(F.ceil(F.count("*") / tile).alias("parts"))
-    blocks = home.join(parts, "home").select("class", F.xxhash64("home", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("block"))
-    placed = keep(met.select("key", "class").join(blocks, "class"))
-    beside = placed.select("key", F.col("block").alias("other")).distinct()
-    several = beside.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    across = placed.join(beside.join(several, "key"), "key").where("block <> other")
-    across = across.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "block").distinct()
-    within = placed.select(F.col("block").alias("low"), F.col("block").alias("high"), "class", "block").distinct()
-    return within.union(across)
-
-
 def verified(docs: DataFrame, classes: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """(u, null, documents linked) for each class in each tile and (u, v, null) for classes that hang together."""
     work = bucket_tiles(classes, tile).join(classes.select("class", "m", "row.doc_id", "row.h"), "class")

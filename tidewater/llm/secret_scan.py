@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.naming import fresh
-from tidewater.llm.textscan import Joined, as_column, pieces
+from tidewater.llm.textscan import Joined, as_column, give_back, pieces
 
 RULES: dict[str, str] = {
     "aws_access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
@@ -230,6 +230,7 @@ def _scan(rules: dict[str, str]):
                 [as_column(batch, "doc_id").take(rows), pa.array([h.rule for h in hits], pa.string()), pa.array([h.nth for h in hits], pa.int32()), pa.array([h.text for h in hits], pa.string())],
                 names=["doc_id", "rule", "nth", "secret"],
             )
+        give_back()
 
     return run
 
@@ -276,6 +277,7 @@ def redact_secrets(docs: DataFrame, rules: dict[str, str] | None = None) -> Data
             mask[rows] = True
             new = pa.array([redact(texts[r].as_py(), by_row[r]) for r in rows], texts.type)
             yield pc.replace_with_mask(texts, pa.array(mask), new)
+        give_back()
 
     columns = {c: F.col(f"`{c}`") for c in docs.columns}
     (name,) = fresh(docs.columns, "clean")
