@@ -1,8 +1,8 @@
 """The 14-day feature table.
 
-Articles aggregate in one pass by period: the decay of each subset is measured from that subset's own
-latest article, so five conditional maxima come from one window over the period, and everything else
-from one hash aggregate. The spine, a row for each period, is small whatever the articles are.
+Articles are first summed by day, combined before the shuffle; whatever their number, what follows
+handles a row a day. The decay of each subset is measured from that subset's own latest day in the
+period and applied to the sums of its days. The spine, a row for each period, is small as well.
 """
 
 from __future__ import annotations
@@ -29,36 +29,59 @@ FEATURES = (
 ).split()
 
 
-def weighted_index(decay: float, when: Column, latest: Column) -> Column:
-    """Confidence-weighted score with exponential decay from the day `latest`; 0 if no weight, NULL if no row."""
-    weight = F.when(when, F.col("confidence") * F.exp(-F.lit(decay) * F.datediff(latest, "published_date")))
-    total = F.sum(weight)
-    return F.when(F.count(F.when(when, 1)) == 0, None).when(total == 0, 0.0).otherwise(F.sum(weight * F.col("sentiment_score")) / total)
+def _day_sums(rules: dict[str, Column]) -> list[Column]:
+    """For each rule: rows, weights and weighted scores of a day."""
+    out = []
+    for k, rule in rules.items():
+        out += [
+            F.count(F.when(rule, 1)).alias(f"_n_{k}"), F.sum(F.when(rule, F.col("confidence"))).alias(f"_w_{k}"),
+            F.sum(F.when(rule & F.col("confidence").isNotNull(), F.col("confidence") * F.col("sentiment_score"))).alias(f"_s_{k}"),
+        ]
+    return out
+
+
+def weighted_index(name: str, decay: float) -> Column:
+    """Confidence-weighted score of days with exponential decay from the day `_latest_name`; 0 if no weight, NULL if no row."""
+    fade = F.exp(-F.lit(decay) * F.datediff(F.col(f"_latest_{name}"), F.col("published_date")))
+    total = F.sum(F.col(f"_w_{name}") * fade)
+    return F.when(F.sum(f"_n_{name}") == 0, None).when(total == 0, 0.0).otherwise(F.sum(F.col(f"_s_{name}") * fade) / total)
+
+
+def _latest(days: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """Days with the latest day of each subset; the window holds the days of a group, not its articles."""
+    whole = Window.partitionBy(*keys)
+    return days.withColumns({f"_latest_{k}": F.max(F.when(F.col(f"_n_{k}") > 0, F.col("published_date"))).over(whole) for k in names})
 
 
 def sentiment_index(articles: DataFrame, keys: list[str], decay: float) -> DataFrame:
     """The index of each group of articles(published_date, confidence, sentiment_score)."""
-    latest = articles.withColumn("_latest", F.max("published_date").over(Window.partitionBy(*keys)))
-    return latest.groupBy(*keys).agg(F.coalesce(weighted_index(decay, F.lit(True), F.col("_latest")), F.lit(0.0)).alias("sentiment_index"))
+    days = articles.groupBy(*keys, "published_date").agg(*_day_sums({"all": F.lit(True)}))
+    return _latest(days, ["all"], keys).groupBy(*keys).agg(F.coalesce(weighted_index("all", decay), F.lit(0.0)).alias("sentiment_index"))
 
 
 def period_aggregates(articles: DataFrame, config: Config) -> DataFrame:
     """A row for each period that has articles; articles without a date or before the anchor are left out."""
-    numbered = articles.withColumn("period_num", dates.period_number(F.col("published_date"), config.anchor)).where("period_num is not null")
-    whole = Window.partitionBy("period_num")
-    numbered = numbered.withColumns({f"_latest_{k}": F.max(F.when(F.expr(rule), F.col("published_date"))).over(whole) for k, rule in INDICES.items()})
-    relevant = F.expr(INDICES["all"])
+    rules = {k: F.coalesce(F.expr(rule), F.lit(False)) for k, rule in INDICES.items()}
+    relevant = rules["all"]
     count = lambda rule: F.count(F.when(F.expr(rule), 1))
-    return numbered.groupBy("period_num").agg(
-        *[weighted_index(config.decay, F.expr(rule), F.col(f"_latest_{k}")).alias(f"sentiment_{k}") for k, rule in INDICES.items()],
+    days = articles.where(F.col("published_date") >= F.lit(config.anchor)).groupBy("published_date").agg(
+        *_day_sums(rules),
         F.count("*").alias("n_articles_total"),
-        count(INDICES["all"]).alias("n_relevant"),
         *[count(f"label = '{label}'").alias(f"n_{label.lower()}") for label in config.labels[:3]],
-        count("type_ab = 'A'").alias("n_typeA"),
         F.min(F.when(relevant, F.col("sentiment_score"))).alias("max_neg_sentiment"),
-        (F.count(F.when(relevant & (F.col("sentiment_score") < -0.3), 1)) / F.nullif(count(INDICES["all"]), F.lit(0))).alias("prop_negative_articles"),
+        F.count(F.when(relevant & (F.col("sentiment_score") < -0.3), 1)).alias("_negative"),
         F.max(F.when(F.expr("label = 'SUPPLYSHOCK' and sentiment_score < -0.7"), 1).otherwise(0)).alias("has_extreme_news"),
     )
+    days = days.withColumn("period_num", dates.period_number(F.col("published_date"), config.anchor)).where("period_num is not null")
+    return _latest(days, list(INDICES), ["period_num"]).groupBy("period_num").agg(
+        *[weighted_index(k, config.decay).alias(f"sentiment_{k}") for k in INDICES],
+        *[F.sum(c).alias(c) for c in ("n_articles_total", *[f"n_{label.lower()}" for label in config.labels[:3]])],
+        F.sum("_n_all").alias("n_relevant"),
+        F.sum("_n_typeA").alias("n_typeA"),
+        F.min("max_neg_sentiment").alias("max_neg_sentiment"),
+        (F.sum("_negative") / F.nullif(F.sum("_n_all"), F.lit(0))).alias("prop_negative_articles"),
+        F.max("has_extreme_news").alias("has_extreme_news"),
+    )
 
 
 def spine(spark: SparkSession, config: Config) -> DataFrame:
