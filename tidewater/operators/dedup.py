@@ -1,63 +1,85 @@
 """Greedy near-duplicate removal by MinHash.
 
-A pair is similar if at least `threshold` of its 64 signature values agree. With 16 bands of 4, a pair
-with at most 9 disagreeing values agrees in 7 bands or more, so banding loses nothing at 0.85. Bands
-only link articles into connected components; within a component the greedy rule runs as written
-(articles in order of position; of a similar pair the longer stays, of equally long ones the
-earlier), and components can't affect each other.
+A pair is similar if at least `threshold` of its 64 signature values agree. At 0.85 at most 9 values
+may differ, so of 10 bands of 6 values one at least is whole: banding loses nothing. Pairs that share a
+band are verified on all 64 values, in tiles, before anything is linked; only then do similar articles
+form connected components. Within a component the greedy rule runs as written (articles in order of
+position; of a similar pair the longer stays, of equally long ones the earlier), and components can't
+affect each other. The rule is a sequence, so a component, a family of near copies, is one task; the
+task holds a few numbers for each of its articles and one signature for each distinct one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators.components import connected_components
 from tidewater.operators.lineage import keep
+from tidewater.operators.tiles import bucket_tiles, roots
 
-PERMUTATIONS, BANDS, SHINGLE, PRIME = 64, 16, 5, (1 << 32) - 1
+PERMUTATIONS, SHINGLE, TILE = 64, 5, 512
+PIECE = 1 << 16
 
 
 def _constants(seed: int) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(seed)
-    return draw.integers(1, PRIME, PERMUTATIONS, dtype=np.uint64), draw.integers(0, PRIME, PERMUTATIONS, dtype=np.uint64)
+    return draw.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1), draw.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
 
 
-def signature(text: str, seed: int = 42) -> np.ndarray:
-    """64 minima of affine hashes over the character shingles of the lower-cased, stripped text."""
-    points = np.frombuffer((text or "").lower().strip().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    n = len(points) - SHINGLE + 1
-    width = SHINGLE if n > 0 else len(points)
-    value = np.zeros(max(n, 1), dtype=np.uint64)
-    for k in range(width):
-        value = value * np.uint64(1_000_003) + points[k : k + len(value)]
-        value ^= value >> np.uint64(29)
-    value = np.unique(value * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33))
+def signatures_of(texts: list[str | None], seed: int = 42) -> np.ndarray:
+    """A row of 64 minima of affine hashes over the character shingles of each lower-cased, stripped text."""
+    out = np.full((len(texts), PERMUTATIONS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    own = [(t or "").lower().strip() for t in texts]
     a, b = _constants(seed)
-    out = np.full(PERMUTATIONS, PRIME, dtype=np.uint64)
-    half, rest, one = np.uint64(32), np.uint64(PRIME), np.uint64(1)
-    for low in range(0, len(value), 512):  # pieces that stay in cache; modulo 2**32 - 1 by folding
-        x = a[:, None] * value[low : low + 512]
-        x += b[:, None]
-        for shift in (0, 0, 1):  # the last fold turns 2**32 - 1 into 0
-            x += one * np.uint64(shift)
-            over = x >> half
-            x &= rest
-            x += over
-        x -= one
-        np.minimum(out, x.min(axis=1), out=out)
-    return out.astype(np.int64)
+    start = 0
+    while start < len(own):
+        end, size = start, 0
+        while end < len(own) and (end == start or size + len(own[end]) < PIECE):
+            size += len(own[end]) + SHINGLE
+            end += 1
+        # zeros behind each text stand for what a text shorter than a shingle lacks
+        points = np.frombuffer("".join(t + "\0" * SHINGLE for t in own[start:end]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        lengths = np.array([len(t) for t in own[start:end]])
+        begin = np.cumsum(lengths + SHINGLE) - lengths - SHINGLE
+        value = np.zeros(len(points) - SHINGLE + 1, dtype=np.uint64)
+        for k in range(SHINGLE):
+            value = value * np.uint64(1_000_003) + points[k : k + len(value)]
+            value ^= value >> np.uint64(29)
+        value *= np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(32)
+        counts = np.maximum(lengths - SHINGLE + 1, 1)
+        first = np.cumsum(counts) - counts
+        value = value[np.arange(counts.sum()) + np.repeat(begin - first, counts)]
+        scratch = np.empty_like(value)
+        for low in range(0, len(value), PIECE):  # a longer text in pieces that stay in cache
+            high = min(low + PIECE, len(value))
+            part, room = value[low:high], scratch[low:high]
+            rows = np.flatnonzero((first < high) & (first + counts > low))
+            cuts = np.maximum(first[rows] - low, 0)
+            for p in range(PERMUTATIONS):
+                np.multiply(part, a[p], out=room)
+                np.add(room, b[p], out=room)
+                out[start + rows, p] = np.minimum(out[start + rows, p], np.minimum.reduceat(room, cuts))
+        start = end
+    return (out >> np.uint64(32)).astype(np.int64)
+
+
+def signature(text: str, seed: int = 42) -> np.ndarray:
+    return signatures_of([text], seed)[0]
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("full_text").to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("char_length"), pa.array([signature(t).tolist() for t in texts], pa.list_(pa.int64()))], names=["pos", "char_length", "signature"])
+        signs = signatures_of(batch.column("full_text").to_pylist())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1, dtype=np.int32) * PERMUTATIONS), pa.array(signs.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("char_length"), lists], names=["pos", "char_length", "signature"])
 
 
 def signatures(articles: DataFrame) -> DataFrame:
@@ -72,39 +94,77 @@ def agreement(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same).otherwise(0.0)
 
 
-def greedy(sizes: np.ndarray, signs: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of some articles, in order of position, stay."""
+def bands_for(threshold: float) -> int:
+    """Bands of which one is whole if no more values differ than the threshold allows."""
+    return min(PERMUTATIONS, PERMUTATIONS - math.ceil(threshold * PERMUTATIONS - 1e-9) + 1)
+
+
+def greedy(sizes: np.ndarray, kind: np.ndarray, signs: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of some articles, in order of position, stay. kind: the row of each in signs."""
     stays = np.ones(len(sizes), dtype=bool)
     for i in range(len(sizes)):
         if not stays[i]:
             continue
-        later = np.flatnonzero(stays[i + 1 :]) + i + 1
-        similar = later[(signs[later] == signs[i]).mean(axis=1) >= threshold] if len(later) else later
-        for j in similar:
-            if sizes[i] >= sizes[j]:
-                stays[j] = False
-            else:
-                stays[i] = False
-                break
+        alike = (signs == signs[kind[i]]).mean(axis=1) >= threshold
+        later = np.flatnonzero(stays[i + 1 :] & alike[kind[i + 1 :]]) + i + 1
+        longer = later[sizes[later] > sizes[i]]
+        if len(longer):
+            later = later[later < longer[0]]
+            stays[i] = False
+        stays[later] = False
     return stays
 
 
+def _similar(threshold: float):
+    """Of tiles, sorted by (low, high): (u, v), each class with the first of its tile that it is connected with."""
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch | None:
+        rows = list({r[2]: r for r in rows}.values())
+        if len(rows) < 2:
+            return None
+        signs = np.array([r[4] for r in rows], dtype=np.int64)
+        same = np.zeros((len(rows), len(rows)), dtype=np.int16)
+        for column in signs.T:
+            same += column[:, None] == column[None, :]
+        label = roots(same >= threshold * PERMUTATIONS - 1e-9)
+        hung = np.flatnonzero(label != np.arange(len(rows)))
+        node = np.array([r[2] for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array(node[hung]), pa.array(node[label[hung]])], names=["u", "v"]) if len(hung) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows = None, []
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("low", "high", "class", "block", "signature")], strict=True):
+                if row[:2] != tile:
+                    if (out := flush(rows)) is not None:
+                        yield out
+                    tile, rows = row[:2], []
+                rows.append(row)
+        if (out := flush(rows)) is not None:
+            yield out
+
+    return run
+
+
 def near_duplicates(articles: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(pos) of the articles to drop."""
-    signs = keep(signatures(articles))
-    classes = signs.groupBy(F.xxhash64("signature").alias("node")).agg(F.first("signature").alias("signature"))
-    rows = PERMUTATIONS // BANDS
-    bands = F.array(*[F.xxhash64(F.slice("signature", b * rows + 1, rows), F.lit(b)) for b in range(BANDS)])
-    keyed = classes.select("node", F.posexplode(bands).alias("band", "key"))
-    links = keyed.select(F.col("node").alias("u"), F.min("node").over(Window.partitionBy("band", "key")).alias("v")).where("u <> v")
-    groups = connected_components(links)
-    members = signs.withColumn("node", F.xxhash64("signature")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    crowded = Window.partitionBy("component")
-    members = members.withColumn("n", F.count("*").over(crowded)).where("n > 1").select("component", "pos", "char_length", "signature")
+    signs = keep(signatures(articles).withColumn("class", F.xxhash64("signature")))
+    classes = keep(signs.groupBy("class").agg(F.first("signature").alias("signature"), F.count("*").alias("n")))
+    bands = bands_for(threshold)
+    edges = [PERMUTATIONS * i // bands for i in range(bands + 1)]
+    keys = F.array(*[F.xxhash64(F.slice("signature", low + 1, high - low), F.lit(i)) for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
+    tiles = bucket_tiles(classes.select("class", keys.alias("bands")), TILE).join(classes.select("class", "signature"), "class")
+    tiles = tiles.select("low", "high", "class", "block", "signature").repartition("low", "high").sortWithinPartitions("low", "high")
+    groups = connected_components(tiles.mapInArrow(_similar(threshold), "u long, v long")).withColumnRenamed("node", "class")
+    # components of one class with one article have nothing to drop
+    grouped = classes.select("class", "n").join(groups, "class", "left").where("component is not null or n > 1").select("class", F.coalesce("component", "class").alias("component"))
+    members = signs.join(grouped, "class").select("component", "pos", "char_length", "class", "signature")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")
-        return part.loc[~greedy(part["char_length"].to_numpy(), np.stack(part["signature"]), threshold), ["pos"]]
+        _, first, kind = np.unique(part["class"].to_numpy(), return_index=True, return_inverse=True)
+        own = np.stack([part["signature"].iloc[i] for i in first])
+        return part.loc[~greedy(part["char_length"].to_numpy(), kind, own, threshold), ["pos"]]
 
     return members.groupBy("component").applyInPandas(run, "pos long")
 
