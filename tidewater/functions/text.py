@@ -78,6 +78,10 @@ def relevant(text: Column, title: Column, primary: tuple[str, ...], places: tupl
     return any_phrase_words(whole, primary) & place
 
 
+#: Marks that words lose at their ends; other signs, as of currencies, stay.
+MARKS = ".,!?\"':;()[]{}\u2026\u2014\u2013-/\\"
+
+
 def clean_word(word: Column) -> Column:
-    """Without punctuation at the ends."""
-    return F.regexp_replace(word, "^\\p{Punct}+|\\p{Punct}+$", "")
+    """Without MARKS at the ends."""
+    return F.btrim(word, F.lit(MARKS))

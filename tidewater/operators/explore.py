@@ -32,17 +32,54 @@ def label_distribution(rows: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     return spine.join(counts(rows, "label", "label"), "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("pct", F.lit(0.0)).alias("pct"))
 
 
+BINS = 4096
+
+
+def quantiles(rows: DataFrame, column: str, shares: dict[str, float], by: str | None = None) -> DataFrame:
+    """([by], a column for each of `shares`): exact quantiles, interpolated between neighbouring values.
+
+    No task sees all values: a histogram tells the bins that hold the wanted ranks, and only the distinct
+    values of those bins, counted before they are shuffled, are put in order.
+    """
+    group = F.col(by) if by else F.lit(0)
+    vals = rows.select(group.alias("g"), F.col(column).cast("double").alias("x")).where("x is not null")
+    ends = vals.groupBy("g").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("size"))
+    ends = ends.withColumn("wanted", F.array_distinct(F.array(*[e for q in shares.values() for e in (F.floor(F.lit(q) * (F.col("size") - 1)), F.ceil(F.lit(q) * (F.col("size") - 1)))])))
+    width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    at = F.coalesce(F.least(F.floor((F.col("x") - F.col("low")) / width * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
+    placed = vals.join(ends.select(F.col("g").alias("h"), "low", "high"), F.col("g").eqNullSafe(F.col("h"))).select("g", "x", at.alias("bin"))
+    counts = placed.groupBy("g", "bin").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("g").orderBy("bin")) - F.col("n")
+    counts = counts.withColumn("before", before).join(ends.select(F.col("g").alias("h"), "wanted"), F.col("g").eqNullSafe(F.col("h")))
+    held = counts.where(F.exists("wanted", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))).select(F.col("g").alias("h"), F.col("bin").alias("b"), "before", "wanted")
+    each = placed.join(held, F.col("g").eqNullSafe(F.col("h")) & (F.col("bin") == F.col("b"))).groupBy("g", "bin", "before", "wanted", "x").agg(F.count("*").alias("n"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("g", "bin").orderBy("x"))
+    each = each.withColumn("upto", upto).select("g", "x", F.explode(F.filter("wanted", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("rank"))
+    found = each.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))  # two ranks a share
+    found = found.join(ends.select(F.col("g").alias("h"), "size"), F.col("g").eqNullSafe(F.col("h")))
+    out = {}
+    for name, q in shares.items():
+        rank = F.lit(q) * (F.col("size") - 1)
+        low, high = F.col("at")[F.floor(rank)], F.col("at")[F.ceil(rank)]
+        out[name] = (low + (high - low) * (rank - F.floor(rank))).alias(name)
+    return found.select(*([F.col("g").alias(by)] if by else []), *out.values())
+
+
 def stats(rows: DataFrame, column: str, by: str | None = None, population: bool = False) -> DataFrame:
     c = F.col(column)
     spread = F.stddev_pop(c) if population else F.stddev_samp(c)
     grouped = rows.groupBy(by) if by else rows.groupBy()
     r = lambda x: F.round(x.cast("double"), 6)
-    return grouped.agg(F.count(c).alias("n"), r(F.min(c)).alias("min"), r(F.max(c)).alias("max"), r(F.avg(c)).alias("mean"), r(F.percentile(c, F.lit(0.5))).alias("median"), r(spread).alias("std"))
+    base = grouped.agg(F.count(c).alias("n"), r(F.min(c)).alias("min"), r(F.max(c)).alias("max"), r(F.avg(c)).alias("mean"), r(spread).alias("std"))
+    middle = quantiles(rows, column, {"median": 0.5}, by)
+    middle = middle.select(*([F.col(by).alias("_by")] if by else []), r(F.col("median")).alias("median"))
+    both = base.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left") if by else base.join(middle, F.lit(True), "left")  # one row
+    return both.select(*([by] if by else []), "n", "min", "max", "mean", "median", "std")
 
 
 def quartiles(rows: DataFrame, column: str, by: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile(column, F.lit(p)), 6)
-    return rows.groupBy(by).agg(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
+    found = quantiles(rows, column, {"q1": 0.25, "q2": 0.5, "q3": 0.75}, by)
+    return found.select(by, *[F.round(q, 6).alias(q) for q in ("q1", "q2", "q3")])
 
 
 def histogram(rows: DataFrame, column: str, bins: int) -> DataFrame:
@@ -107,9 +144,10 @@ def label_months(rows: DataFrame, date: str) -> DataFrame:
 
 def term_frequency(rows: DataFrame, column: str, stopwords: frozenset[str], k: int) -> DataFrame:
     """(term, n): words of more than 3 characters that are no stopword and no number, the k most frequent."""
-    words = rows.select(F.explode(F.split(F.lower(column), "\\s+")).alias("w")).select(clean_word(F.col("w")).alias("term"))
+    raw = rows.select(F.explode(F.split(F.lower(column), "\\s+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = raw.select(clean_word(F.col("w")).alias("term"), "n")  # each distinct word is cleaned once
     words = words.where((F.length("term") > 3) & ~F.col("term").isin(*sorted(stopwords)) & ~F.col("term").rlike("^[0-9]+$"))
-    return words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(k)
+    return words.groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(k)
 
 
 def token_cost(rows: DataFrame, price_in: float, price_out: float) -> DataFrame:
@@ -146,3 +184,26 @@ def overview(rows: DataFrame) -> DataFrame:
         F.count("*").alias("n_articles"), F.count_distinct("source").alias("n_sources"), F.count(F.when(~F.col("label").isin("IRRELEVANT", "NO_EXTRACTION", "UNKNOWN"), 1)).alias("n_relevant"),
         F.round(F.avg("char_length"), 6).alias("mean_length"), F.min("published_date").alias("first_day"), F.max("published_date").alias("last_day"), F.round(F.avg("sentiment_score"), 6).alias("mean_score"),
     )
+
+
+def coverage_pct(rows: DataFrame, date: str, start: Column, end: Column) -> DataFrame:
+    """(months, covered, coverage_pct): months of the corpus, those with a row, and their share."""
+    spine = rows.sparkSession.range(1).select(F.explode(F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))).alias("first")).select(dates.month_of(F.col("first")).alias("month"))
+    covered = spine.intersect(rows.where(F.col(date).isNotNull()).select(dates.month_of(F.col(date)).alias("month")))
+    both = spine.agg(F.count("*").alias("months")).crossJoin(covered.agg(F.count("*").alias("covered")))  # one row each
+    return both.withColumn("coverage_pct", F.round(F.col("covered") * 100.0 / F.col("months"), 1))
+
+
+def coverage_report(rows: DataFrame, date: str, config) -> DataFrame:
+    """One nested record: totals, the first and last day, counts by month of the corpus, thin and missing months, coverage."""
+    start, end = F.lit(config.date_start), F.lit(config.date_end)
+    per = rows.where(F.col(date).isNotNull()).groupBy(dates.month_of(F.col(date)).alias("month")).agg(F.count("*").alias("n"))
+    spine = rows.sparkSession.range(1).select(F.explode(F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))).alias("first")).select(dates.month_of(F.col("first")).alias("month"))
+    months = spine.join(per, "month", "left").agg(F.array_sort(F.collect_list(F.struct("month", F.coalesce("n", F.lit(0)).alias("n")))).alias("by_month"))  # the months of the corpus
+    total = rows.agg(F.count("*").alias("total"), F.struct(F.min(date).alias("start"), F.max(date).alias("end")).alias("date_range"))
+    some = lambda test: F.transform(F.filter("by_month", test), lambda m: m.month)
+    both = total.crossJoin(months)  # one row each
+    return both.select(
+        "total", "date_range", "by_month", some(lambda m: (m.n > 0) & (m.n < config.low_coverage)).alias("low_coverage_months"), some(lambda m: m.n == 0).alias("missing_months"),
+        F.round(F.size(F.filter("by_month", lambda m: m.n > 0)) * 100.0 / F.size("by_month"), 1).alias("coverage_pct"), F.lit(config.low_coverage).alias("low_coverage_threshold"),
+    )

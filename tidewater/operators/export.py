@@ -20,18 +20,18 @@ def final_features(features: DataFrame) -> DataFrame:
     return table.orderBy("period_id") if "period_id" in table.columns else table
 
 
-def checklist(features: DataFrame, granger_exists: bool = True, validation: bool | None = None, order: str = "period_num") -> DataFrame:
+def checklist(features: DataFrame, granger_exists: bool = True, validation: bool | None = None, order: str | None = None) -> DataFrame:
     """(check_name, passed, value): a row for each check, and `all_passed` over those that can fail.
 
-    validation: whether the report passed, None if there is none. `order` is the column with the rows'
-    present order; without it the rows count as sorted.
+    validation: whether the report passed, None if there is none. `order` names the column with the rows'
+    present order, and must then be there; without it the order of the frame counts, which is known only
+    of rows that were read or sorted before.
     """
     columns = [c for c in EXPORTED if c in features.columns]
     table = features
-    if order in features.columns:
-        table = table.withColumn("_before", F.lag("period_id").over(Window.orderBy(order)))
-    else:
-        table = table.withColumn("_before", F.lit(None).cast("string"))
+    if order is None:
+        table, order = table.withColumn("_order", F.monotonically_increasing_id()), "_order"
+    table = table.withColumn("_before", F.lag("period_id").over(Window.orderBy(order)))  # a row a period
     missing = {f"no_missing_{c}": F.count(F.when(F.col(c).isNull(), 1)) for c in columns if c != "is_imputed"}
     out = {"sentiment_typeA_range": F.count(F.when(~F.col("sentiment_typeA").between(-1, 1), 1))} if "sentiment_typeA" in columns else {}
     unsorted = {"periods_sorted": F.count(F.when(F.col("_before") > F.col("period_id"), 1))}

@@ -106,8 +106,14 @@ def pruned(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[c for c in columns if c in rows.columns])
 
 
-def for_exploration(articles: DataFrame, extractions: DataFrame) -> DataFrame:
-    """Left join; articles without an extraction get NO_EXTRACTION, extractions without a label UNKNOWN."""
+def for_exploration(articles: DataFrame, extractions: DataFrame, position: str | None = None) -> DataFrame:
+    """Left join; articles without an extraction get NO_EXTRACTION, extractions without a label UNKNOWN.
+
+    Of several extractions of one article the last by `position` counts; without it they are taken as
+    they come, one for each article.
+    """
+    if position is not None:
+        extractions = latest_by_id(extractions, position)
     marked = extractions.withColumn("_found", F.lit(True))
     label = F.when(F.col("_found").isNull(), "NO_EXTRACTION").otherwise(F.coalesce("label", F.lit("UNKNOWN")))
     return articles.join(marked, "article_id", "left").withColumn("label", label).drop("_found")
@@ -118,8 +124,21 @@ def repaired_cache(cache: DataFrame) -> DataFrame:
     return cache.where("status = 'success'")
 
 
+def failure(error: str = "max_retries") -> Column:
+    """The payload of an extraction that failed for good."""
+    return F.struct(
+        F.struct(*[F.lit("failed").alias(s) for s in STEPS]).alias("reasoning_chain"), F.lit("IRRELEVANT").alias("label"), F.lit(0.0).alias("sentiment_score"), F.lit(0.0).alias("confidence"),
+        F.array().cast("array<string>").alias("commodities"), F.lit(None).cast("string").alias("supply_location"), F.lit(False).alias("is_forward_looking"), F.lit(error).alias("rationale"),
+    )
+
+
 def failure_record(articles: DataFrame, model: str, error: str = "max_retries") -> DataFrame:
-    """The record of an article whose extraction failed for good."""
-    chain = F.struct(*[F.lit("failed").alias(s) for s in STEPS]).alias("reasoning_chain")
-    payload = F.struct(chain, F.lit("IRRELEVANT").alias("label"), F.lit(0.0).alias("sentiment_score"), F.lit(0.0).alias("confidence"), F.array().cast("array<string>").alias("commodities"), F.lit(None).cast("string").alias("supply_location"), F.lit(False).alias("is_forward_looking"), F.lit(error).alias("rationale"))
-    return articles.select("article_id", payload.alias("extraction"), F.lit(model).alias("model"), F.lit(0).cast("long").alias("tokens_prompt"), F.lit(0).cast("long").alias("tokens_completion"), F.current_timestamp().alias("extracted_at"), F.lit("failed").alias("status"))
+    """The record of articles whose extraction failed for good."""
+    return articles.select(
+        "article_id", failure(error).alias("extraction"), F.lit(model).alias("model"), F.lit(0).cast("long").alias("tokens_prompt"), F.lit(0).cast("long").alias("tokens_completion"), F.current_timestamp().alias("extracted_at"), F.lit("failed").alias("status")
+    )
+
+
+def label_code(label: Column, labels: tuple[str, ...]) -> Column:
+    """Number of a label in the order of `labels`; NULL for others."""
+    return F.element_at(F.create_map(*[x for i, name in enumerate(labels) for x in (F.lit(name), F.lit(i))]), label)

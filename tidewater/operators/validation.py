@@ -6,31 +6,42 @@ one shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def lot(key: Column, seed: int) -> Column:
+    """A seeded lot: hexadecimal digits, as good as random."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+
+
 def stratified_sample(rows: DataFrame, n: int, floor: int, key: str = "article_id", seed: int = 42) -> DataFrame:
     """n rows: of each label at least min(floor, its rows), the rest in proportion to what is left.
 
     If the floors exceed n they shrink to n over the number of labels. Proportional quotas are rounded
-    to the nearest integer and topped up, or cut, by the order of a seeded hash of the key, which also
-    decides within labels and is the order of the result. If n is not below the number of rows, all.
+    to the nearest even integer and topped up, or cut, by the order of a seeded lot, which also decides
+    within labels and is the order of the result. If n is not below the number of rows, all.
+    Only rows whose lot may be among the first n of their label are put in order.
     """
-    total, n_labels = rows.agg(F.count("*"), F.count_distinct("label")).first()
+    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}  # a row a label
+    total, n_labels = sum(sizes.values()), len([k for k in sizes if k is not None])
     if not total or n >= total:
         return rows
     floor = n // n_labels if floor * n_labels > n else floor
-    lot = F.xxhash64(F.col(key), F.lit(seed))
-    ranked = rows.withColumn("_lot", lot).withColumn("_rank", F.row_number().over(Window.partitionBy("label").orderBy("_lot", key)))
-    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}  # a row a label
     base = sum(min(floor, s) for s in sizes.values())
     left, pool = n - base, total - base
     quota = {k: min(floor, s) + (round((s - min(floor, s)) * left / pool) if pool else 0) for k, s in sizes.items()}
-    plan = rows.sparkSession.createDataFrame([(k, q) for k, q in quota.items()], "_stratum string, _quota long")
-    ranked = ranked.join(F.broadcast(plan), F.col("label").eqNullSafe(F.col("_stratum"))).drop("_stratum")
+    spare = n + 6 * n**0.5 + 20
+    plan = rows.sparkSession.createDataFrame([(k, q, min(1.0, spare / sizes[k])) for k, q in quota.items()], "_stratum string, _quota long, _reach double")
+    drawn = rows.withColumn("_lot", lot(F.col(key), seed)).join(F.broadcast(plan), F.col("label").eqNullSafe(F.col("_stratum"))).drop("_stratum")
+    share = F.conv(F.substring("_lot", 1, 13), 16, 10).cast("double") / float(1 << 52)
+    near = drawn.where(share < F.col("_reach"))
+    found = {r[0]: r[1] for r in near.groupBy("label").count().collect()}
+    if any(found.get(k, 0) < min(n, s) for k, s in sizes.items()):  # so far out by chance that all rows are needed
+        near = drawn
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("label").orderBy("_lot", key)))
     first = (F.col("_rank") > floor).cast("int") + (F.col("_rank") > F.col("_quota")).cast("int")
-    return ranked.withColumn("_turn", first).orderBy("_turn", "_lot", key).limit(n).orderBy("_lot", key).drop("_lot", "_rank", "_quota", "_turn")
+    return ranked.withColumn("_turn", first).orderBy("_turn", "_lot", key).limit(n).orderBy("_lot", key).drop("_lot", "_rank", "_quota", "_reach", "_turn")
 
 
 def tidy_labels(annotations: DataFrame, labels: tuple[str, ...]) -> DataFrame:

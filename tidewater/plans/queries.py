@@ -246,8 +246,12 @@ def typeab_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.articles(spark, sf_dir).select("article_id", r.alias("r")).select("article_id", "r.type_ab", F.round("r.ab_confidence", 6).alias("ab_confidence"), "r.temporal_signal")
 
 
+def _explored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qc.for_exploration(v.articles(spark, sf_dir), v.extraction_log(spark, sf_dir), "nth").drop("nth")
+
+
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typeab.classify(qc.for_exploration(v.articles(spark, sf_dir), v.extractions(spark, sf_dir)), v.WORDS)
+    return typeab.classify(_explored(spark, sf_dir), v.WORDS)
 
 
 _CLASSIFIED = f"""WITH {v.EXPLORED}, n AS (SELECT label, len(list_filter({_words(v.WORDS.forward)}, lambda p: contains(lower(full_text || ' ' || title), p))) AS f, len(list_filter({_words(v.WORDS.backward)}, lambda p: contains(lower(full_text || ' ' || title), p))) AS b
@@ -387,7 +391,7 @@ def qc_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {v.EXPLORED} SELECT article_id, label, confidence FROM explored")
 def eda_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qc.for_exploration(v.articles(spark, sf_dir), v.extractions(spark, sf_dir)).select("article_id", "label", "confidence")
+    return _explored(spark, sf_dir).select("article_id", "label", "confidence")
 
 
 @query(f"WITH {v.CLEAN} SELECT l.label, count(c.label) AS n, round(count(c.label) * 100.0 / (SELECT count(*) FROM clean), 6)::DOUBLE AS pct FROM (VALUES ('SUPPLYSHOCK'), ('DEMANDSHOCK'), ('PRICEREPORT'), ('IRRELEVANT')) l(label) LEFT JOIN clean c ON c.label = l.label GROUP BY 1")
@@ -448,7 +452,7 @@ def label_commodity_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {v.EXPLORED} SELECT label, strftime(published_date, '%Y-%m') AS month, count(*) AS n FROM explored GROUP BY ALL")
 def label_month_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.label_months(qc.for_exploration(v.articles(spark, sf_dir), v.extractions(spark, sf_dir)), "published_date")
+    return explore.label_months(_explored(spark, sf_dir), "published_date")
 
 
 @query(f"WITH {v.EXTRACTIONS} SELECT coalesce(nullif(supply_location, ''), '(none)') AS value, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM extractions), 6)::DOUBLE AS pct FROM extractions GROUP BY 1")
@@ -500,7 +504,7 @@ def month_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {v.EXPLORED} SELECT strftime(published_date, '%Y-%m') AS month, count(*) AS total, count(*) FILTER ({RELEVANT}) AS relevant, count(*) FILTER (label = 'IRRELEVANT') AS irrelevant, round(count(*) FILTER ({RELEVANT}) * 100.0 / count(*), 6)::DOUBLE AS pct_relevant, count(*) FILTER ({RELEVANT}) < 2 AS is_low FROM explored GROUP BY 1")
 def monthly_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.monthly_relevance(qc.for_exploration(v.articles(spark, sf_dir), v.extractions(spark, sf_dir)), "published_date")
+    return explore.monthly_relevance(_explored(spark, sf_dir), "published_date")
 
 
 @query(f"WITH {v.ARTICLES}, m AS (SELECT strftime(published_date, '%Y-%m') AS month, count(*) AS n FROM articles GROUP BY 1) SELECT (SELECT month FROM m ORDER BY n DESC, month LIMIT 1) AS most, (SELECT month FROM m ORDER BY n, month LIMIT 1) AS fewest, min(published_date) AS first_day, max(published_date) AS last_day, CAST(max(published_date) - min(published_date) AS INTEGER) AS span_days FROM articles")
@@ -510,11 +514,11 @@ def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {v.EXPLORED} SELECT count(*) AS n_articles, count(DISTINCT source) AS n_sources, count(*) FILTER ({RELEVANT}) AS n_relevant, round(avg(char_length), 6) AS mean_length, min(published_date) AS first_day, max(published_date) AS last_day, round(avg(sentiment_score), 6) AS mean_score FROM explored")
 def overview_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.overview(qc.for_exploration(v.articles(spark, sf_dir), v.extractions(spark, sf_dir)))
+    return explore.overview(_explored(spark, sf_dir))
 
 
 @query(
-    """WITH w AS (SELECT regexp_replace(unnest(regexp_split_to_array(lower(text), '\\s+')), '^[[:punct:]]+|[[:punct:]]+$', '', 'g') AS term FROM documents)
+    """WITH w AS (SELECT trim(unnest(regexp_split_to_array(lower(text), '\\s+')), '.,!?"'':;()[]{}\u2026\u2014\u2013-/\\') AS term FROM documents)
 SELECT term, count(*) AS n FROM w WHERE length(term) > 3 AND NOT regexp_matches(term, '^[0-9]+$') AND term NOT IN ("""
     + ", ".join(f"'{w}'" for w in sorted(CONFIG.stopwords))
     + ") GROUP BY term ORDER BY n DESC, term LIMIT 30"
@@ -526,9 +530,20 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- validation -------------------------------------------------------------------------------
 
 
-@query()
+_SAMPLED, _FLOOR = 200, 20
+
+
+@query(
+    f"""WITH {v.CLEAN}, lots AS (SELECT article_id, label, sentiment_score, md5('42:' || article_id) AS lot, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || article_id), article_id) AS rank FROM clean),
+sizes AS (SELECT label, count(*) AS s FROM clean GROUP BY label),
+f AS (SELECT CASE WHEN {_FLOOR} * count(*) > {_SAMPLED} THEN {_SAMPLED} // count(*) ELSE {_FLOOR} END AS low, sum(s) AS total FROM sizes),
+b AS (SELECT sum(least(low, s)) AS base FROM sizes, f),
+quotas AS (SELECT label, least(low, s) + CAST(round_even((s - least(low, s)) * ({_SAMPLED} - base) / nullif(total - base, 0), 0) AS BIGINT) AS quota FROM sizes, f, b),
+turns AS (SELECT lots.*, (rank > low)::INT + (rank > quota)::INT AS turn FROM lots JOIN quotas USING (label), f)
+SELECT article_id, label, sentiment_score FROM turns ORDER BY turn, lot, article_id LIMIT CASE WHEN (SELECT total FROM f) <= {_SAMPLED} THEN (SELECT total FROM f) ELSE {_SAMPLED} END"""
+)
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.stratified_sample(_clean(spark, sf_dir).select("article_id", "label", "sentiment_score"), 200, 20)
+    return validation.stratified_sample(_clean(spark, sf_dir).select("article_id", "label", "sentiment_score"), _SAMPLED, _FLOOR)
 
 
 def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -637,10 +652,22 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select("doc_id", "p.label", "p.sentiment_score", "p.confidence", F.when(F.col("p").isNotNull(), F.size("p.commodities")).alias("n_commodities"), F.col("p.reasoning_chain.step1_commodities").alias("step1"))
 
 
-@query("SELECT doc_id, CASE doc_id % 6 WHEN 5 THEN NULL ELSE '' END AS broken FROM documents")
+@query(
+    """WITH p AS (SELECT doc_id, doc_id % 9 AS k, CASE WHEN doc_id % 9 = 2 THEN 1.5 WHEN doc_id % 9 = 8 THEN NULL ELSE (doc_id % 21 - 10) / 10 END AS score, CASE WHEN doc_id % 9 = 3 THEN -0.25 ELSE 0.5 END AS conf, length(text) AS n FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN k = 0 THEN 'reasoning_chain' END, CASE WHEN k = 1 THEN 'label' END, CASE WHEN k IN (2, 8) THEN 'sentiment_score' END, CASE WHEN k = 3 THEN 'confidence' END, CASE WHEN k = 4 THEN 'commodities' END,
+  CASE WHEN k = 5 THEN 'is_forward_looking' END, CASE WHEN k = 6 OR n > 1000 THEN 'rationale' END) AS broken FROM p"""
+)
 def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = _raw_outputs(spark, sf_dir).select("doc_id", qc.repaired(F.col("raw")).alias("p"))
-    return fixed.select("doc_id", F.when(F.col("p").isNotNull(), F.array_join(qc.violations(F.col("p"), LABELS), ",")).alias("broken"))
+    """Payloads as they come, unrepaired: the text of each document is its rationale, and each rule is broken by some."""
+    k = F.expr("doc_id % 9")
+    unless = lambda n, value: F.when(k != n, value)
+    steps = F.struct(*[unless(0, F.lit("x")).alias(step) for step in qc.STEPS])
+    payload = F.struct(
+        steps.alias("reasoning_chain"), F.when(k == 1, "GUESS").otherwise("PRICEREPORT").alias("label"), F.when(k == 2, 1.5).when(k != 8, F.expr("(doc_id % 21 - 10) / 10d")).alias("sentiment_score"),
+        F.when(k == 3, -0.25).otherwise(0.5).alias("confidence"), unless(4, F.array(F.lit("x"))).alias("commodities"), unless(5, F.lit(True)).alias("is_forward_looking"), unless(6, F.col("text")).alias("rationale"),
+    )
+    rows = v.table(spark, sf_dir, "documents").select("doc_id", payload.alias("p"))
+    return rows.select("doc_id", F.array_join(qc.violations(F.col("p"), LABELS), ",").alias("broken"))
 
 
 @query("SELECT event_type, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS mean_k FROM events GROUP BY 1")
@@ -718,8 +745,15 @@ def export_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     _features_sql(True)
     + ", checks AS ("
     + " UNION ALL ".join(f"SELECT 'no_missing_{c}' AS check_name, count(*) FILTER ({c} IS NULL) AS value FROM features" for c in _CHECKED)
-    + " UNION ALL SELECT 'sentiment_typeA_range', count(*) FILTER (sentiment_typeA NOT BETWEEN -1 AND 1) FROM features UNION ALL SELECT 'periods_sorted', 0 UNION ALL SELECT 'granger_results_exist', 0 UNION ALL SELECT 'validation_report_exist', 0 UNION ALL SELECT 'validation_passed', 0)"
+    + " UNION ALL SELECT 'sentiment_typeA_range', count(*) FILTER (sentiment_typeA NOT BETWEEN -1 AND 1) FROM features UNION ALL SELECT 'periods_sorted', (SELECT count(*) FROM (SELECT period_id < lag(period_id) OVER (ORDER BY date_start) AS late FROM features) WHERE late) UNION ALL SELECT 'granger_results_exist', 0 UNION ALL SELECT 'validation_report_exist', 0 UNION ALL SELECT 'validation_passed', 0)"
     + " SELECT check_name, value = 0 AS passed, value FROM checks UNION ALL SELECT 'all_passed', (SELECT bool_and(value = 0) FROM checks), (SELECT count(*) FROM features)"
 )
 def export_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.checklist(_features(spark, sf_dir, True), granger_exists=True, validation=True)
+    return export.checklist(_features(spark, sf_dir, True), granger_exists=True, validation=True, order="date_start")
+
+
+@query(_features_sql(True) + ", o AS (SELECT period_id < lag(period_id) OVER (ORDER BY sentiment_all, period_id) AS late FROM features) SELECT 'periods_sorted' AS check_name, count(*) FILTER (late) = 0 AS passed, count(*) FILTER (late) AS value FROM o")
+def export_unsorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of order on periods in the order of their sentiment."""
+    disordered = _features(spark, sf_dir, True).withColumn("at", F.struct("sentiment_all", "period_id"))
+    return export.checklist(disordered, order="at").where("check_name = 'periods_sorted'")

@@ -31,18 +31,27 @@ ARTICLES = """articles AS (
 
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, own = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").select("doc_id")
+    """An extraction of every document; `labelled` tells those that the table of labels has."""
+    d, own = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("labelled"))
     names = F.array(*[F.lit(x) for x in (*LABELS, "OTHER")])
     goods = F.array(*[F.lit(x) for x in COMMODITIES])
     pick = lambda e: F.element_at(goods, F.expr(f"cast(({e}) % 10 as int) + 1"))
-    return d.join(own, "doc_id").select(
+    return d.join(own, "doc_id", "left").select(
         F.col("doc_id").alias("article_id"), F.element_at(names, F.expr("cast(doc_id % 5 as int) + 1")).alias("label"), F.expr("cast(doc_id * 7919 % 2201 - 1100 as double) / 1000d").alias("sentiment_score"),
         F.expr("case when doc_id % 31 <> 0 then cast(doc_id * 104729 % 1001 as double) / 1000d end").alias("confidence"), F.array(pick("doc_id"), F.concat(F.upper(pick("doc_id * 3 + 1")), F.lit(" "))).alias("commodities"),
         F.expr("case doc_id % 3 when 0 then '' when 1 then 'karo' end").alias("supply_location"), F.expr("case doc_id % 3 when 0 then true when 1 then false end").alias("is_forward_looking"),
         F.expr("n_chars div 4").alias("tokens_prompt"), F.expr("doc_id % 300").alias("tokens_completion"), F.expr("case when doc_id % 29 = 0 then 'failed' else 'success' end").alias("extraction_status"),
+        F.coalesce("labelled", F.lit(False)).alias("labelled"),
     )
 
 
+def extraction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extractions as they were appended (`nth`): an outdated one of each labelled document, and the one that counts."""
+    now = extractions(spark, sf_dir).where("labelled").drop("labelled")
+    old = now.withColumns({"label": F.lit("OTHER"), "sentiment_score": F.lit(0.5), "nth": F.lit(1)})
+    return old.unionByName(now.withColumn("nth", F.lit(2)))
+
+
 _GOODS = "[" + ", ".join(f"'{c}'" for c in COMMODITIES) + "]"
 EXTRACTIONS = f"""extractions AS (
   SELECT d.doc_id AS article_id, [{", ".join(f"'{x}'" for x in (*LABELS, "OTHER"))}][CAST(d.doc_id % 5 AS INTEGER) + 1] AS label,
@@ -51,8 +60,8 @@ EXTRACTIONS = f"""extractions AS (
     [{_GOODS}[CAST(d.doc_id % 10 AS INTEGER) + 1], upper({_GOODS}[CAST((d.doc_id * 3 + 1) % 10 AS INTEGER) + 1]) || ' '] AS commodities,
     CASE d.doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'karo' END AS supply_location,
     CASE d.doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_forward_looking,
-    n_chars // 4 AS tokens_prompt, d.doc_id % 300 AS tokens_completion, CASE WHEN d.doc_id % 29 = 0 THEN 'failed' ELSE 'success' END AS extraction_status
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+    n_chars // 4 AS tokens_prompt, d.doc_id % 300 AS tokens_completion, CASE WHEN d.doc_id % 29 = 0 THEN 'failed' ELSE 'success' END AS extraction_status, l.doc_id IS NOT NULL AS labelled
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 CLEAN = (
     EXTRACTIONS
@@ -69,7 +78,7 @@ EXPLORED = (
     + EXTRACTIONS
     + """,
 explored AS (SELECT a.*, CASE WHEN e.article_id IS NULL THEN 'NO_EXTRACTION' ELSE coalesce(e.label, 'UNKNOWN') END AS label, e.* EXCLUDE (article_id, label)
-  FROM articles a LEFT JOIN extractions e ON a.article_id = e.article_id)"""
+  FROM articles a LEFT JOIN (FROM extractions WHERE labelled) e ON a.article_id = e.article_id)"""
 )
 
 
