@@ -16,11 +16,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.textscan import as_column, give_back, mix64, pieces, runs
-from tidewater.operators.lineage import keep
 
 BITS = 12
 ORDER = 5
@@ -135,11 +135,14 @@ def count_grams(docs: DataFrame, kind: str, order: int = ORDER) -> DataFrame:
 
 def bounded(counts: DataFrame, langs: int, limit: int) -> pa.Table:
     """The counts, once it is known from their number that a model of them for so many languages stays within `limit` bytes."""
-    counts = keep(counts)
-    need = counts.count() * (14 + 4 * langs) * 3 // 2  # hashes, directory, logarithms; half as much for lower orders
-    if need > limit:
-        raise ValueError(f"models of about {need >> 20} MB are too large to broadcast; use a lower order")
-    return counts.toArrow()
+    counts = counts.persist(StorageLevel.DISK_ONLY)  # what a lost executor held is counted again
+    try:
+        need = counts.count() * (14 + 4 * langs) * 3 // 2  # hashes, directory, logarithms; half as much for lower orders
+        if need > limit:
+            raise ValueError(f"models of about {need >> 20} MB are too large to broadcast; use a lower order")
+        return counts.toArrow()
+    finally:
+        counts.unpersist()
 
 
 class SortedHash:
