@@ -35,7 +35,12 @@ def test_all_stages(spark, tmp_path):
     assert features.count() == 53 and features.agg({"n_articles_total": "sum"}).first()[0] == 240
     assert spark.read.parquet(str(tmp_path / "granger")).count() > 0
     assert spark.read.option("header", True).csv(str(tmp_path / "export")).count() == 53
-    # nothing new is found, so nothing is collected or extracted again
-    runner.run(steps, only=["collect", "extract"])
+    assert done[0].result["routed"] == 242 and done[0].result["accepted"] == 241
+    sheet = sorted(r["article_id"] for r in spark.read.json(str(tmp_path / "validation/sample")).collect())
+    # nothing new is found, so nothing is collected, extracted or drawn again; what was rejected stays so
+    again = runner.run(steps, only=["collect", "extract", "validate"])
+    assert again[0].result["routed"] == 0
+    assert spark.read.json(str(tmp_path / "rejected")).count() == 1
+    assert sorted(r["article_id"] for r in spark.read.json(str(tmp_path / "validation/sample")).collect()) == sheet
     assert spark.read.json(str(tmp_path / "articles")).count() == 241
     assert spark.read.json(str(tmp_path / "cache")).count() == 240

@@ -56,3 +56,8 @@ def period_end(number: Column, anchor: dt.date) -> Column:
 
 def periods_until(anchor: dt.date, end: dt.date) -> int:
     return (end - anchor).days // DAYS + 1
+
+
+def coerced(text: Column) -> Column:
+    """The day that yyyy-MM-dd names; NULL for what names none."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")

@@ -24,6 +24,35 @@ def search_url(template: str, keyword: Column, page: Column) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit("{q}"), F.url_encode(keyword)), F.lit("{page}"), page.cast("string"))
 
 
+def filled(template: Column, keyword: Column, page: Column) -> Column:
+    """template with {query} replaced by the quoted keyword and {page} by the number."""
+    return F.replace(F.replace(template, F.lit("{query}"), F.url_encode(keyword)), F.lit("{page}"), page.cast("string"))
+
+
+def anchors(html: Column) -> Column:
+    """Anchors in order of appearance, those of one target once: array of struct(href, title)."""
+    raw = F.regexp_extract_all(html, F.lit("(?is)<a[^>]*\\shref=[\"'][^\"'#]+[\"'][^>]*>.*?</a>"), F.lit(0))
+    href = lambda a: F.regexp_extract(a, "(?is)<a[^>]*\\shref=[\"']([^\"'#]+)[\"']", 1)
+    title = lambda a: F.trim(F.regexp_replace(F.regexp_replace(a, "(?s)<[^>]+>", " "), "\\s+", " "))
+    each = F.transform(raw, lambda a: F.struct(href(a).alias("href"), title(a).alias("title")))
+    return F.filter(each, lambda a, i: F.array_position(F.transform(each, lambda x: x.href), a.href) == i + 1)
+
+
+def feed_items(body: Column) -> Column:
+    """Items of a feed: array of struct(title, url, published)."""
+    raw = F.regexp_extract_all(body, F.lit("(?is)<item\\b[^>]*>(.*?)</item>"), F.lit(1))
+    part = lambda x, tag: F.trim(F.regexp_replace(F.regexp_extract(x, f"(?is)<{tag}\\b[^>]*>(?:\\s*<!\\[CDATA\\[)?(.*?)(?:\\]\\]>\\s*)?</{tag}>", 1), "&amp;", "&"))
+    return F.transform(raw, lambda x: F.struct(part(x, "title").alias("title"), part(x, "link").alias("url"), part(x, "pubDate").alias("published")))
+
+
+def redirect_target(url: Column) -> Column:
+    """The URL that an aggregator's redirect carries in its path, as Base64; others stay."""
+    token = F.regexp_extract(url, "/rss/articles/([A-Za-z0-9_-]+)", 1)
+    whole = F.rpad(F.translate(token, "-_", "+/"), (F.ceil(F.length(token) / 4) * 4).cast("int"), F.lit("="))
+    target = F.regexp_extract(F.try_to_binary(whole, F.lit("base64")).cast("string"), "(https?://[\\x21-\\x7e]+)", 1)
+    return F.when((token != "") & (F.coalesce(target, F.lit("")) != ""), target).otherwise(url)
+
+
 def links(html: Column) -> Column:
     """Distinct targets of anchors in order of appearance."""
     return F.array_distinct(F.regexp_extract_all(html, F.lit("(?i)<a[^>]*\\shref=[\"']([^\"'#]+)[\"']"), F.lit(1)))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.config import Config
@@ -75,13 +79,76 @@ def cleaned(articles: DataFrame, config: Config) -> DataFrame:
     return kept.where(~text.is_gibberish(F.col("full_text"), config.min_letter_ratio))
 
 
-def finished(articles: DataFrame, config: Config) -> DataFrame:
-    """Relevant articles with text normalised, then cut; their length is not checked again."""
-    kept = articles.where(text.relevant(F.col("full_text"), F.col("title"), config.primary, config.places))
+def finished(articles: DataFrame, config: Config, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """Relevant articles with text normalised, then cut; their length is not checked again.
+
+    With `embed` and config.semantic, articles that name a place and whose meaning is near a primary
+    keyword are relevant too.
+    """
+    by_words = text.relevant(F.col("full_text"), F.col("title"), config.primary, config.places)
+    if config.semantic and embed is not None:
+        near = semantic_score(embed, config.primary)(semantic_text(F.col("title"), F.col("full_text"))) >= config.semantic_threshold
+        place = text.term_hits(F.concat_ws(" ", "full_text", "title"), config.places) > 0
+        marked = articles.withColumn("_words", by_words)
+        # only what words leave open is embedded
+        kept = marked.where("_words").union(marked.where(~F.coalesce("_words", F.lit(False))).where(place).where(near)).drop("_words")
+    else:
+        kept = articles.where(by_words)
     body = text.truncate_at_sentence(text.normalize_text(F.col("full_text")), config.max_length)
     return kept.withColumn("full_text", body).withColumn("char_length", F.length("full_text").cast("long"))
 
 
+def semantic_text(title: Column, full_text: Column) -> Column:
+    """What stands for an article's meaning: its title and its first 500 characters."""
+    return F.concat_ws(". ", F.coalesce(title, F.lit("")), F.left(F.coalesce(full_text, F.lit("")), F.lit(500)))
+
+
+def semantic_score(embed: Callable[[list[str]], list[list[float]]], phrases: tuple[str, ...]):
+    """A function of a text column: the greatest cosine with a phrase. The phrases are embedded once a batch's worker."""
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keys = np.asarray(embed(list(phrases)), dtype=np.float64)
+        keys /= np.maximum(np.linalg.norm(keys, axis=1, keepdims=True), 1e-12)
+        for texts in batches:
+            x = np.asarray(embed([t or "" for t in texts.to_pylist()]), dtype=np.float64).reshape(len(texts), -1)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            yield pa.array((x @ keys.T).max(axis=1) if len(texts) else np.zeros(0))
+
+    return score
+
+
+def with_metadata(urls: DataFrame, metadata: DataFrame) -> DataFrame:
+    """urls(url) with title, source_keyword and source_name of metadata, or their defaults."""
+    own = metadata.select("url", *[F.col(c).alias(f"_{c}") for c in ("title", "source_keyword", "source_name")])
+    defaults = {"title": "", "source_keyword": "", "source_name": "unknown"}
+    return urls.join(own, "url", "left").select(*[c for c in urls.columns if c not in defaults], *[F.coalesce(f"_{c}", F.lit(d)).alias(c) for c, d in defaults.items()])
+
+
+def all_urls(*tables: DataFrame) -> DataFrame:
+    """(url): every URL of the tables once."""
+    out = tables[0].select("url")
+    for table in tables[1:]:
+        out = out.unionAll(table.select("url"))
+    return out.where("url is not null").distinct()
+
+
+def not_fetched(urls: DataFrame, pages: DataFrame) -> DataFrame:
+    """urls(url) of which the cache pages(cache_key, ..) has no page."""
+    return urls.withColumn("_key", web.cache_key(F.col("url"))).join(pages.select(F.col("cache_key").alias("_key")), "_key", "left_anti").drop("_key")
+
+
+def cached_pages(fetched: DataFrame) -> DataFrame:
+    """(cache_key, url, body) of fetched(url, status, body) that came."""
+    return fetched.where("status = 200").select(web.cache_key(F.col("url")).alias("cache_key"), "url", "body")
+
+
+def articles_of(pages: DataFrame) -> DataFrame:
+    """(url, source, full_text, page_title, published) of pages(url, body)."""
+    body = F.col("body")
+    return pages.select("url", web.domain(F.col("url")).alias("source"), web.main_text(body).alias("full_text"), web.page_title(body).alias("page_title"), web.page_date(body).alias("published"))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, nth, link): the links of each page in order, made absolute."""
     found = pages.select("page_id", "url", F.posexplode(web.links(F.col("html"))).alias("nth", "link"))

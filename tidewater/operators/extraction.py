@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
@@ -18,8 +18,24 @@ from tidewater.config import Config
 from tidewater.operators import qc
 
 TEMPLATES = {
-    "main": "Classify the article as {labels}.\nTitle: {title}\nDate: {date}\nSource: {source}\nText:\n{text}\nAnswer with one JSON object.",
-    "typeab": "Does the article look ahead (A) or back (B)?\nTitle: {title}\nText:\n{text}\nAnswer with one JSON object: type_ab, ab_confidence, temporal_signal.",
+    "main": (
+        "You label one news article on food prices in the region. Work through five steps before you answer:\n"
+        "1 which goods it is about; 2 where, and whether that lies in the region; 3 what happened; 4 when; 5 what it means for prices.\n"
+        "Labels, exactly one of {labels}:\n"
+        "SUPPLYSHOCK: a physical change of what reaches the market, as a failed or a record harvest, a blocked road, a large release of stocks.\n"
+        "DEMANDSHOCK: a shown change of what buyers take, as mass purchases or a new large programme; a festive season alone is none.\n"
+        "PRICEREPORT: prices or official statistics without a physical cause.\n"
+        "IRRELEVANT: elsewhere, subsidised sales, plans and speeches, or goods named in passing.\n"
+        "A cause outranks a price: a price report with a broken bridge is a SUPPLYSHOCK.\n"
+        "sentiment_score from -1 to 1, confidence from 0 to 1.\n\n"
+        "Title: {title}\nDate: {date}\nSource: {source}\nText:\n{text}\n\n"
+        "Answer with one JSON object: reasoning_chain (step1_commodities, step2_geography, step3_event_type, step4_temporal, step5_sentiment), "
+        "label, sentiment_score, confidence, commodities, supply_location, is_forward_looking, rationale of at most 1000 characters."
+    ),
+    "typeab": (
+        "Does the article look ahead (A: a threat, a forecast, a warning) or back (B: what has happened and its effects)?\n"
+        "Title: {title}\nText:\n{text}\n\nAnswer with one JSON object: type_ab (A or B), ab_confidence from 0 to 1, temporal_signal."
+    ),
 }
 
 
@@ -52,6 +68,16 @@ class Stub:
         return json.dumps(answer), len(prompt) // 4, 60
 
 
+@dataclass(frozen=True)
+class Silent:
+    """A service that never has an answer."""
+
+    model: str = "silent"
+
+    def __call__(self, prompt: str) -> tuple[str, int, int]:
+        return "", 0, 0
+
+
 def build_prompt(kind: str, config: Config) -> Column:
     """The filled template; an unknown kind is an error."""
     if kind not in TEMPLATES:
@@ -87,6 +113,39 @@ def _is_json(raw: str) -> bool:
     return True
 
 
+class MissingKey(RuntimeError):
+    """No usable key for the service."""
+
+
+class Declined(RuntimeError):
+    """The estimated cost was not agreed to."""
+
+
+def service_key(provider: str, environment: Mapping[str, str], skip: bool = False) -> str | None:
+    """The provider's key from the environment; with `skip` None if there is none. Placeholders don't count."""
+    key = environment.get(f"{provider.upper()}_API_KEY", "")
+    if key and not key.startswith("sk-...") and "your" not in key.lower():
+        return key
+    if skip:
+        return None
+    raise MissingKey(f"{provider.upper()}_API_KEY is missing or a placeholder")
+
+
+def agreed(cost: float, ask: Callable[[float], bool] | None) -> float:
+    """cost, if there is nobody to ask or the answer is yes."""
+    if ask is not None and not ask(cost):
+        raise Declined(f"estimated cost {cost:.4f}")
+    return cost
+
+
+def waves(rows: DataFrame, key: str, size: int, most: int = 1000) -> Iterator[DataFrame]:
+    """rows in parts of about `size` each, or in `most` larger ones, by a hash of the key; together they are all rows."""
+    count = rows.count()
+    parts = min(most, max(1, -(-count // max(size, 1))))
+    for k in range(parts if count else 0):
+        yield rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)
+
+
 def call(prompts: DataFrame, extractor: Extractor, config: Config, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """(article_id, raw, tokens_prompt, tokens_completion, status) of prompts(article_id, prompt).
 
@@ -108,7 +167,7 @@ def extract(articles: DataFrame, cache: DataFrame | None, extractor: Extractor,
     if cache is not None:
         articles = articles.join(qc.repaired_cache(cache).select("article_id"), "article_id", "left_anti")
     raw = call(articles.select("article_id", build_prompt("main", config).alias("prompt")), extractor, config, sleep)
-    payload = F.coalesce(qc.repaired(F.col("raw")), qc.repaired(F.lit('{"label": "IRRELEVANT", "rationale": "failed"}')))
+    payload = F.when(F.col("status") == "failed", qc.failure()).otherwise(F.coalesce(qc.repaired(F.col("raw")), qc.failure("no object")))
     return raw.select("article_id", payload.alias("extraction"), F.lit(extractor.model).alias("model"), "tokens_prompt", "tokens_completion", F.current_timestamp().alias("extracted_at"), "status")
 
 

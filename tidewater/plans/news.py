@@ -11,47 +11,69 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.config import Config
-from tidewater.operators import collect, dedup, explore, export, extraction, periods, qc, series, typeab, validation
+from tidewater.operators import collect, dedup, explore, export, extraction, lineage, periods, qc, series, typeab, validation
 from tidewater.plans import runner
 from tidewater.sources import tables
 
 FOUND = "url string, title string, full_text string, published string, source string, source_keyword string, source_name string"
+REJECTED = "url string, source string, published_date string, rejection_reason string, title string"
+DECIDED = "article_id string, type_ab string, ab_confidence double, temporal_signal string"
 
 
-def stages(spark: SparkSession, data: str, config: Config, extractor: extraction.Extractor | None, raters: tuple[str, ...] = (), sample: int = 200) -> dict[str, Callable[[], object]]:
-    """The stages by name. Without an extractor only cached extractions count and rules alone decide A or B."""
+def stages(
+    spark: SparkSession, data: str, config: Config, extractor: extraction.Extractor | None, raters: tuple[str, ...] = (), sample: int = 200, ask: Callable[[float], bool] | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None
+) -> dict[str, Callable[[], object]]:
+    """The stages by name. Without an extractor only cached extractions count and rules alone decide A or B.
+
+    `ask` is asked about the estimated cost before paid calls; `embed` serves the semantic fallback.
+    """
+    wave = max(1, config.flush_every * spark.sparkContext.defaultParallelism)
 
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{data}/{name}")
 
-    def collected() -> None:
-        found = tables.read_jsonl(spark, f"{data}/found", FOUND, missing_ok=True)
+    def collected() -> dict:
+        """What was found before, accepted or rejected, is not routed again; of a URL found twice the first row counts."""
+        found = tables.read_jsonl(spark, f"{data}/found", FOUND, missing_ok=True).withColumn("_at", F.monotonically_increasing_id())
+        found = collect.first_seen(found, "url", "_at").drop("_at")
         old = tables.read_jsonl(spark, f"{data}/articles", missing_ok=True)
-        routed = collect.route(collect.not_done(found, old, "url"), config)
-        fresh = collect.accepted(routed, config)
-        tables.write_jsonl(collect.rejected(routed), f"{data}/rejected")
-        tables.write_jsonl(collect.not_done(fresh, old, "article_id"), f"{data}/articles", append=True)
+        refused = tables.read_jsonl(spark, f"{data}/rejected", REJECTED, missing_ok=True)
+        counted = Observation("collected")
+        fresh = collect.not_done(found, collect.all_urls(old, refused), "url")
+        routed = lineage.keep(collect.route(fresh, config).observe(counted, F.count(F.lit(1)).alias("routed"), F.count(F.when(F.col("disposition") == "accepted", 1)).alias("accepted"), F.count(F.when(F.col("disposition") == "out_of_range", 1)).alias("out_of_range")))
+        tables.write_jsonl(collect.not_done(collect.accepted(routed, config), old, "article_id"), f"{data}/articles", append=True)
+        tables.write_jsonl(collect.rejected(routed), f"{data}/rejected", append=True)
+        return counted.get
 
     def preprocessed() -> None:
         raw = tables.read_jsonl(spark, f"{data}/articles", missing_ok=True).withColumn("pos", F.monotonically_increasing_id())
         tables.write_parquet(raw, f"{data}/positioned")
         longest = collect.keep_longest(collect.cleaned(read("positioned"), config))
-        tables.write_parquet(collect.finished(dedup.deduplicated(longest, config.near_duplicate), config), f"{data}/clean")
-        tables.write_report(explore.monthly(read("clean"), "published_date", config.low_coverage), f"{data}/reports/coverage")
+        tables.write_parquet(collect.finished(dedup.deduplicated(longest, config.near_duplicate), config, embed), f"{data}/clean")
+        tables.write_report(explore.monthly(read("clean"), "published_date", config.low_coverage), f"{data}/reports/months")
+        tables.write_report(explore.coverage_report(read("clean"), "published_date", config), f"{data}/reports/coverage")
 
     def prompts() -> None:
         rows = [(k, v) for k, v in extraction.TEMPLATES.items()] + [("schema", qc.PAYLOAD)]
         tables.write_report(spark.createDataFrame(rows, "name string, body string"), f"{data}/prompts")
 
     def extracted() -> None:
-        if extractor is not None:
-            tables.append_to_cache(extraction.extract(read("clean"), tables.read_cache(spark, f"{data}/cache"), extractor, config), f"{data}/cache")
+        """Paid calls are saved wave by wave: a failed job loses one wave, and a new one goes on behind it."""
+        if extractor is None:
+            return
+        cache = tables.read_cache(spark, f"{data}/cache")
+        todo = lineage.keep(collect.not_done(read("clean"), qc.repaired_cache(cache), "article_id"))
+        if not todo.count():
+            return
+        extraction.agreed(explore.estimated_cost(todo, "full_text", 900, 300, config.price_in, config.price_out).first()["cost"], ask)
+        tables.append_in_waves((extraction.extract(part, None, extractor, config) for part in extraction.waves(todo, "article_id", wave)), f"{data}/cache")
 
     def parsed() -> None:
         cache = tables.read_cache(spark, f"{data}/cache")
@@ -62,7 +84,8 @@ def stages(spark: SparkSession, data: str, config: Config, extractor: extraction
 
     def validated() -> None:
         rows = read("extractions")
-        tables.write_annotation_sheet(validation.annotation_sheet(validation.stratified_sample(rows, sample, sample // 10)), tables.annotation_guide(spark), f"{data}/validation")
+        if not tables.exists(spark, f"{data}/validation/sample"):  # a sheet that annotators may have is not drawn again
+            tables.write_annotation_sheet(validation.annotation_sheet(validation.stratified_sample(rows, sample, sample // 10)), tables.annotation_guide(spark), f"{data}/validation")
         if raters:
             notes = validation.tidy_labels(tables.read_annotations(spark, {r: f"{data}/annotations/{r}" for r in raters}), config.labels)
             tables.write_report(validation.krippendorff_alpha(notes), f"{data}/reports/alpha")
@@ -74,8 +97,12 @@ def stages(spark: SparkSession, data: str, config: Config, extractor: extraction
         decided = None
         if extractor is not None:
             open_ = typeab.classify(rows, config).where("ab_method = 'fallback'")
-            decided = extraction.decide_typeab(open_, extractor, config)
+            done = tables.read_jsonl(spark, f"{data}/typeab_progress", DECIDED, missing_ok=True)
+            todo = lineage.keep(collect.not_done(open_, done, "article_id"))
+            tables.append_in_waves((extraction.decide_typeab(part, extractor, config) for part in extraction.waves(todo, "article_id", wave)), f"{data}/typeab_progress")
+            decided = tables.read_jsonl(spark, f"{data}/typeab_progress", DECIDED, missing_ok=True).dropDuplicates(["article_id"])
         tables.write_parquet(typeab.classify(rows, config, decided), f"{data}/typeab")
+        tables.remove(spark, f"{data}/typeab_progress")
         tables.write_report(typeab.guards(read("typeab"), config), f"{data}/reports/typeab")
 
     def aggregated() -> None:
@@ -92,7 +119,7 @@ def stages(spark: SparkSession, data: str, config: Config, extractor: extraction
     def exported() -> None:
         has = {k: tables.exists(spark, f"{data}/{k}") for k in ("granger", "reports/alpha")}
         tables.write_csv(export.final_features(read("features")), f"{data}/export")
-        tables.write_report(export.checklist(read("features"), has["granger"], True if has["reports/alpha"] else None), f"{data}/reports/checklist")
+        tables.write_report(export.checklist(export.final_features(read("features")), has["granger"], True if has["reports/alpha"] else None), f"{data}/reports/checklist")
 
     return dict(zip(runner.NAMES, (collected, preprocessed, prompts, extracted, parsed, validated, classified, aggregated, tested, exported), strict=True))
 
@@ -100,13 +127,20 @@ def stages(spark: SparkSession, data: str, config: Config, extractor: extraction
 def main(argv: list[str] | None = None) -> None:
     own = argparse.ArgumentParser(add_help=False)
     own.add_argument("--data", required=True)
-    own.add_argument("--config", help="flat settings file")
+    own.add_argument("--config", help="settings file, flat or in sections")
+    own.add_argument("--yes", action="store_true", help="agree to the estimated cost")
+    own.add_argument("--skip-env", action="store_true", help="do without a key of the service")
     own.add_argument("--raters", nargs="*", default=[])
     known, rest = own.parse_known_args(argv)
     args = runner.arguments(rest)
     config = Config.read(known.config) if known.config else Config()
+    for line in config.summary():
+        runner.log.info(line)
+    if not (args.no_llm or known.skip_env or config.model == "stub"):
+        extraction.service_key(config.provider, os.environ)
+    ask = None if known.yes else lambda cost: input(f"Estimated cost {cost:.4f}. Go on? (y/n) ").strip().lower() == "y"
     spark = SparkSession.builder.appName("tidewater").getOrCreate()
-    done = runner.run(stages(spark, known.data, config, None if args.no_llm else extraction.Stub(), tuple(known.raters)), args.only, args.start)
+    done = runner.run(stages(spark, known.data, config, None if args.no_llm else extraction.Stub(), tuple(known.raters), ask=ask), args.only, args.start)
     print(json.dumps({d.name: round(d.seconds, 1) for d in done}))
 
 

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.config import LABELS, Config
+from tidewater.config import LABELS, Config, Source
 from tidewater.functions import dates, text, web
 from tidewater.functions.typeab import rule_typeab
-from tidewater.operators import collect, dedup, explore, export, extraction, periods, qc, series, typeab, validation
+from tidewater.operators import collect, dedup, discover, explore, export, extraction, lineage, periods, qc, series, typeab, validation
 from tidewater.plans import views as v
+from tidewater.sources import tables
 from tidewater.streaming.biweekly import biweekly_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -675,11 +677,272 @@ def json_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg(F.get_json_object("props", "$.k").cast("double")), 6).alias("mean_k"))
 
 
-@query()
+# ---- files, discovery, prompts, records ---------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{lineage.shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@query("SELECT doc_id, md5(text) AS digest, lang, source, n_chars FROM documents")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as JSON lines in two appends, read strictly."""
+    docs, path = v.table(spark, sf_dir, "documents"), _folder(spark, "jsonl")
+    tables.write_jsonl(docs.where("lang = 'en'"), path)
+    tables.write_jsonl(docs.where("not coalesce(lang = 'en', false)"), path, append=True)
+    return tables.read_jsonl(spark, path, _DOCS, strict=True).select("doc_id", F.md5("text").alias("digest"), "lang", "source", "n_chars")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id % 10 <> 0")
+def jsonl_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth line is broken; a tolerant reader passes over it."""
+    line = F.to_json(F.struct("doc_id", "lang"))
+    rows = v.table(spark, sf_dir, "documents").select(F.when(F.expr("doc_id % 10 = 0"), F.substring(line, 1, 12)).otherwise(line).alias("value"))
+    rows.write.text(path := _folder(spark, "lines"))
+    return tables.read_jsonl(spark, path, "doc_id long, lang string").where("doc_id is not null")
+
+
+@query("SELECT doc_id, md5(text) AS digest, lang FROM documents")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "csv")
+    tables.write_csv(v.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
+    return tables.read_csv(spark, path, "doc_id long, text string, lang string").select("doc_id", F.md5("text").alias("digest"), "lang")
+
+
+@query("SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source")
+def parquet_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "parquet")
+    tables.write_parquet(v.table(spark, sf_dir, "documents"), path, ["source"])
+    return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS article_id, 'SUPPLYSHOCK' AS label, n_chars AS tokens_prompt FROM documents WHERE doc_id % 3 <> 0")
+def cache_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures first, then successes for two thirds: the last row of an article counts, the repaired cache holds successes only."""
+    docs = v.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "doc_id", "n_chars")
+    path = _folder(spark, "cache")
+    tables.append_to_cache(qc.failure_record(docs, "stub"), path)
+    good = qc.failure_record(docs.where("doc_id % 3 <> 0"), "stub").withColumn("extraction", F.col("extraction").withField("label", F.lit("SUPPLYSHOCK"))).withColumn("status", F.lit("success"))
+    good = good.join(docs.select("article_id", "n_chars"), "article_id").withColumn("tokens_prompt", F.col("n_chars")).withColumn("extracted_at", F.col("extracted_at") + F.expr("interval 1 hour")).drop("n_chars")
+    tables.append_to_cache(good, path)
+    return qc.repaired_cache(tables.read_cache(spark, path)).select("article_id", "extraction.label", "tokens_prompt")
+
+
+@query("SELECT doc_id AS article_id, 'failed' AS status, 'IRRELEVANT' AS label, 0.0::DOUBLE AS confidence, 'failed' AS step1, 'max_retries' AS rationale FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def failure_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles whose service never answers keep a record."""
+    todo = collect.not_done(v.articles(spark, sf_dir), v.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("article_id")), "article_id")
+    rows = extraction.extract(todo, None, extraction.Silent(), periods.with_settings(CONFIG, max_retries=1))
+    return rows.select("article_id", "status", "extraction.label", "extraction.confidence", F.col("extraction.reasoning_chain.step1_commodities").alias("step1"), "extraction.rationale")
+
+
+def _prompt_sql(kind: str) -> str:
+    out = "'" + extraction.TEMPLATES[kind].replace("{labels}", ", ".join(LABELS)).replace("'", "''") + "'"
+    for name, column in (("title", "title"), ("date", "strftime(published_date, '%Y-%m-%d')"), ("source", "source"), ("text", "full_text")):
+        out = f"replace({out}, '{{{name}}}', coalesce({column}, ''))"
+    return out
+
+
+_LOT = "CAST(('0x' || left(sha256(prompt), 12)) AS BIGINT)"
+_PROMPTS = f"WITH {v.ARTICLES}, p AS (SELECT article_id, {_prompt_sql('main')} AS prompt, {_prompt_sql('typeab')} AS prompt_ab FROM articles)"
+
+
+@query(_PROMPTS + " SELECT article_id, md5(prompt) AS main, md5(prompt_ab) AS typeab FROM p")
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    build = lambda kind: F.md5(extraction.build_prompt(kind, CONFIG)).alias(kind)
+    return v.articles(spark, sf_dir).select("article_id", build("main"), build("typeab"))
+
+
+@query(
+    _PROMPTS
+    + f""", l AS (SELECT article_id, prompt, {_LOT} AS lot FROM p)
+SELECT article_id, {_words(LABELS)}[CAST(lot % 4 AS INTEGER) + 1] AS label, round(greatest(-1, least(1, lot % 201 / 100 - 1)), 6) AS sentiment_score, length(prompt) // 4 AS tokens_prompt, 'success' AS status FROM l"""
+)
 def extract_with_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts, a deterministic extractor in place of the service, parsing and clamping, over all articles."""
     rows = extraction.extract(v.articles(spark, sf_dir), None, extraction.Stub(), CONFIG)
-    return rows.select("article_id", "extraction.label", "extraction.sentiment_score", "tokens_prompt", "status")
+    return rows.select("article_id", "extraction.label", F.round("extraction.sentiment_score", 6).alias("sentiment_score"), "tokens_prompt", "status")
+
+
+@query(_PROMPTS.replace("AS prompt,", "AS prompt_main,").replace("AS prompt_ab", "AS prompt") + f" SELECT article_id, ['A', 'B'][CAST({_LOT} % 2 AS INTEGER) + 1] AS type_ab, round(least(1, 0.5 + {_LOT} % 50 / 100), 6)::DOUBLE AS ab_confidence, 'stub' AS temporal_signal FROM p")
+def typeab_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extraction.decide_typeab(v.articles(spark, sf_dir), extraction.Stub(), CONFIG)
+    return rows.withColumn("ab_confidence", F.round("ab_confidence", 6))
+
+
+@query("SELECT doc_id AS article_id, 'S' || CAST(doc_id % 4 AS VARCHAR) AS step1, doc_id % 7 AS tokens_prompt FROM documents")
+def flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.struct(F.struct(F.concat(F.lit("S"), F.expr("cast(doc_id % 4 as string)")).alias("step1")).alias("chain"), F.expr("doc_id % 7").alias("tokens_prompt")).alias("extraction"))
+    return nested.select("article_id", "extraction.*").select("article_id", "chain.step1", "tokens_prompt")
+
+
+@query(f"SELECT doc_id AS article_id, CAST(CASE WHEN doc_id % 5 < 4 THEN doc_id % 5 END AS INTEGER) AS code FROM documents")
+def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in (*LABELS, "OTHER")])
+    label = F.element_at(names, F.expr("cast(doc_id % 5 as int) + 1"))
+    return v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), qc.label_code(label, LABELS).alias("code"))
+
+
+@query(f"WITH {v.ARTICLES} SELECT article_id, array_to_string(list_filter({_words(CONFIG.commodities)}, lambda p: contains(lower(full_text || ' ' || title || ' ' || source), lower(p))), '|') AS commodities FROM articles")
+def commodity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.articles(spark, sf_dir).select("article_id", F.array_join(text.phrases_in(F.concat_ws(" ", "full_text", "title", "source"), CONFIG.commodities), "|").alias("commodities"))
+
+
+@query("SELECT doc_id AS article_id, CASE WHEN doc_id % 4 < 2 THEN DATE '2021-01-01' + CAST(doc_id % 900 AS INTEGER) END AS day FROM documents")
+def coerced_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_add(F.lit(dt.date(2021, 1, 1)), F.expr("cast(doc_id % 900 as int)"))
+    written = F.when(F.expr("doc_id % 4 < 2"), F.date_format(day, "yyyy-MM-dd")).when(F.expr("doc_id % 4 = 2"), "2021-99-99").otherwise("soon")
+    return v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), dates.coerced(written).alias("day"))
+
+
+@query("SELECT vec_id, CAST(len(list_filter(range(1, len(embedding) + 1), lambda i: (embedding[i] > 0) = (embedding[len(embedding) + 1 - i] > 0))) AS DOUBLE) / len(embedding) AS agreement FROM embeddings")
+def signature_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each vector's signs and the same from behind."""
+    signs = F.transform("embedding", lambda x: x > 0)
+    return v.table(spark, sf_dir, "embeddings").select("vec_id", dedup.agreement(signs, F.reverse(signs)).alias("agreement"))
+
+
+_SITES = ("kompas", "detik", "waspada", "elsewhere")
+_SEARCHED = periods.with_settings(
+    CONFIG,
+    max_pages=3,
+    sources=tuple(Source(k, k.title(), f"https://{k}.example/search?q={{query}}&page={{page}}", "https://elsewhere.example" if k == "elsewhere" else "", i) for i, k in enumerate(_SITES)),
+)
+
+
+@query(
+    f"SELECT k AS source_key, n_name || ' & ' || r_name AS keyword, CAST(p AS INTEGER) AS page, 'https://' || k || '.example/search?q=' || replace(replace(url_encode(n_name || ' & ' || r_name), '%20', '+'), '%2A', '*') || '&page=' || p AS url FROM nation JOIN region ON n_regionkey = r_regionkey, (SELECT unnest({_words(_SITES)}) AS k), range(1, 4) t(p)"
+)
+def search_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = v.table(spark, sf_dir, "nation").join(v.table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    keys = F.explode(F.array(*[F.lit(k) for k in _SITES]))
+    return discover.search_pages(places.select(keys.alias("source_key"), F.concat_ws(" & ", "n_name", "r_name").alias("keyword")), _SEARCHED)
+
+
+@query(
+    f"""WITH r AS (SELECT doc_id, {_words(_SITES)}[CAST(doc_id % 4 AS INTEGER) + 1] AS k, doc_id // 4 // 3 AS q, CAST(doc_id // 4 % 3 + 1 AS INTEGER) AS page, CASE WHEN doc_id % 11 = 0 THEN 404 ELSE 200 END AS status FROM documents),
+links AS (SELECT *, CASE k WHEN 'kompas' THEN 'https://www.kompas.com/read/' || doc_id WHEN 'detik' THEN 'https://www.detik.com/d-' || doc_id WHEN 'waspada' THEN 'https://www.waspada.id/' || doc_id ELSE 'https://elsewhere.example/' || doc_id END AS url FROM r),
+stop AS (SELECT k, q, min(page) FILTER (status <> 200 OR doc_id % 13 = 0) AS stop FROM r GROUP BY ALL)
+SELECT url, 'article ' || doc_id AS title, 'q' || q AS source_keyword, upper(left(k, 1)) || substr(k, 2) AS source_name FROM links JOIN stop USING (k, q) WHERE stop IS NULL OR page < stop"""
+)
+def site_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three result pages a query, some failed and some without an article: links that the site accepts, up to the first such page."""
+    key = F.element_at(F.array(*[F.lit(k) for k in _SITES]), F.expr("cast(doc_id % 4 as int) + 1"))
+    d = F.col("doc_id").cast("string")
+    target = F.when(F.expr("doc_id % 4 = 0"), F.concat(F.lit("/read/"), d)).when(F.expr("doc_id % 4 = 1"), F.concat(F.lit("/d-"), d)).when(F.expr("doc_id % 4 = 2"), F.concat(F.lit("https://www.waspada.id/"), d)).otherwise(F.concat(F.lit("/"), d))
+    body = F.concat(F.lit('<a href="https://ads.example/x">ad</a> '), F.when(F.expr("doc_id % 13 = 0"), "").otherwise(F.concat(F.lit('<h2><a class="t" href="'), target, F.lit('"><b>article</b> '), d, F.lit('</a></h2> <a href="'), target, F.lit('">again</a>'))))
+    results = v.table(spark, sf_dir, "documents").select(
+        key.alias("source_key"), F.concat(F.lit("q"), F.expr("doc_id div 4 div 3").cast("string")).alias("keyword"), F.expr("cast(doc_id div 4 % 3 + 1 as int)").alias("page"), F.when(F.expr("doc_id % 11 = 0"), 404).otherwise(200).alias("status"), body.alias("body")
+    )
+    return discover.discovered(results, _SEARCHED)
+
+
+@query(
+    """SELECT 'https://n.example/' || doc_id AS url, 'item ' || doc_id AS title, 'q' || doc_id // 3 AS source_keyword FROM documents
+WHERE doc_id % 7 <> 0 AND (doc_id % 5 = 0 OR DATE '2019-01-01' + CAST(doc_id % 3000 AS INTEGER) BETWEEN DATE '2021-01-01' AND DATE '2026-02-28')"""
+)
+def feed_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of feeds, three a feed, dated or not; some only redirect to the article, some feeds failed."""
+    docs = v.table(spark, sf_dir, "documents").select("doc_id")
+    day = F.date_format(F.date_add(F.lit(dt.date(2019, 1, 1)), F.expr("cast(doc_id % 3000 as int)")), "EEE, dd MMM yyyy")
+    plain = F.concat(F.lit("https://n.example/"), F.col("doc_id").cast("string"))
+    token = F.translate(F.regexp_replace(F.base64(F.concat(F.lit("ab"), plain.cast("binary"))), "[=\\s]", ""), "+/", "-_")
+    link = F.when(F.expr("doc_id % 2 = 0"), plain).otherwise(F.concat(F.lit("https://feeds.example/rss/articles/"), token, F.lit("?oc=5")))
+    item = F.concat(F.lit("<rss><item><title><![CDATA[item "), F.col("doc_id").cast("string"), F.lit("]]></title><link>"), link, F.lit("</link>"), F.when(F.expr("doc_id % 5 = 0"), "").otherwise(F.concat(F.lit("<pubDate>"), day, F.lit(" 10:00:00 GMT</pubDate>"))), F.lit("</item></rss>"))
+    results = docs.select(F.concat(F.lit("q"), F.expr("doc_id div 3").cast("string")).alias("keyword"), F.when(F.expr("doc_id % 7 = 0"), 503).otherwise(200).alias("status"), item.alias("body"))
+    return discover.feed_results(results, CONFIG).select("url", "title", "source_keyword")
+
+
+@query("SELECT url, CASE WHEN page_id % 3 = 0 THEN 't' || page_id ELSE '' END AS title, CASE WHEN page_id % 3 = 0 THEN 'k' ELSE '' END AS source_keyword, CASE WHEN page_id % 3 = 0 THEN 's' ELSE 'unknown' END AS source_name FROM pages")
+def url_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = v.table(spark, sf_dir, "pages")
+    known = pages.where("page_id % 3 = 0").select("url", F.concat(F.lit("t"), F.col("page_id").cast("string")).alias("title"), F.lit("k").alias("source_keyword"), F.lit("s").alias("source_name")).dropDuplicates(["url"])
+    return collect.with_metadata(pages.select("url"), known)
+
+
+@query("SELECT source AS url FROM documents UNION SELECT url FROM pages")
+def url_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collect.all_urls(v.table(spark, sf_dir, "documents").select(F.col("source").alias("url")), v.table(spark, sf_dir, "pages"))
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id % 4 <> 0")
+def pages_not_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of pages holds every fourth; the rest is to be fetched."""
+    pages = v.table(spark, sf_dir, "pages")
+    own = pages.withColumn("url", F.concat("url", F.lit("#"), F.col("page_id").cast("string")))
+    cache = collect.cached_pages(own.select("url", F.when(F.expr("page_id % 4 = 0"), 200).otherwise(429).alias("status"), F.col("html").alias("body")))
+    return collect.not_fetched(own.select("page_id", "url"), cache).select("page_id", F.regexp_replace("url", "#[0-9]+$", "").alias("url"))
+
+
+@query(f"SELECT page_id, strftime(DATE '2020-01-01' + CAST(page_id % 2000 AS INTEGER), '%Y-%m-%d') AS published, length({_strip_sql('html')}) AS n_chars FROM pages")
+def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and date of pages whose head names their date."""
+    day = F.date_format(F.date_add(F.lit(dt.date(2020, 1, 1)), F.expr("cast(page_id % 2000 as int)")), "yyyy-MM-dd")
+    head = F.concat(F.lit('<meta property="article:published_time" content="'), day, F.lit('T10:00:00Z">'))
+    pages = v.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), F.concat(head, "html").alias("body"))
+    return collect.articles_of(pages).select(F.col("url").cast("long").alias("page_id"), F.left("published", F.lit(10)).alias("published"), F.length("full_text").cast("long").alias("n_chars"))
+
+
+@query("SELECT doc_id AS article_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def uncached_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cache has no success for, failures included."""
+    cache = v.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("article_id"), F.when(F.col("quality") == 1, "success").otherwise("failed").alias("status"))
+    return collect.not_done(v.articles(spark, sf_dir), qc.repaired_cache(cache), "article_id").select("article_id")
+
+
+@query(_MONTHS.replace("spine AS (", "unused AS (") + ", spine AS (SELECT strftime(unnest(generate_series(DATE '2021-01-01', DATE '2026-02-01', INTERVAL 1 MONTH)), '%Y-%m') AS month) SELECT count(*) AS months, count(n) AS covered, round(count(n) * 100.0 / count(*), 1)::DOUBLE AS coverage_pct FROM spine LEFT JOIN m USING (month)")
+def coverage_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.coverage_pct(v.articles(spark, sf_dir), "published_date", F.lit(CONFIG.date_start), F.lit(CONFIG.date_end))
+
+
+@query(_MONTHS.replace("spine AS (", "unused AS (") + ", spine AS (SELECT strftime(unnest(generate_series(DATE '2021-01-01', DATE '2026-02-01', INTERVAL 1 MONTH)), '%Y-%m') AS month), c AS (SELECT month, coalesce(n, 0) AS n FROM spine LEFT JOIN m USING (month)) SELECT (SELECT count(*) FROM articles) AS total, (SELECT min(published_date) FROM articles) AS first_day, CAST(sum(n) AS BIGINT) AS in_months, count(*) FILTER (n > 0 AND n < 20) AS low, count(*) FILTER (n = 0) AS missing FROM c")
+def coverage_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested report of coverage, read back from JSON."""
+    path = _folder(spark, "report")
+    tables.write_report(explore.coverage_report(v.articles(spark, sf_dir), "published_date", CONFIG), path)
+    r = spark.read.schema("total long, date_range struct<start: date, end: date>, by_month array<struct<month: string, n: long>>, low_coverage_months array<string>, missing_months array<string>").json(path)
+    return r.select("total", F.col("date_range.start").alias("first_day"), F.aggregate("by_month", F.lit(0).cast("long"), lambda s, m: s + m.n).alias("in_months"), F.size("low_coverage_months").cast("long").alias("low"), F.size("missing_months").cast("long").alias("missing"))
+
+
+@query(f"WITH {v.ARTICLES} SELECT article_id, published_date FROM articles WHERE published_date = DATE '2022-03-01' UNION ALL SELECT article_id, published_date FROM (SELECT *, row_number() OVER (ORDER BY published_date, article_id) AS n FROM articles) WHERE n = 7")
+def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles of a day, and the seventh of all in order of date."""
+    rows = v.articles(spark, sf_dir).select("article_id", "published_date")
+    seventh = rows.orderBy("published_date", "article_id").limit(7).orderBy(F.desc("published_date"), F.desc("article_id")).limit(1)
+    return rows.where(F.col("published_date") == F.lit(dt.date(2022, 3, 1))).union(seventh)
+
+
+def _bag(words: list[str]) -> list[list[float]]:
+    """A stand-in for a sentence encoder: how often some letters occur."""
+    return [[w.lower().count(c) + 1e-6 for c in "aeinorst"] for w in words]
+
+
+_BAG = ", ".join(f"len({{0}}) - len(replace({{0}}, '{c}', '')) + 1e-6" for c in "aeinorst")
+
+
+@query(
+    f"""WITH {v.ARTICLES}, h AS (SELECT article_id, lower(title || '. ' || left(full_text, 500)) AS t FROM articles), e AS (SELECT article_id, [{_BAG.format('t')}]::DOUBLE[] AS x FROM h),
+k AS (SELECT [{_BAG.format('lower(p)')}]::DOUBLE[] AS y FROM (SELECT unnest({_words(v.WORDS.primary)}) AS p))
+SELECT article_id, round(max(list_cosine_similarity(x, y)), 5) AS score FROM e, k GROUP BY article_id"""
+)
+def semantic_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every article the greatest cosine with a keyword, under a stand-in for the encoder."""
+    score = collect.semantic_score(_bag, v.WORDS.primary)
+    return v.articles(spark, sf_dir).select("article_id", F.round(score(collect.semantic_text(F.col("title"), F.col("full_text"))), 5).alias("score"))
+
+
+@query("SELECT * FROM (VALUES ('IRRELEVANT', 4::BIGINT), ('PRICEREPORT', 3), ('SUPPLYSHOCK', 4), ('DEMANDSHOCK', 3)) t(label, n)")
+def annotation_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.annotation_guide(spark).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query()
+def synthetic_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded random walk for trying out, never taken for data."""
+    return series.synthetic_target(spark, 172)
 
 
 # ---- series -----------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,15 +81,62 @@ def write_annotation_sheet(sheet: DataFrame, guide: DataFrame, path: str) -> Non
     write_jsonl(sheet, f"{path}/sample")
 
 
+def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
+    """Small tables as the sheets of one workbook on the driver; needs an Excel library that pandas knows."""
+    import pandas as pd
+
+    with pd.ExcelWriter(path) as book:
+        for name, df in sheets.items():
+            df.toPandas().to_excel(book, sheet_name=name, index=False)
+
+
+def read_workbook(spark: SparkSession, path: str, schema: str, sheet: str = "Annotation") -> DataFrame:
+    """A sheet of a workbook; needs an Excel library that pandas knows."""
+    import pandas as pd
+
+    names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
+    frame = pd.read_excel(path, sheet_name=sheet)
+    frame = frame.reindex(columns=names).astype(object).where(frame.reindex(columns=names).notna(), None)
+    return spark.createDataFrame(list(frame.itertuples(index=False, name=None)), schema)
+
+
 def append_to_cache(rows: DataFrame, path: str) -> None:
     """Appends instead of rewriting; readers take the last row of each article."""
     write_jsonl(rows, path, append=True)
 
 
+def append_in_waves(parts: Iterable[DataFrame], path: str) -> int:
+    """Appends part after part, so that a failure loses no more than one of them; how many there were."""
+    n = 0
+    for part in parts:
+        append_to_cache(part, path)
+        n += 1
+    return n
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def annotation_guide(spark: SparkSession) -> DataFrame:
-    """(topic, guidance): what annotators see beside the sheet."""
+    """(label, criterion, explanation, score): what annotators see beside the sheet."""
     rows = [
-        ("SUPPLYSHOCK", "less or more of a commodity reaches the market"), ("DEMANDSHOCK", "buyers want more or less of it"), ("PRICEREPORT", "prices are told without a cause"), ("IRRELEVANT", "none of these"),
-        ("score below 0", "prices under pressure to fall, or a severe shortage, by the project's convention"), ("score 0", "neutral"), ("score above 0", "the opposite sign"), ("notes", "anything that made you hesitate"),
-    ]
-    return spark.createDataFrame(rows, "topic string, guidance string")
+        ("IRRELEVANT", "another region", "The event, the price or the broken road lies outside the province.", "0"),
+        ("IRRELEVANT", "administered prices", "Subsidised sales, discounts and cheap markets are no market price.", "0"),
+        ("IRRELEVANT", "speeches and plans", "Officials ask or promise; no goods move and no volumes are told.", "0"),
+        ("IRRELEVANT", "named in passing", "The good is in a recipe, a restaurant, fodder or a private gift.", "0"),
+        ("PRICEREPORT", "prices alone", "Prices rise, fall or rest, and no physical cause is told.", "-1 to 1"),
+        ("PRICEREPORT", "official statistics", "A statistics office looks back on indices.", "-1 to 1"),
+        ("PRICEREPORT", "stocks at rest", "Stocks are called safe and nothing large is added.", "-1 to 1"),
+        ("SUPPLYSHOCK", "production or transport hit", "Failed harvests, pests, extreme weather, broken roads, illegal tolls.", "-1 to -0.3"),
+        ("SUPPLYSHOCK", "a large harvest", "So much is reaped that buyers expect far more on the market.", "0.3 to 1"),
+        ("SUPPLYSHOCK", "stocks released", "Thousands of tons are brought to market; what counts is the volume.", "-0.5 to 0.5"),
+        ("DEMANDSHOCK", "buyers empty shelves", "Shown, not supposed: mass buying. A festive season alone is not enough.", "-0.8 to -0.3"),
+        ("DEMANDSHOCK", "lasting new demand", "A large programme takes up goods that it did not take before.", "-0.8 to -0.3"),
+        ("DEMANDSHOCK", "festive orders", "The text says that orders at producers rose for a feast.", "-0.6 to -0.3"),
+        ("SUPPLYSHOCK", "tie-break", "A price report that tells a physical cause takes the label of the cause.", "as the label"),
+    ]
+    return spark.createDataFrame(rows, "label string, criterion string, explanation string, score string")
