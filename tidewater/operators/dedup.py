@@ -25,7 +25,7 @@ from tidewater.operators.lineage import keep
 from tidewater.operators.tiles import bucket_tiles, roots
 
 PERMUTATIONS, SHINGLE, TILE = 64, 5, 512
-PIECE = 1 << 16
+PIECE = 1 << 15
 
 
 def _constants(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,29 +118,35 @@ def greedy(sizes: np.ndarray, kind: np.ndarray, signs: np.ndarray, threshold: fl
 def _similar(threshold: float):
     """Of tiles, sorted by (low, high): (u, v), each class with the first of its tile that it is connected with."""
 
-    def flush(rows: list[tuple]) -> pa.RecordBatch | None:
-        rows = list({r[2]: r for r in rows}.values())
-        if len(rows) < 2:
+    def flush(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+        if not parts:
             return None
-        signs = np.array([r[4] for r in rows], dtype=np.int64)
-        same = np.zeros((len(rows), len(rows)), dtype=np.int16)
+        node, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+        if len(node) < 2:
+            return None
+        signs = np.concatenate([p[1] for p in parts])[first]
+        same = np.zeros((len(node), len(node)), dtype=np.int16)
         for column in signs.T:
             same += column[:, None] == column[None, :]
         label = roots(same >= threshold * PERMUTATIONS - 1e-9)
-        hung = np.flatnonzero(label != np.arange(len(rows)))
-        node = np.array([r[2] for r in rows])
+        hung = np.flatnonzero(label != np.arange(len(node)))
         return pa.RecordBatch.from_arrays([pa.array(node[hung]), pa.array(node[label[hung]])], names=["u", "v"]) if len(hung) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, rows = None, []
+        tile, parts = None, []
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("low", "high", "class", "block", "signature")], strict=True):
-                if row[:2] != tile:
-                    if (out := flush(rows)) is not None:
+            if not len(batch):
+                continue
+            low, high, node = (batch.column(c).to_numpy() for c in ("low", "high", "class"))
+            signs = batch.column("signature").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), PERMUTATIONS)
+            new = np.concatenate(([0], np.flatnonzero((low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1, [len(batch)]))
+            for a, b in zip(new[:-1], new[1:], strict=True):
+                if (low[a], high[a]) != tile:
+                    if (out := flush(parts)) is not None:
                         yield out
-                    tile, rows = row[:2], []
-                rows.append(row)
-        if (out := flush(rows)) is not None:
+                    tile, parts = (low[a], high[a]), []
+                parts.append((node[a:b], signs[a:b]))
+        if (out := flush(parts)) is not None:
             yield out
 
     return run

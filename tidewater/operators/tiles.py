@@ -24,7 +24,7 @@ def bucket_tiles(classes: DataFrame, tile: int) -> DataFrame:
     home = keep(often.groupBy("class").agg(F.max_by("least", F.struct("n", F.bitwise_not("least"))).alias("home")))
     parts = home.groupBy("home").agg(F.ceil(F.count("*") / tile).alias("parts"))
     blocks = home.join(parts, "home").select("class", F.xxhash64("home", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("block"))
-    placed = keep(met.select("key", "class").join(blocks, "class"))
+    placed = met.select("key", "class").join(blocks, "class")
     beside = placed.select("key", F.col("block").alias("other")).distinct()
     several = beside.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     across = placed.join(beside.join(several, "key"), "key").where("block <> other")
