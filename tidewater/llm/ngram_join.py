@@ -246,9 +246,11 @@ def signed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: fl
 
 
 def folded(signs: DataFrame) -> DataFrame:
-    """(class, m, row, bands): documents of each class, the first of them by id, and band keys."""
-    each = signs.where("class is not null").groupBy("class", "doc_id").agg(F.min("h").alias("h"), F.first("bands").alias("bands"))
-    return each.groupBy("class").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "h")).alias("row"), F.first("bands").alias("bands"))
+    """(class, row, bands, m): the first document of each class by id, band keys, and how many documents it has."""
+    worded = signs.where("class is not null")
+    first = worded.groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.first("bands").alias("bands"))
+    sizes = worded.select("class", "doc_id").distinct().groupBy("class").agg(F.count("*").alias("m"))
+    return first.join(sizes, "class")
 
 
 def verified(docs: DataFrame, classes: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
