@@ -302,8 +302,10 @@ def keep_one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRES
     marked = docs.where(worded).withColumns({own: F.col("doc_id"), digest: F.xxhash64("text")})
     marked = marked.join(fates, (F.col(own) == F.col(key)) & (F.col(digest) == F.col(key2)), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = marked.where(F.col(fate) == "repeated").dropDuplicates([own, digest])
-    return marked.where(F.col(fate).isNull()).select(*columns).union(once.select(*columns)).union(docs.where(~worded).select(*columns))
+    kept = marked.where(F.col(fate).isNull()).select(*columns).union(docs.where(~worded).select(*columns))
+    if fates.where(F.col(fate) == "repeated").limit(1).count():  # else their texts need not travel
+        kept = kept.union(marked.where(F.col(fate) == "repeated").dropDuplicates([own, digest]).select(*columns))
+    return kept
 
 
 SQL = r"""
