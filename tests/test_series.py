@@ -95,6 +95,21 @@ def test_stationarity():
     assert series.made_stationary(walk)[1] == "first_difference"
 
 
+@pytest.mark.parametrize(("tau", "p"), [(-3.43035, 0.01), (-2.86154, 0.05), (-2.56677, 0.10)])
+def test_published_critical_values(tau, p):
+    """The asymptotic critical values of the test with a constant."""
+    assert abs(series.adf_pvalue(tau) - p) < 0.003
+
+
+def test_tests_reject_as_often_as_they_should():
+    draw = np.random.default_rng(11)
+    walks, noise = np.cumsum(draw.normal(size=(300, 150)), axis=1), draw.normal(size=(300, 150))
+    assert 0.02 <= np.mean([series.adf(y)[1] < 0.05 for y in walks]) <= 0.10
+    assert np.mean([series.adf(y)[1] < 0.05 for y in noise]) > 0.95
+    assert 0.01 <= np.mean([series.kpss(y)[1] < 0.05 for y in noise]) <= 0.10
+    assert np.mean([series.kpss(y)[1] < 0.05 for y in walks]) > 0.7
+
+
 def test_granger_and_order():
     draw = np.random.default_rng(2)
     x = draw.normal(size=200)

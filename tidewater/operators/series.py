@@ -90,15 +90,17 @@ def adf(y: np.ndarray) -> tuple[float, float, int]:
     beta, ssr, _ = _fit(target, x)
     error = math.sqrt(ssr / (len(target) - x.shape[1]) * np.linalg.inv(x.T @ x)[0, 0])
     tau = float(beta[0] / error)
-    # response surface of MacKinnon (1994), constant, one series
+    return tau, adf_pvalue(tau), best
+
+
+def adf_pvalue(tau: float) -> float:
+    """Response surface of MacKinnon (1994), constant, one series."""
     if tau > 2.74:
-        p = 1.0
-    elif tau < -18.83:
-        p = 0.0
-    else:
-        coefficients = (2.1659, 1.4412, 0.038269) if tau <= -1.61 else (1.7339, 0.93202, -0.12745, -0.010368)
-        p = _normal_cdf(sum(c * tau**i for i, c in enumerate(coefficients)))
-    return tau, p, best
+        return 1.0
+    if tau < -18.83:
+        return 0.0
+    coefficients = (2.1659, 1.4412, 0.038269) if tau <= -1.61 else (1.7339, 0.93202, -0.12745, -0.010368)
+    return _normal_cdf(sum(c * tau**i for i, c in enumerate(coefficients)))
 
 
 def kpss(y: np.ndarray) -> tuple[float, float, int]:
