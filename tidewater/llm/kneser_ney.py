@@ -12,6 +12,7 @@ lower orders, by way of stored back-off weights.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -133,18 +134,33 @@ def count_grams(docs: DataFrame, kind: str, order: int = ORDER) -> DataFrame:
     return partial.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def bounded(counts: DataFrame, langs: int, limit: int) -> pa.Table:
-    """The counts, once it is known from their number that a model of them for so many languages stays within `limit` bytes."""
-    counts = counts.persist(StorageLevel.DISK_ONLY)  # what a lost executor held is counted again
+@contextmanager
+def counted(docs: DataFrame, kind: str, order: int) -> Iterator[tuple[DataFrame, dict[str, int]]]:
+    """(counts as of count_grams, how many n-grams each language has); the counts lie on the executors' disks meanwhile."""
+    counts = count_grams(docs, kind, order).persist(StorageLevel.DISK_ONLY)  # what a lost executor held is counted again
     try:
-        need = counts.count() * (14 + 4 * langs) * 3 // 2  # hashes, directory, logarithms; half as much for lower orders
-        if need > limit:
-            raise ValueError(f"models of about {need >> 20} MB are too large to broadcast; use a lower order")
-        return counts.toArrow()
+        yield counts, {r[0]: r[1] for r in counts.groupBy("lang").count().collect()}  # a row a language
     finally:
         counts.unpersist()
 
 
+def groups_of(sizes: dict[str, int], limit: int, joint: bool) -> list[list[str]]:
+    """Languages in groups whose models stay within `limit` bytes; joint: the models of a group share their arrays.
+
+    Nothing has been fetched when a language that is too large alone is refused.
+    """
+    out: list[list[str]] = []
+    for lang in sorted(sizes):
+        need = lambda group: sum(sizes[k] for k in group) * (14 + 4 * (len(group) if joint else 1)) * 3 // 2  # noqa: E731 - hashes, directory, logarithms; half as much for lower orders
+        if need([lang]) > limit:
+            raise ValueError(f"the model of {lang} would take about {need([lang]) >> 20} MB, too large to broadcast; use a lower order")
+        if out and need([*out[-1], lang]) <= limit:
+            out[-1].append(lang)
+        else:
+            out.append([lang])
+    return out
+
+
 class SortedHash:
     """Positions of hashes in a sorted array, by a directory over their leading bits."""
 
@@ -189,8 +205,8 @@ def _discounts(counts: np.ndarray, modified: bool) -> np.ndarray:
 class KneserNey:
     """Models of some languages over one set of sorted hash arrays."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, codes: np.ndarray, counts: np.ndarray, order: int = ORDER, modified: bool = False):
-        """lang: index into langs of each row of (codes, counts), the n-grams of the highest order."""
+    def __init__(self, langs: list[str], lang: np.ndarray, codes: np.ndarray, counts: np.ndarray, order: int = ORDER, modified: bool = False, alphabet: int | None = None):
+        """lang: index into langs of each row of (codes, counts), the n-grams of the highest order; alphabet: symbols there are, if more than in these."""
         self.langs, self.order, width = langs, order, len(langs)
         grams: dict[int, np.ndarray] = {order: np.unique(codes)}
         seen = np.zeros((len(grams[order]), width))
@@ -203,7 +219,7 @@ class KneserNey:
         self.logp: dict[int, np.ndarray] = {}
         self.contexts: dict[int, SortedHash] = {}
         self.backoff: dict[int, np.ndarray] = {}
-        lower = np.full((1, width), 1 / (len(grams[1]) + 1))
+        lower = np.full((1, width), 1 / ((len(grams[1]) if alphabet is None else alphabet) + 1))
         for n in range(1, order + 1):
             count = tables[n]
             take = np.stack([_discounts(count[:, k], modified)[np.minimum(count[:, k], 3).astype(np.int64)] for k in range(width)], axis=1)

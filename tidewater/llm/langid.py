@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.heldout import folds, scarce
-from tidewater.llm.kneser_ney import ORDER, KneserNey, bounded, count_grams
+from tidewater.llm.kneser_ney import BITS, ORDER, KneserNey, counted, groups_of
 from tidewater.llm.naming import fresh
 from tidewater.llm.perplexity import bands
 from tidewater.llm.textscan import give_back
@@ -38,20 +38,28 @@ MODEL_BYTES = 1 << 30
 SCORE_BYTES = 1 << 19
 
 
-def fit(docs: DataFrame, order: int = ORDER) -> KneserNey | None:
-    """The models of all languages in docs(lang, text); None if there is none.
+def fit_groups(docs: DataFrame, order: int = ORDER, model_bytes: int = MODEL_BYTES) -> Iterator[KneserNey]:
+    """The models of all languages in docs(lang, text), in groups of at most `model_bytes`.
 
-    What the driver gets is the table of distinct 5-grams of letters, which the languages bound, not
-    the number of documents; their number is checked before any of them is fetched.
+    What the driver gets is the table of distinct 5-grams of letters of one group at a time, which the languages
+    bound, not the number of documents; their number is known before any of them is fetched.
     """
-    langs = sorted(r[0] for r in docs.where("lang is not null").select("lang").distinct().collect())  # a row a language
-    table = bounded(count_grams(docs, "letters", order), len(langs), MODEL_BYTES)
-    if not table.num_rows:
-        return None
-    names = table["lang"].combine_chunks().dictionary_encode()
-    langs = sorted(names.dictionary.to_pylist())
-    index = np.searchsorted(langs, names.dictionary.to_pylist())[names.indices.to_numpy()]
-    return KneserNey(langs, index, table["code"].to_numpy().view(np.uint64), table["n"].to_numpy(), order)
+    with counted(docs, "letters", order) as (counts, sizes):
+        groups = groups_of(sizes, model_bytes, joint=True)
+        alphabet = counts.select(F.col("code").bitwiseAND(F.lit((1 << BITS) - 1))).distinct().count() if len(groups) > 1 else None
+        for group in groups:
+            table = counts.where(F.col("lang").isin(group)).toArrow()
+            names = table["lang"].combine_chunks().dictionary_encode()
+            index = np.searchsorted(group, names.dictionary.to_pylist())[names.indices.to_numpy()]
+            yield KneserNey(group, index, table["code"].to_numpy().view(np.uint64), table["n"].to_numpy(), order, alphabet=alphabet)
+
+
+def fit(docs: DataFrame, order: int = ORDER) -> KneserNey | None:
+    """One model of all languages in docs(lang, text); None if there is none."""
+    models = list(fit_groups(docs, order))
+    if len(models) > 1:
+        raise ValueError(f"models of {len(models)} groups of languages; classify takes one")
+    return models[0] if models else None
 
 
 def classify(spark: SparkSession, model: KneserNey | Broadcast | None, deviations: float = DEVIATIONS, spread: float = SPREAD):
@@ -86,38 +94,67 @@ def classify(spark: SparkSession, model: KneserNey | Broadcast | None, deviation
     return run
 
 
-def _scored(docs: DataFrame, columns: list[Column], deviations: float, spread: float) -> tuple[DataFrame, list[str]]:
-    """(columns of docs with a struct as of classify, decided by the calibrated limits, for every row; the two names it and the language given have).
-
-    Each row is scored once, by models that never saw its text, and what is selected of it is kept.
-    """
-    spark = docs.sparkSession
-    given, name = fresh(docs.columns, "language_given", "identified")
-    few = scarce(docs.select("lang", "text"))
-    scored = None
-    for learn, rows in folds(docs, few):
-        model = spark.sparkContext.broadcast(fit(learn.select("lang", "text")))
-        part = rows.select(*columns, F.col("lang").alias(given), classify(spark, model, deviations, spread)("text").alias(name))
-        scored = part if scored is None else scored.unionAll(part)
-    scored = keep(scored)
-    own = scored.where(F.col(given) == F.col(f"{name}.lang")).where(~F.col(given).isin(few))
-    limits = bands(own.select(F.col(given).alias("lang"), F.col(f"{name}.cross_entropy").alias("nats"), F.col(f"{name}.symbols").alias("symbols")), spread)
-    s = F.col(name)
-    middle, wide = s.mean, F.lit(spread) * s.mean
-    for lang, (m, w) in limits.items():
-        middle, wide = F.when(s.lang == lang, F.lit(m)).otherwise(middle), F.when(s.lang == lang, F.lit(w)).otherwise(wide)
-    error = F.sqrt(s.variance / F.greatest(s.symbols, F.lit(1)) + wide * wide)
-    accepted = F.coalesce((s.symbols > 0) & (s.cross_entropy <= middle + F.lit(deviations) * error), F.lit(False))
-    return scored.withColumn(name, s.withField("accepted", accepted)), [name, given]
-
-
-def identify(docs: DataFrame, deviations: float = DEVIATIONS, spread: float = SPREAD) -> DataFrame:
+class _Judge:
+    """Models for the folds of docs, each row's by models that never saw its text, and what they say of rows."""
+
+    def __init__(self, docs: DataFrame, deviations: float, spread: float, model_bytes: int):
+        self.spark, self.deviations, self.spread = docs.sparkSession, deviations, spread
+        docs = docs.select("lang", "text")
+        self.few = scarce(docs)
+        self.models = [[self.spark.sparkContext.broadcast(m) for m in fit_groups(learn, model_bytes=model_bytes)] for learn, _ in folds(docs, self.few)]
+        self.limits: dict[str, tuple[float, float]] = {}
+
+    def of(self, docs: DataFrame, columns: list[Column], given: str, name: str) -> DataFrame:
+        """columns of docs, the language given and a struct as of classify for every row.
+
+        Where the models come in groups, each group's pass is kept before the next, so that no worker holds
+        two; of equal cross-entropies the language first in alphabetical order stays.
+        """
+        body, other = fresh([*docs.columns, given, name], "text_scored", "identified_too")
+        out = None
+        for models, (_, rows) in zip(self.models, folds(docs, self.few), strict=True):
+            part = rows.select(*columns, F.col("lang").alias(given), F.col("text").alias(body))
+            for i, model in enumerate(models or [None]):
+                says = classify(self.spark, model, self.deviations, self.spread)(body)
+                if not i:
+                    part = part.withColumn(name, says)
+                    continue
+                part = keep(part).withColumn(other, says)
+                closer = F.coalesce(F.col(f"{other}.cross_entropy") < F.col(f"{name}.cross_entropy"), F.lit(False))
+                part = part.withColumn(name, F.when(closer, F.col(other)).otherwise(F.col(name))).drop(other)
+            part = part.drop(body)
+            out = part if out is None else out.unionAll(part)
+        return out
+
+    def calibrate(self, scored: DataFrame, given: str, name: str) -> None:
+        """Middle and spread of nats a symbol, from all rows that get the language they name."""
+        own = scored.where(F.col(given) == F.col(f"{name}.lang")).where(~F.col(given).isin(self.few))
+        self.limits = bands(own.select(F.col(given).alias("lang"), F.col(f"{name}.cross_entropy").alias("nats"), F.col(f"{name}.symbols").alias("symbols")), self.spread)
+
+    def accepts(self, name: str) -> Column:
+        s = F.col(name)
+        middle, wide = s.mean, F.lit(self.spread) * s.mean
+        for lang, (m, w) in self.limits.items():
+            middle, wide = F.when(s.lang == lang, F.lit(m)).otherwise(middle), F.when(s.lang == lang, F.lit(w)).otherwise(wide)
+        error = F.sqrt(s.variance / F.greatest(s.symbols, F.lit(1)) + wide * wide)
+        return F.coalesce((s.symbols > 0) & (s.cross_entropy <= middle + F.lit(self.deviations) * error), F.lit(False))
+
+
+def identify(docs: DataFrame, deviations: float = DEVIATIONS, spread: float = SPREAD, model_bytes: int = MODEL_BYTES) -> DataFrame:
     """(doc_id, lang, cross_entropy, symbols, accepted) of every document."""
-    scored, (name, _) = _scored(docs.select("doc_id", "lang", "text"), [F.col("doc_id")], deviations, spread)
-    return scored.select("doc_id", *[F.col(f"{name}.{c}") for c in ("lang", "cross_entropy", "symbols", "accepted")])
+    judge = _Judge(docs, deviations, spread, model_bytes)
+    scored = keep(judge.of(docs.select("doc_id", "lang", "text"), [F.col("doc_id")], "given", "s"))
+    judge.calibrate(scored, "given", "s")
+    return scored.select("doc_id", "s.lang", "s.cross_entropy", "s.symbols", judge.accepts("s").alias("accepted"))
+
 
+def keep_identified(docs: DataFrame, deviations: float = DEVIATIONS, spread: float = SPREAD, model_bytes: int = MODEL_BYTES) -> DataFrame:
+    """docs without the documents that identification rejects; columns and values as they were, whatever their names.
 
-def keep_identified(docs: DataFrame, deviations: float = DEVIATIONS, spread: float = SPREAD) -> DataFrame:
-    """docs without the documents that identification rejects; columns and values as they were, whatever their names."""
-    scored, (name, given) = _scored(docs, [F.col(f"`{c}`") for c in docs.columns], deviations, spread)
-    return scored.where(F.col(f"{name}.accepted")).drop(name, given)
+    Documents are scored twice, for the calibration and for the decision, rather than kept with their texts.
+    """
+    given, name = fresh(docs.columns, "language_given", "identified")
+    judge = _Judge(docs, deviations, spread, model_bytes)
+    judge.calibrate(judge.of(docs.select("lang", "text"), [], given, name), given, name)
+    scored = judge.of(docs, [F.col(f"`{c}`") for c in docs.columns], given, name)
+    return scored.where(judge.accepts(name)).drop(given, name)

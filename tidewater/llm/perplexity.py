@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.heldout import folds, scarce
-from tidewater.llm.kneser_ney import ORDER, KneserNey, bounded, count_grams
+from tidewater.llm.kneser_ney import ORDER, KneserNey, counted, groups_of
 from tidewater.operators.lineage import keep
 
 DEVIATIONS, LEAST_SPREAD, STEP = 6.0, 0.01, 1e-4
@@ -39,18 +39,21 @@ SCORE_BYTES = 1 << 19
 UNKNOWN = "und"
 
 
-def fit(docs: DataFrame, order: int = ORDER) -> dict[str, KneserNey]:
-    """A model for each language of docs(lang, text).
+def fit(docs: DataFrame, order: int = ORDER, model_bytes: int = MODEL_BYTES) -> Iterator[dict[str, KneserNey]]:
+    """Models for the languages of docs(lang, text), in groups of at most `model_bytes`.
 
-    The driver gets the distinct 5-grams of each language, bounded by its script and not by the number
-    of documents; their number is checked before any of them is fetched.
+    The driver gets the distinct 5-grams of one group at a time, bounded by its scripts and not by the number of
+    documents; their number is known before any of them is fetched. A text needs the model of its own
+    language only, so groups change nothing but what is held at once.
     """
-    table = bounded(count_grams(docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text"), "raw", order), 1, MODEL_BYTES)
-    models = {}
-    for lang in sorted(table["lang"].unique().to_pylist()):
-        own = table.filter(pc.equal(table["lang"], lang))
-        models[lang] = KneserNey([lang], np.zeros(own.num_rows, np.int64), own["code"].to_numpy().view(np.uint64), own["n"].to_numpy(), order, modified=True)
-    return models
+    with counted(docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text"), "raw", order) as (counts, sizes):
+        for group in groups_of(sizes, model_bytes, joint=False):
+            table = counts.where(F.col("lang").isin(group)).toArrow()
+            models = {}
+            for lang in group:
+                own = table.filter(pc.equal(table["lang"], lang))
+                models[lang] = KneserNey([lang], np.zeros(own.num_rows, np.int64), own["code"].to_numpy().view(np.uint64), own["n"].to_numpy(), order, modified=True)
+            yield models
 
 
 def entropy(spark: SparkSession, models: dict[str, KneserNey]):
@@ -90,14 +93,20 @@ def bands(scored: DataFrame, least_spread: float = LEAST_SPREAD) -> dict[str, tu
     return out
 
 
-def _banded(spark: SparkSession, models: Iterator[tuple[dict[str, KneserNey], DataFrame]], deviations: float, least_spread: float) -> DataFrame:
+def _banded(spark: SparkSession, models: Iterator[tuple[Iterator[dict[str, KneserNey]], DataFrame]], deviations: float, least_spread: float) -> DataFrame:
     """(doc_id, lang, text_key, symbols, nats, lower, upper): the rows of each part under its models, in the band of them all."""
     parts, variance = [], {}
-    for own, rows in models:
-        scored = rows.select("doc_id", "lang", F.xxhash64("text").alias("text_key"), entropy(spark, own)("lang", "text").alias("s"))
-        parts.append(keep(scored.select("doc_id", "lang", "text_key", "s.nats", "s.symbols")))
-        for lang, model in own.items():
-            variance[lang] = max(variance.get(lang, 0.0), float(model.variance[0]))
+    for fitted, rows in models:
+        rows = rows.select("doc_id", "lang", F.xxhash64("text").alias("text_key"), "text")
+        seen: list[str] = []
+        for own in fitted:
+            scored = rows.where(F.col("lang").isin(list(own))).select("doc_id", "lang", "text_key", entropy(spark, own)("lang", "text").alias("s"))
+            parts.append(keep(scored.select("doc_id", "lang", "text_key", "s.nats", "s.symbols")))
+            seen += own
+            for lang, model in own.items():
+                variance[lang] = max(variance.get(lang, 0.0), float(model.variance[0]))
+        rest = rows.where(~F.col("lang").isin(seen)) if seen else rows
+        parts.append(rest.select("doc_id", "lang", "text_key", F.lit(None).cast("double").alias("nats"), F.lit(0).cast("long").alias("symbols")))
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionAll(part)
@@ -108,12 +117,12 @@ def _banded(spark: SparkSession, models: Iterator[tuple[dict[str, KneserNey], Da
     return scored.join(table, "lang", "left").select("doc_id", "lang", "text_key", "symbols", "nats", (F.col("middle") - width).alias("lower"), (F.col("middle") + width).alias("upper"))
 
 
-def perplexity_rules(docs: DataFrame, deviations: float = DEVIATIONS, least_spread: float = LEAST_SPREAD) -> DataFrame:
+def perplexity_rules(docs: DataFrame, deviations: float = DEVIATIONS, least_spread: float = LEAST_SPREAD, model_bytes: int = MODEL_BYTES) -> DataFrame:
     """(doc_id, lang, symbols, perplexity, lower, upper, seen_perplexity, seen_lower, seen_upper, keep) of every document."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    held = _banded(spark, ((fit(learn), rows) for learn, rows in folds(docs, scarce(docs))), deviations, max(least_spread, HELD_SPREAD))
-    seen = _banded(spark, iter([(fit(docs), docs)]), deviations, least_spread)
+    held = _banded(spark, ((fit(learn, model_bytes=model_bytes), rows) for learn, rows in folds(docs, scarce(docs))), deviations, max(least_spread, HELD_SPREAD))
+    seen = _banded(spark, iter([(fit(docs, model_bytes=model_bytes), docs)]), deviations, least_spread)
     # a score follows from language and text, so one of equal texts stands for all
     seen = seen.groupBy("lang", "text_key").agg(*[F.first(c).alias(f"seen_{c}") for c in ("nats", "lower", "upper")])
     inside = F.col("nats").between(F.col("lower"), F.col("upper")) & F.col("seen_nats").between(F.col("seen_lower"), F.col("seen_upper"))
