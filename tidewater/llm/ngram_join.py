@@ -42,6 +42,8 @@ from tidewater.operators.tiles import bucket_tiles, roots
 N, THRESHOLD, RECALL, TILE = 3, 0.5, 0.999, 256
 #: Similarity, as a share of the threshold, at which pairs should meet with at most the probability CHANCE.
 BACKGROUND, CHANCE = 0.25, 0.1
+#: Of the documents that go, what may be broadcast: some 2 million short ids.
+BROADCAST_BYTES = 64 << 20
 CELLS = 1 << 21
 
 
@@ -282,6 +284,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     return entries.join(each, "class").select("doc_id", "class_id", "n_copies", "n_links").union(none)
 
 
+def small_or_not(fates: DataFrame, key: str) -> DataFrame:
+    """fates to broadcast if they are known to take at most BROADCAST_BYTES; beyond that the join shuffles, with the same result."""
+    size = fates.agg(F.sum(F.octet_length(F.col(key).cast("string")) + 24)).first()[0] or 0
+    return F.broadcast(fates) if size <= BROADCAST_BYTES else fates
+
+
 def keep_one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
     """docs without the copies: of each group of documents linked by such pairs the smallest id stays.
 
@@ -298,12 +306,14 @@ def keep_one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRES
     rows = signs.where("class is not null").groupBy("class", "doc_id", "h").agg(F.count("*").alias("n"))
     rows = rows.join(first, "class").withColumn("goes", F.struct("doc_id", "h") != F.col("first")).where("goes or n > 1")
     fates = keep(rows.select(F.col("doc_id").alias(key), F.col("h").alias(key2), F.when(F.col("goes"), "goes").otherwise("repeated").alias(fate)))
+    repeated = fates.where(F.col(fate) == "repeated").limit(1).count()
+    fates = small_or_not(fates, key)
     worded = F.expr("coalesce(doc_id is not null and text is not null and text rlike '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]', false)")
     marked = docs.where(worded).withColumns({own: F.col("doc_id"), digest: F.xxhash64("text")})
     marked = marked.join(fates, (F.col(own) == F.col(key)) & (F.col(digest) == F.col(key2)), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     kept = marked.where(F.col(fate).isNull()).select(*columns).union(docs.where(~worded).select(*columns))
-    if fates.where(F.col(fate) == "repeated").limit(1).count():  # else their texts need not travel
+    if repeated:  # else their texts need not travel
         kept = kept.union(marked.where(F.col(fate) == "repeated").dropDuplicates([own, digest]).select(*columns))
     return kept
 
