@@ -415,6 +415,22 @@ def test_language_by_definition(spark):
     assert not got[900]["accepted"] and not got[901]["accepted"] and got[902]["accepted"]
 
 
+def test_groups_of_models_change_nothing(spark):
+    docs, rows, _ = small_corpus(spark)
+    with kneser_ney.counted(docs, "raw", kneser_ney.ORDER) as (_, sizes):
+        limit = max(sizes.values()) * 27
+    assert len(kneser_ney.groups_of(sizes, limit, joint=True)) > 1
+    for f, keys in ((langid.identify, ("lang", "accepted", "symbols")), (perplexity.perplexity_rules, ("lang", "keep", "symbols"))):
+        whole, parted = ({r["doc_id"]: r for r in f(docs, **how).collect()} for how in ({}, {"model_bytes": limit}))
+        assert len(whole) == len(rows) and set(whole) == set(parted)
+        for i, r in whole.items():
+            assert [r[k] for k in keys] == [parted[i][k] for k in keys]
+            for k in set(r.asDict()) - {*keys, "doc_id"}:
+                assert r[k] == parted[i][k] or abs(r[k] - parted[i][k]) < 1e-4 * max(1, abs(r[k]))
+    with pytest.raises(ValueError):
+        langid.identify(docs, model_bytes=1000).collect()
+
+
 def test_equal_cross_entropies_go_to_the_first_language(spark):
     texts = ["the same words in both of them", "and some more of the same words"]
     docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate((t, lang) for lang in ("zz", "mm") for t in texts)], "doc_id long, text string, lang string")
@@ -683,3 +699,12 @@ def test_pipeline(spark):
     assert Counter((i, tuple(t)) for i, t in zip(out.doc_id, out.tokens, strict=True)) == want
     hashes = dict(zip(out.doc_id, out.decoded_md5, strict=True))
     assert hashes == {i: hashlib.md5(t.encode()).hexdigest() for i, t in zip(texts.doc_id, texts.text, strict=True)}
+
+
+def test_one_of_each_group_without_a_broadcast(spark, documents, monkeypatch):
+    docs = spark.createDataFrame(documents)
+    docs = docs.union(docs.where("doc_id % 50 = 0"))
+    kept = lambda: sorted(r[0] for r in ngram_join.keep_one_of_each_group(docs).select("doc_id").collect())
+    small = kept()
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 0)
+    assert kept() == small == sorted(set(small))
