@@ -30,7 +30,7 @@ from tidewater.llm.heldout import folds, scarce
 from tidewater.llm.kneser_ney import BITS, ORDER, KneserNey, counted, groups_of
 from tidewater.llm.naming import fresh
 from tidewater.llm.perplexity import bands
-from tidewater.llm.textscan import give_back
+from tidewater.llm.textscan import let_go
 from tidewater.operators.lineage import keep
 
 DEVIATIONS, SPREAD = 4.0, 0.12
@@ -89,7 +89,8 @@ def classify(spark: SparkSession, model: KneserNey | Broadcast | None, deviation
             none = sizes == 0
             lang = pa.array(np.array(model.langs, dtype=object)[best], pa.string(), mask=none)
             yield pa.StructArray.from_arrays([lang, *(pa.array(x, mask=m) for x, m in ((value, none), (sizes, None), (mean, none), (variance, none))), pa.array(accepted)], fields=fields)
-        give_back()
+        del model
+        let_go(shared)
 
     return run
 

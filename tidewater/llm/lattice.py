@@ -388,3 +388,17 @@ def near_duplicates(
     each = each.select("class", "class_id", (F.col("m") - 1).alias("n_copies"), (F.col("m") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
     none = entries.where("class is null").select(F.col("id").alias("vec_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return entries.join(each, "class").select(F.col("id").alias("vec_id"), "class_id", "n_copies", "n_links").union(none)
+
+
+#: All pairs, with exact cosines.
+SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = (SELECT mode(len(embedding)) FROM embeddings)),
+near AS (SELECT a.vec_id AS u, b.vec_id AS w, a.e = b.e AS same FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) >= {THRESHOLD} * a.size * b.size),
+reach AS (SELECT vec_id AS c, vec_id AS r FROM v UNION SELECT reach.c, near.w FROM reach JOIN near ON reach.r = near.u),
+named AS (SELECT c, min(r) AS class_id FROM reach GROUP BY c),
+linked AS (SELECT u, count(*) AS n, count(*) FILTER (same) AS copies FROM near GROUP BY u)
+SELECT DISTINCT e.vec_id, coalesce(class_id, e.vec_id) AS class_id, CAST(coalesce(copies, 0) AS BIGINT) AS n_copies, CAST(coalesce(n, 0) AS BIGINT) AS n_links
+FROM embeddings e LEFT JOIN named ON e.vec_id = named.c LEFT JOIN linked ON e.vec_id = linked.u WHERE e.vec_id IS NOT NULL
+"""

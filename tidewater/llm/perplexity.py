@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.heldout import folds, scarce
 from tidewater.llm.kneser_ney import ORDER, KneserNey, counted, groups_of
+from tidewater.llm.textscan import let_go
 from tidewater.operators.lineage import keep
 
 DEVIATIONS, LEAST_SPREAD, STEP = 6.0, 0.01, 1e-4
@@ -72,6 +73,8 @@ def entropy(spark: SparkSession, models: dict[str, KneserNey]):
                     value, size = models[lang].cross_entropy(texts.take(pa.array(rows)), "raw", SCORE_BYTES)
                     nats[rows], sizes[rows] = value[:, 0], size
             yield pa.StructArray.from_arrays([pa.array(nats, mask=sizes == 0), pa.array(sizes)], fields=fields)
+        del models
+        let_go(shared)
 
     return run
 

@@ -66,5 +66,6 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": ngram_join.SQL,
     "op3_mix_sources": mixing.SQL,
+    "op4_lattice_near_dedup": lattice.SQL,
     "op7_secret_scan": secret_scan.SQL,
 }

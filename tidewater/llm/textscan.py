@@ -64,6 +64,12 @@ def give_back() -> None:
         trim(0)
 
 
+def let_go(shared) -> None:
+    """A broadcast value leaves the worker's memory until the next partition asks for it: an idle worker holds no model."""
+    shared.__dict__.pop("_value", None)
+    give_back()
+
+
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `limit` bytes of text each; a longer single text is its own range."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
