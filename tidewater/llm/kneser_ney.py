@@ -17,11 +17,11 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.textscan import as_column, give_back, mix64, pieces, runs
+from tidewater.operators.lineage import discard, stored
 
 BITS = 12
 ORDER = 5
@@ -136,12 +136,12 @@ def count_grams(docs: DataFrame, kind: str, order: int = ORDER) -> DataFrame:
 
 @contextmanager
 def counted(docs: DataFrame, kind: str, order: int) -> Iterator[tuple[DataFrame, dict[str, int]]]:
-    """(counts as of count_grams, how many n-grams each language has); the counts lie on the executors' disks meanwhile."""
-    counts = count_grams(docs, kind, order).persist(StorageLevel.DISK_ONLY)  # what a lost executor held is counted again
+    """(counts as of count_grams, how many n-grams each language has); the counts lie in the shared folder meanwhile."""
+    counts, path = stored(count_grams(docs, kind, order), "grams")
     try:
         yield counts, {r[0]: r[1] for r in counts.groupBy("lang").count().collect()}  # a row a language
     finally:
-        counts.unpersist()
+        discard(docs.sparkSession, path)
 
 
 def groups_of(sizes: dict[str, int], limit: int, joint: bool) -> list[list[str]]:
