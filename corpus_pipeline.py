@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import bpe, langid, mixing, ngram_join, secret_scan
 from tidewater.operators.lineage import stored
 
 
+#: Rows in an Arrow batch: documents are long, and a batch lies in the executor and in its Python worker at once.
+BATCH_ROWS = 1000
+
+
+def sized(stage):
+    """A stage under the session's setting of BATCH_ROWS, unless the session was given one of its own."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@sized
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go; columns and values as they were.
 
@@ -17,6 +36,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return langid.keep_identified(docs)
 
 
+@sized
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays, of repeated rows one.
 
@@ -25,6 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return ngram_join.keep_one_of_each_group(docs)
 
 
+@sized
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; their secrets are replaced by the name of the rule, and n_chars follows.
 
@@ -33,6 +54,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return secret_scan.redact_secrets(docs)
 
 
+@sized
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the budgets of their sources draw them.
 
@@ -42,6 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+@sized
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, tokens, n_tokens, decoded_md5): token ids of every document drawn, and the digest of the text they decode to.
 
@@ -66,5 +89,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage keeps is written as Parquet in the shared folder before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs, _ = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
