@@ -32,8 +32,8 @@ from tidewater.llm.textscan import as_column, give_back, list_array, pieces, rag
 
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-ENCODE_BYTES = 1 << 20
-TABLE_CHUNKS = 1 << 18
+ENCODE_BYTES = 1 << 19
+TABLE_CHUNKS = 1 << 17
 NONE = np.int32(2**31 - 1)
 
 
