@@ -10,7 +10,7 @@ from tidewater.llm import bpe, langid, mixing, ngram_join, secret_scan
 from tidewater.operators.lineage import stored
 
 #: Rows in an Arrow batch: documents are long, and a batch lies in the executor and in its Python worker at once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def sized(stage):
