@@ -7,8 +7,11 @@ of symbols, linked to their neighbours. An index maps each pair's
 rank to all positions where that pair stands. A heap gives the active ranks in ascending order; all
 positions of a rank are merged together, the pairs that arise on either side enter the lists of their
 ranks, and positions whose pair has changed meanwhile are skipped. So each merge costs time in
-proportion to its occurrences, however long the chunk. Encoded chunks stay in a table for the rest
-of the partition.
+proportion to its occurrences, however long the chunk. In chunks of at most SHORT_BYTES the index has
+bands of ranks (from a power of two to the next): most ranks stand in few places, and a step costs much
+the same for a few positions as for thousands. Of a band each chunk merges only its lowest rank, and the
+rest waits for the next step, so every chunk goes through its ranks in the same order. Chunks that have
+been encoded stay in a table until it holds more than TABLE_CHUNKS; it is then started anew.
 
 Defined results: a null text has null tokens and is null again after decoding; an empty text has no
 tokens; texts of any length are encoded whole; markers of special tokens are ordinary text; repeated
@@ -20,6 +23,8 @@ from __future__ import annotations
 import base64
 import heapq
 import hashlib
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +39,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 ENCODE_BYTES = 1 << 19
 TABLE_CHUNKS = 1 << 17
+SHORT_BYTES = 64
 NONE = np.int32(2**31 - 1)
 
 
@@ -46,6 +52,7 @@ class Vocabulary:
     byte_ids: np.ndarray = field(init=False)
     pair_keys: np.ndarray = field(init=False)
     pair_ranks: np.ndarray = field(init=False)
+    bands: np.ndarray = field(init=False)
 
     @classmethod
     def read(cls, path: str, pattern: str = PATTERN) -> Vocabulary:
@@ -84,6 +91,8 @@ class Vocabulary:
             lost = self._slots[slots[pending]] != pending
             pending = pending[lost]
             slots[pending] = (slots[pending] + 1) & (size - 1)
+        bits = np.frexp(np.arange(len(self.tokens)))[1]  # of a rank in binary
+        self.bands = np.where(bits > 0, 1 << np.maximum(bits - 1, 0), 0).astype(np.int32)
         self.flat = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -112,6 +121,8 @@ def merge_all(vocabulary: Vocabulary, data: np.ndarray, lengths: np.ndarray) ->
     """Tokens of chunks that lie one after the other in data: (all tokens in a row, how many each has)."""
     n = len(data)
     token = vocabulary.byte_ids[data].astype(np.int32)
+    chunk = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    short = lengths <= SHORT_BYTES
     last = np.zeros(n, dtype=bool)
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
     first = np.zeros(n, dtype=bool)
@@ -119,77 +130,64 @@ def merge_all(vocabulary: Vocabulary, data: np.ndarray, lengths: np.ndarray) ->
     after = np.where(last, -1, np.arange(1, n + 1)).astype(np.int32)
     before = np.where(first, -1, np.arange(-1, n - 1)).astype(np.int32)
     rank = np.full(n, NONE, dtype=np.int32)
-    inner = np.flatnonzero(~last)
+    inner = np.flatnonzero(~last).astype(np.int32)
     rank[inner] = vocabulary.ranks_of(token[inner], token[inner + 1])
     alive = np.ones(n, dtype=bool)
     lists: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
 
-    def enter(at: np.ndarray) -> None:
+    def keys_of(at: np.ndarray) -> np.ndarray:
         own = rank[at]
-        at = at[own != NONE]
+        return np.where(short[chunk[at]], vocabulary.bands[own], own)
+
+    def enter(at: np.ndarray) -> None:
+        at = at[rank[at] != NONE]
         if not len(at):
             return
-        own = rank[at]
-        if len(at) == 1:
-            groups = [(int(own[0]), at)]
-        else:
-            order = np.argsort(own, kind="stable")
-            at, own = at[order], own[order]
-            values, counts = runs(own)
-            groups = list(zip(values.tolist(), np.split(at, np.cumsum(counts)[:-1]), strict=True))
-        for r, positions in groups:
-            if r in lists:
-                lists[r].append(positions)
+        own = keys_of(at)
+        order = np.argsort(own)
+        at, own = at[order], own[order]
+        values, counts = runs(own)
+        for key, positions in zip(values.tolist(), np.split(at, np.cumsum(counts)[:-1]), strict=True):
+            if key in lists:
+                lists[key].append(positions)
             else:
-                lists[r] = [positions]
-                heapq.heappush(heap, r)
+                lists[key] = [positions]
+                heapq.heappush(heap, key)
 
     enter(inner)
     while heap:
-        r = heapq.heappop(heap)
-        parts = lists.pop(r)
+        key = heapq.heappop(heap)
+        parts = lists.pop(key)
         at = parts[0] if len(parts) == 1 else np.concatenate(parts)
-        at = at[(rank[at] == r) & alive[at]]
+        at = at[rank[at] != NONE]
+        at = np.sort(at[keys_of(at) == key])
         if not len(at):
             continue
-        if len(parts) > 1 and len(at) > 1:
-            at = np.sort(at)
-            at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-        if len(at) > 1:  # of overlapping occurrences, as in aaa, the leftmost goes first
-            touching = after[at[:-1]] == at[1:]
-            if touching.any():
-                index = np.arange(len(at))
-                start = np.maximum.accumulate(np.where(np.concatenate(([True], ~touching)), index, 0))
-                skipped = at[(index - start) % 2 == 1]
-                at = at[(index - start) % 2 == 0]
-            else:
-                skipped = at[:0]
-        else:
-            skipped = at[:0]
+        at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+        # of a chunk only the lowest rank goes; the others of its band wait, as the pairs that arise may come first
+        own, of = rank[at], chunk[at]
+        heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        lowest = own == np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(at))))
+        waiting, at = at[~lowest], at[lowest]
+        touching = after[at[:-1]] == at[1:]
+        if touching.any():  # of overlapping occurrences, as in aaa, the leftmost goes first
+            index = np.arange(len(at))
+            start = np.maximum.accumulate(np.where(np.concatenate(([True], ~touching)), index, 0))
+            at = at[(index - start) % 2 == 0]
         gone = after[at]
         beyond = after[gone]
         alive[gone] = False
         rank[gone] = NONE
-        token[at] = r
+        token[at] = rank[at]
         after[at] = beyond
         linked = beyond >= 0
         before[beyond[linked]] = at[linked]
         rank[at] = NONE
-        right = at[linked]
-        rank[right] = vocabulary.ranks_of(token[right], token[after[right]])
         left = before[at]
-        left = left[left >= 0]
-        if len(left):
-            rank[left] = vocabulary.ranks_of(token[left], token[after[left]])
-        again = skipped[alive[skipped]]
-        if len(left) and len(right):
-            changed = np.concatenate((right, left, again))
-            changed = np.unique(changed) if len(changed) > 2 or changed[0] == changed[-1] else changed
-        else:
-            changed = np.unique(np.concatenate((right, left, again)))
-        enter(changed)
-    chunk = np.repeat(np.arange(len(lengths)), lengths)
+        changed = np.concatenate((at[linked], left[left >= 0]))
+        rank[changed] = vocabulary.ranks_of(token[changed], token[after[changed]])
+        enter(np.concatenate((changed, waiting)))
     return token[alive], np.bincount(chunk[alive], minlength=len(lengths)).astype(np.int64)
 
 
@@ -202,7 +200,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: defaultdict[str, int] = defaultdict(itertools.count().__next__)
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _learn(self, chunks: list[str]) -> None:
@@ -221,7 +219,7 @@ class Encoder:
         had = len(known)
         for text in texts:
             chunks = self.split(text) if text else []
-            ids.extend([known.setdefault(c, len(known)) for c in chunks])
+            ids.extend(map(known.__getitem__, chunks))
             sizes.append(len(chunks))
         if len(known) > had:
             self._learn(list(known)[had:])
