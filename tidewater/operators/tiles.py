@@ -12,18 +12,26 @@ from tidewater.operators.lineage import keep
 def bucket_tiles(classes: DataFrame, tile: int) -> DataFrame:
     """(low, high, class, block): the tiles of classes(class, bands), where bands lists the buckets of a class.
 
-    Each class gets as home the smallest class of its buckets that it meets most often; homes are cut
-    into blocks of about `tile` classes. Two blocks that share a bucket make a tile of those of their
-    classes that share one with the other block; a block makes a tile with itself. Buckets are counted
-    before they are joined to their classes, so that the planner can split a bucket of very many.
+    Each class gets as home the smallest class of its buckets that it meets most often. Small homes,
+    such as strangers that meet only in a common passage, come together by the widest bucket that any
+    of their classes is in; homes and what came together are cut into blocks of about `tile` classes.
+    Two blocks that share a bucket make a tile of those of their classes that share one with the other
+    block; a block makes a tile with itself. So classes in a bucket of n lie in about n / tile tiles
+    each, be they one family or strangers. Buckets are counted before they are joined to their
+    classes, so that the planner can split a bucket of very many.
     """
     keyed = classes.select("class", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = keyed.groupBy("key").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1")
     met = keep(keyed.join(buckets, "key"))
-    often = met.groupBy("class", "least").agg(F.count("*").alias("n"))
-    home = keep(often.groupBy("class").agg(F.max_by("least", F.struct("n", F.bitwise_not("least"))).alias("home")))
-    parts = home.groupBy("home").agg(F.ceil(F.count("*") / tile).alias("parts"))
-    blocks = home.join(parts, "home").select("class", F.xxhash64("home", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("block"))
+    often = met.groupBy("class", "least").agg(F.count("*").alias("n"), F.max(F.struct("n", "key")).alias("widest"))
+    home = keep(often.groupBy("class").agg(F.max_by("least", F.struct("n", F.bitwise_not("least"))).alias("home"), F.max("widest").alias("widest")))
+    homes = home.groupBy("home").agg(F.count("*").alias("n"), F.max("widest").alias("widest"))
+    large = F.col("n") > tile // 4
+    homes = homes.select("home", "n", large.alias("large"), F.when(large, F.col("home")).otherwise(F.col("widest.key")).alias("group"))
+    parts = homes.groupBy("large", "group").agg(F.ceil(F.sum("n") / tile).alias("parts"))
+    part = F.pmod(F.xxhash64(F.when(F.col("large"), F.col("class")).otherwise(F.col("home"))), F.col("parts"))
+    placing = homes.join(parts, ["large", "group"]).select("home", "large", "group", "parts")
+    blocks = home.join(placing, "home").select("class", F.xxhash64("large", "group", part).alias("block"))
     placed = met.select("key", "class").join(blocks, "class")
     beside = placed.select("key", F.col("block").alias("other")).distinct()
     several = beside.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
