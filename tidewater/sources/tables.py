@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,8 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """Fields without anything are NULL, those of two quotes are empty texts: the reader tells them apart only if NULL has a name, here one that no text has."""
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", f"null-{uuid.uuid4().hex}").csv(path)
 
 
 def read_annotations(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -66,8 +68,9 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One file with a header, for tables of a row a period or a sampled article."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """One file with a header, for tables of a row a period or a sampled article. White space at the ends of values stays."""
+    writer = df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
