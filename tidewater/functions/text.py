@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +55,59 @@ def shingles(text: Column, k: int = 5) -> Column:
     return F.when(F.length(text) < k, F.array(text)).otherwise(F.array_distinct(F.filter(grams, lambda g: g.isNotNull())))
 
 
+#: Characters whose k-grams are numbered at once; a longer text is a piece of its own.
+PIECE = 1 << 20
+
+
+def distinct_grams(texts: list[str], k: int) -> list[int]:
+    """How many distinct k-grams of characters each text has, 1 if it is shorter. Grams are numbered, not hashed, so counts are exact."""
+    out, start = [], 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end]) <= PIECE):
+            size += len(texts[end])
+            end += 1
+        points = np.frombuffer("".join(texts[start:end]).encode("utf-32-le"), dtype=np.uint32)
+        seen = np.zeros(0x110000, dtype=bool)
+        seen[points] = True
+        code = (np.cumsum(seen) - 1)[points]
+        base = int(seen.sum())
+        grams, n = code, base
+        for _ in range(k - 1):
+            if n * base >= 1 << 63:
+                own, grams = np.unique(grams, return_inverse=True)
+                n = len(own)
+            code = code[1:]
+            grams = grams[: len(code)] * base + code
+            n *= base
+        first = 0
+        for text in texts[start:end]:
+            if len(text) < k:
+                out.append(1)
+            else:
+                own = np.sort(grams[first : first + len(text) - k + 1])
+                out.append(1 + int((own[1:] != own[:-1]).sum()))
+            first += len(text)
+        start = end
+    return out
+
+
+def shingle_count(text: Column, k: int = 5) -> Column:
+    """The size of shingles(text, k), without its strings."""
+
+    @F.arrow_udf("int")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [pa.array([], pa.int32())]
+            for low in range(0, len(texts), 256):
+                part = texts.slice(low, 256)
+                known = iter(distinct_grams(part.drop_null().to_pylist(), k))
+                parts.append(pa.array([next(known) if valid else None for valid in part.is_valid().to_pylist()], pa.int32()))
+            yield pa.concat_arrays(parts)
+
+    return count(strip(F.lower(text)))
+
+
 def phrases_in(text: Column, phrases: tuple[str, ...]) -> Column:
     """Those phrases, in their order, that occur in the text whatever the case."""
     low = F.lower(text)
