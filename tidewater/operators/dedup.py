@@ -1,9 +1,10 @@
 """Greedy near-duplicate removal by MinHash.
 
 A pair is similar if at least `threshold` of its 64 signature values agree. At 0.85 at most 9 values
-may differ, so of 10 bands of 6 values one at least is whole: banding loses nothing. Pairs that share a
-band are verified on all 64 values, in tiles, before anything is linked; only then do similar articles
-form connected components. Within a component the greedy rule runs as written (articles in order of
+may differ, so of 12 bands of 5 or 6 values three at least are whole, and of the two halves of the bands
+one holds two of them: keys of two bands of one half lose nothing, and strangers in one language, who
+share many a single band, hardly meet. Pairs that share a key are verified on all 64 values, in tiles,
+before anything is linked; only then do similar articles form connected components. Within a component the greedy rule runs as written (articles in order of
 position; of a similar pair the longer stays, of equally long ones the earlier), and components can't
 affect each other. The rule is a sequence, so a component, a family of near copies, is one task; the
 task holds a few numbers for each of its articles and one signature for each distinct one.
@@ -11,6 +12,7 @@ task holds a few numbers for each of its articles and one signature for each dis
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -99,6 +101,23 @@ def bands_for(threshold: float) -> int:
     return min(PERMUTATIONS, PERMUTATIONS - math.ceil(threshold * PERMUTATIONS - 1e-9) + 1)
 
 
+def keys_for(threshold: float) -> list[tuple[tuple[int, int], ...]]:
+    """Keys as spans of a signature's values, of which one is whole if no more values differ than the threshold allows.
+
+    With two bands more than bands_for three at least are whole, of which one half of the bands holds two;
+    where there are not so many values, single bands.
+    """
+    bands = bands_for(threshold) + 2
+    pairs = bands <= PERMUTATIONS
+    if not pairs:
+        bands = bands_for(threshold)
+    edges = [PERMUTATIONS * i // bands for i in range(bands + 1)]
+    spans = list(zip(edges[:-1], edges[1:], strict=True))
+    if not pairs:
+        return [(span,) for span in spans]
+    return [*itertools.combinations(spans[: bands // 2], 2), *itertools.combinations(spans[bands // 2 :], 2)]
+
+
 def greedy(sizes: np.ndarray, kind: np.ndarray, signs: np.ndarray, threshold: float) -> np.ndarray:
     """Which of some articles, in order of position, stay. kind: the row of each in signs."""
     stays = np.ones(len(sizes), dtype=bool)
@@ -156,10 +175,8 @@ def near_duplicates(articles: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(pos) of the articles to drop."""
     signs = keep(signatures(articles).withColumn("class", F.xxhash64("signature")))
     classes = keep(signs.groupBy("class").agg(F.first("signature").alias("signature"), F.count("*").alias("n")))
-    bands = bands_for(threshold)
-    edges = [PERMUTATIONS * i // bands for i in range(bands + 1)]
-    keys = F.array(*[F.xxhash64(F.slice("signature", low + 1, high - low), F.lit(i)) for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
-    tiles = bucket_tiles(classes.select("class", keys.alias("bands")), TILE).join(classes.select("class", "signature"), "class")
+    keys = F.array(*[F.xxhash64(*[F.slice("signature", low + 1, high - low) for low, high in spans], F.lit(i)) for i, spans in enumerate(keys_for(threshold))])
+    tiles = bucket_tiles(keep(classes.select("class", keys.alias("bands"))), TILE).join(classes.select("class", "signature"), "class")
     tiles = tiles.select("low", "high", "class", "block", "signature").repartition("low", "high").sortWithinPartitions("low", "high")
     groups = connected_components(tiles.mapInArrow(_similar(threshold), "u long, v long")).withColumnRenamed("node", "class")
     # components of one class with one article have nothing to drop
