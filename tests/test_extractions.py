@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,23 @@ def test_config(tmp_path):
     assert Config.read(str(tmp_path / "c")).decay == 0.5
     with pytest.raises(KeyError):
         Config.of({"nothing": 1})
+
+
+def test_prompts_become_strings_in_parts(spark):
+    """However many rows come in a batch, a worker has called for no more than a part when the first rows leave."""
+    asked = []
+
+    class Asked(extraction.Stub):
+        def __call__(self, prompt):
+            asked.append(prompt)
+            return "{}", len(prompt), 0
+
+    n = 3 * extraction.PART + 1
+    frame = spark.createDataFrame([], "article_id long, prompt string")
+    prompts = SimpleNamespace(schema=frame.schema, select=lambda *_: SimpleNamespace(mapInArrow=lambda run, schema: run))
+    batch = pa.RecordBatch.from_pydict({"article_id": list(range(n)), "prompt": ["x" * (i % 7) for i in range(n)]})
+    out = extraction.call(prompts, Asked(), CONFIG)(iter([batch]))
+    parts = [next(out)]
+    assert len(asked) == extraction.PART
+    rows = [r for part in [*parts, *out] for r in part.to_pylist()]
+    assert [(r["article_id"], r["raw"], r["tokens_prompt"], r["status"]) for r in rows] == [(i, "{}", i % 7, "success") for i in range(n)]

@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +39,10 @@ TEMPLATES = {
 }
 
 
+#: Prompts that are Python strings at once.
+PART = 256
+
+
 class RateLimited(RuntimeError):
     """The service asks to wait."""
 
@@ -149,17 +153,23 @@ def waves(rows: DataFrame, key: str, size: int, most: int = 1000) -> Iterator[Da
 def call(prompts: DataFrame, extractor: Extractor, config: Config, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """(article_id, raw, tokens_prompt, tokens_completion, status) of prompts(article_id, prompt).
 
-    Each task keeps `concurrency` calls in flight; a failed article keeps its row.
+    Each task keeps `concurrency` calls in flight; a failed article keeps its row. Prompts become Python
+    strings PART at a time, so that a worker's memory doesn't follow its texts.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(config.concurrency) as pool:
-            for part in parts:
-                done = list(pool.map(lambda p: _attempt(extractor, p, config.max_retries, config.retry_delay, _is_json, sleep), part["prompt"]))
-                yield pd.DataFrame({"article_id": part["article_id"], "raw": [d[0] for d in done], "tokens_prompt": [d[1] for d in done], "tokens_completion": [d[2] for d in done], "status": ["success" if d[0] else "failed" for d in done]})
+            for batch in batches:
+                for low in range(0, len(batch), PART):
+                    part = batch.slice(low, PART)
+                    done = list(pool.map(lambda p: _attempt(extractor, p, config.max_retries, config.retry_delay, _is_json, sleep), part.column("prompt").to_pylist()))
+                    raw, before, after = ([d[i] for d in done] for i in range(3))
+                    status = ["success" if d[0] else "failed" for d in done]
+                    yield pa.RecordBatch.from_arrays([part.column("article_id"), pa.array(raw, pa.string()), pa.array(before, pa.int64()), pa.array(after, pa.int64()), pa.array(status)], names=["article_id", "raw", "tokens_prompt", "tokens_completion", "status"])
+                batch = part = None
 
     kind = prompts.schema["article_id"].dataType.simpleString()
-    return prompts.select("article_id", "prompt").mapInPandas(run, f"article_id {kind}, raw string, tokens_prompt long, tokens_completion long, status string")
+    return prompts.select("article_id", "prompt").mapInArrow(run, f"article_id {kind}, raw string, tokens_prompt long, tokens_completion long, status string")
 
 
 def extract(articles: DataFrame, cache: DataFrame | None, extractor: Extractor, config: Config, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
