@@ -5,9 +5,9 @@ word n-grams, or the one shorter gram of all its words if it has fewer than n. S
 sets of 64-bit hashes.
 
 Flow: texts with equal sets fold into one class; each class sends its band keys through one shuffle.
-Each class gets as home the smallest class of its buckets that it meets most often, homes are cut
-into blocks of about `tile` classes, and two blocks that share a bucket make a tile of those of their
-classes that share one with the other block. Every pair that meets in a bucket lies in exactly one
+Each class gets as home the smallest class of its buckets that it meets most often, small homes come
+together by their widest bucket, what came together is cut into blocks of about `tile` classes, and
+two blocks that share a bucket make a tile of those of their classes that share one with the other block. Every pair that meets in a bucket lies in exactly one
 tile, whatever the sizes of families, buckets and corpus, and is verified there on the full sets; the
 work follows the number of candidates. A tile reports how many documents each class is linked to and
 which classes hang together, so that what leaves it is in proportion to its classes, not to its pairs.
